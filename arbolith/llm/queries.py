@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, packing, shards
+from . import bpe, packing, shards, token_counts
 from .common import documents
 
 QUERIES = {
     "op1_best_fit_packing": lambda spark, sf_dir: packing.op1(documents(spark, sf_dir)),
     "op2_byte_bpe": lambda spark, sf_dir: bpe.op2(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),
     "op6_feistel_shards": lambda spark, sf_dir: shards.op6(documents(spark, sf_dir)),
+    "op7_token_counts": lambda spark, sf_dir: token_counts.op7(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")),
 }
 
 ORACLE_SQL: dict[str, str] = {}
