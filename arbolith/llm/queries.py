@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, packing, shards, token_counts
+from . import bpe, packing, pii, shards, token_counts
 from .common import documents
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op2_byte_bpe": lambda spark, sf_dir: bpe.op2(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),
     "op6_feistel_shards": lambda spark, sf_dir: shards.op6(documents(spark, sf_dir)),
     "op7_token_counts": lambda spark, sf_dir: token_counts.op7(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")),
+    "op8_pii": lambda spark, sf_dir: pii.op8(documents(spark, sf_dir)),
 }
 
 ORACLE_SQL: dict[str, str] = {}
