@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, mpeg, packing, pii, shards, token_counts
+from . import bpe, mpeg, packing, pii, quality, shards, token_counts
 from .common import documents
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_token_counts": lambda spark, sf_dir: token_counts.op7(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")),
     "op8_pii": lambda spark, sf_dir: pii.op8(documents(spark, sf_dir)),
     "op9_mpeg_audio": lambda spark, sf_dir: mpeg.op9(documents(spark, sf_dir)),
+    "op10_quality": lambda spark, sf_dir: quality.op10(documents(spark, sf_dir)),
 }
 
 ORACLE_SQL: dict[str, str] = {}
