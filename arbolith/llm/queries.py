@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, mpeg, packing, pii, quality, shards, token_counts
+from . import bpe, mpeg, packing, pii, quality, shards, substrings, token_counts
 from .common import documents
 
 QUERIES = {
     "op1_best_fit_packing": lambda spark, sf_dir: packing.op1(documents(spark, sf_dir)),
     "op2_byte_bpe": lambda spark, sf_dir: bpe.op2(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),
+    "op5_substring_dedup": lambda spark, sf_dir: substrings.op5(documents(spark, sf_dir)),
     "op6_feistel_shards": lambda spark, sf_dir: shards.op6(documents(spark, sf_dir)),
     "op7_token_counts": lambda spark, sf_dir: token_counts.op7(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")),
     "op8_pii": lambda spark, sf_dir: pii.op8(documents(spark, sf_dir)),
