@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, mpeg, near_dedup, packing, pii, quality, shards, substrings, token_counts
+from . import bpe, fingerprints, mpeg, near_dedup, packing, pii, quality, shards, substrings, token_counts
 from .common import documents
 
 QUERIES = {
     "op1_best_fit_packing": lambda spark, sf_dir: packing.op1(documents(spark, sf_dir)),
     "op2_byte_bpe": lambda spark, sf_dir: bpe.op2(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),
     "op3_minhash_near_dedup": lambda spark, sf_dir: near_dedup.op3(documents(spark, sf_dir)),
+    "op4_iblt_fingerprints": lambda spark, sf_dir: fingerprints.op4(documents(spark, sf_dir)),
     "op5_substring_dedup": lambda spark, sf_dir: substrings.op5(documents(spark, sf_dir)),
     "op6_feistel_shards": lambda spark, sf_dir: shards.op6(documents(spark, sf_dir)),
     "op7_token_counts": lambda spark, sf_dir: token_counts.op7(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")),
