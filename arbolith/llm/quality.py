@@ -100,7 +100,7 @@ def estimate(patterns: dict[int, int], rounds: int = 200) -> tuple[np.ndarray, f
     good. Votes are taken as independent given the class. Classes start from the share of good votes, which also names them.
     """
     keys = sorted(patterns)
-    v = np.array([[k // 3**i % 3 for i in range(len(LABELLERS))] for k in keys]).reshape(-1, len(LABELLERS))
+    v = np.array([[k // 3**i % 3 for i in range(len(LABELLERS))] for k in keys], int).reshape(-1, len(LABELLERS))
     n = np.array([patterns[k] for k in keys], float)
     good, bad = (v == GOOD).sum(axis=1), (v == BAD).sum(axis=1)
     q = np.clip(np.where(bad > 0, 0.3 * good / np.maximum(1, good + bad), 0.95), 0.02, 0.98)
