@@ -14,7 +14,6 @@ from ..plans import xpath as X
 from ..plans import xpath_frames
 from ..sources import brace
 
-_DOC = Window.partitionBy("doc_id")
 #: Added to the numbers of nodes that come from elsewhere, so that they stand behind a document's own.
 _FAR = 1 << 30
 
@@ -28,7 +27,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
     for c in ("_group", "_sub", "_end", "_parent_sub"):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(0))
-    new = rows.withColumn("_pre", F.row_number().over(_DOC.orderBy("_group", "pre", "_sub")) - 1).withColumn("_post", F.row_number().over(_DOC.orderBy("_group", "post", "_end")) - 1)
+    new = rows.withColumn("_pre", F.row_number().over(Window.partitionBy("doc_id").orderBy("_group", "pre", "_sub")) - 1).withColumn("_post", F.row_number().over(Window.partitionBy("doc_id").orderBy("_group", "post", "_end")) - 1)
     parents = new.select("doc_id", F.col("pre").alias("parent"), F.col("_sub").alias("_parent_sub"), F.col("_pre").alias("_parent"))
     out = new.join(parents, ["doc_id", "parent", "_parent_sub"], "left").withColumn("parent", F.coalesce("_parent", F.lit(-1)))
     out = out.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy("_pre")) - 1).withColumns({"pre": F.col("_pre"), "post": F.col("_post")})
@@ -42,7 +41,7 @@ def _without(nodes: DataFrame, tops: DataFrame, tops_too: bool = True) -> DataFr
 
 
 def _first(found: DataFrame) -> DataFrame:
-    return found.withColumn("_n", F.row_number().over(_DOC.orderBy("pre"))).filter("_n = 1").drop("_n")
+    return found.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("pre"))).filter("_n = 1").drop("_n")
 
 
 def snippet_rows(content: str | Node, kind: str = "brace") -> list[tuple]:
@@ -217,4 +216,4 @@ def set_attribute(nodes: DataFrame, xpath: str, name: str, value: str) -> DataFr
 def annotate_offsets(nodes: DataFrame, name: str = "offset") -> DataFrame:
     """Each node with ``name``: bytes of text before it in its document."""
     own = F.when(F.col("kind").isin("text", "cdata"), F.octet_length("value")).otherwise(0)
-    return nodes.withColumn(name, F.coalesce(F.sum(own.cast("long")).over(_DOC.orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    return nodes.withColumn(name, F.coalesce(F.sum(own.cast("long")).over(Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))

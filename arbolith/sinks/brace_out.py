@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from ..model import Node
+from ..sources.brace import unquote
 
 _BARE = re.compile(r"(?!&|=|//|/\*)[^\s(){}'\"\x00-\x1f]+\Z")
 
@@ -40,15 +41,24 @@ def _needs_parts(text: str, compact: bool, newlines: bool, tabs: bool) -> bool:
     return ("\n" in head and head.strip("\n") != "") or ("\n" in tail and tail.strip("\n") != "")
 
 
+def _kept_newlines(text: str, prefer_double: bool) -> str:
+    """With a newline more at an end that has one: a quote loses the first and the last. One that keeps its quotes away has these already."""
+    if "\n" not in (text[:1], text[-1:]) or quoted(text, prefer_double).strip("'\"")[:1] == "\n" != text[:1] or text[0] in "'\"" or text[-1] in "'\"":
+        return text
+    if not text.strip("\n"):
+        return text + "\n"
+    return "\n" * (text[0] == "\n") + text + "\n" * (text[-1] == "\n")
+
+
 def parts(text: str, compact: bool = False, newlines: bool = False, tabs: bool = False, non_ascii: bool = False, prefer_double: bool = False) -> list[str]:
     """Quotes and character entities that together are the text."""
     if not _needs_parts(text, compact, newlines, tabs) and not (non_ascii and not text.isascii()):
-        q = quoted(text, prefer_double)
-        if not (compact and "\n" in q):
+        q = quoted(_kept_newlines(text, prefer_double), prefer_double)
+        if not (compact and "\n" in q) and unquote(q) == text:
             return [q]
     cut = "\r" + ("\t" if tabs else "")
     body = text
-    pattern = f"[{cut}\n]" if compact or newlines or _needs_parts(text, False, False, False) else f"[{cut}]"
+    pattern = f"[{cut}\n]"
     if non_ascii:
         pattern = f"(?:{pattern}|[^\x00-\x7f])"
     out: list[str] = []
@@ -118,13 +128,9 @@ class Printer:
             return quote
         n = len(quote) - len(quote.lstrip(quote[0]))
         lines = quote.split("\n")
-        pad = " " * (column + n)
-        body = [lines[0], *[pad + x if x else "" for x in lines[1:]]]
-        if lines[-1] == quote[0] * n and len(lines) > 1:
-            body[-1] = (" " * column if not lines[0].strip(quote[0]) else pad) + quote[0] * n
-            if lines[0].strip(quote[0]):
-                body.insert(-1, "")
-        return "\n".join(body)
+        alone = not lines[0].strip(quote[0])  # nothing beside the opening quotes: all stands below them
+        pad = " " * (column if alone else column + n)
+        return "\n".join([lines[0], *[pad + x if x else "" for x in lines[1:]]])
 
     def _attr(self, a: Node, width: int, column: int) -> str:
         name = ("xmlns" + (f":{a.name}" if a.name else "")) if a.kind == "namespace" else a.qname
