@@ -24,15 +24,15 @@ from .common import parallelism, slices, written
 from .components import components
 
 SHINGLE = 5
-#: Minwise tokens of a document, 16 bits of each.
-COORDINATES = 64
+#: Minwise tokens of a document; a byte of each is kept, and eight bytes of those by which the roots branch.
+COORDINATES = 128
 #: A pair at the threshold meets in one tree with a probability over 0.75 where one level is enough; with so many trees it
 #: is missed about once in a million, and about once in a hundred where four levels are needed.
 TREES = 10
 #: Documents of a leaf, and levels below the root.
 LEAF, LEVELS = 64, 5
-#: Share of equal tokens from which a pair is compared on full sets: over four standard deviations below 0.75.
-LIKELY = 0.5
+#: Share of equal tokens from which a pair is compared on full sets: over three standard deviations below 0.75.
+LIKELY = 0.63
 NUMERATOR, DENOMINATOR = 75, 100
 _RNG = np.random.default_rng(20240613)
 _A = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -71,50 +71,63 @@ def shingles(text: str | None, words: Words) -> np.ndarray:
     return np.unique(_mix(total))
 
 
+def root_branches(trees: int) -> list[tuple[int, int]]:
+    """(tree, coordinate) by which the roots branch: one coordinate, in every third tree two."""
+    rng = np.random.default_rng(20240617)
+    return [(t, int(c)) for t in range(trees) for c in rng.choice(COORDINATES, 2 if t % 3 == 0 else 1, replace=False)]
+
+
 def minwise(found: np.ndarray) -> np.ndarray:
-    """COORDINATES tokens of 16 bits of a set that isn't empty."""
+    """COORDINATES minwise tokens of 64 bits of a set that isn't empty."""
     least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 2048):
-        part = found[at : at + 2048, None] * _A + _B
+    for at in range(0, len(found), 1024):
+        part = found[at : at + 1024, None] * _A + _B
         least = np.minimum(least, part.min(axis=0))
-    return (_mix(least) >> np.uint64(48)).astype("<u2")
+    return _mix(least)
 
 
-def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = Words()
-    for batch in slices(batches, 512):
-        sizes, digests, tokens = [], [], []
-        for text in batch.column("text").to_pylist():
-            found = shingles(text, words)
-            sizes.append(len(found))
-            digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-            tokens.append(minwise(found).tobytes() if len(found) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.binary())], ["doc_id", "n_shingles", "digest", "tokens"])
+def _profiled(branches: list[tuple[int, int]]):
+    at = np.array([c for _, c in branches])
+    salts = _mix(np.array([t * COORDINATES + c + 1 for t, c in branches], np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in slices(batches, 512):
+            sizes, digests, tokens, keys = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                found = shingles(text, words)
+                sizes.append(len(found))
+                least = minwise(found) if len(found) else None
+                digests.append(None if least is None else xxhash.xxh3_128_digest(found.tobytes()))
+                tokens.append(None if least is None else (least & np.uint64(0xFF)).astype(np.uint8).tobytes())
+                keys.append(None if least is None else _mix(least[at] ^ salts).astype(np.int64))
+            columns = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_shingles", "digest", "tokens", "keys"])
+
+    return run
 
 
 def _children(node: str) -> str:
     """SQL array of the child nodes of ``node`` for a document with ``tokens``: one, or for a third of the nodes two."""
-    child = f"xxhash64({node}, c, substring(tokens, 2 * c + 1, 2))"
+    child = f"xxhash64({node}, c, substring(tokens, c + 1, 1))"
     pick = f"pmod(xxhash64({node}, {{}}), {COORDINATES})"
     return f"transform(array_distinct(if(pmod(xxhash64({node}, 7), 3) = 0, array({pick.format(1)}, {pick.format(2)}), array({pick.format(1)}))), c -> {child})"
 
 
-def leaves(nodes: DataFrame, trees: int = TREES) -> DataFrame:
-    """(leaf, id) from (id, tokens): the leaves of all trees with two documents or more."""
-    at = nodes.select("id", "tokens", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")).select("id", "tokens", F.expr("xxhash64(tree, 'root')").alias("node"))
+def leaves(nodes: DataFrame) -> DataFrame:
+    """(leaf, id) from (id, tokens, keys): the leaves of all trees with two documents or more. keys: the roots' children."""
+    at = nodes.select("id", F.explode("keys").alias("node"))
     found = []
     for level in range(LEVELS):
-        at = at.select("id", "tokens", F.explode(F.expr(_children("node"))).alias("node"))
-        ids = at.select("id", "node") if level == 0 else at
-        sizes = ids.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        placed = written(ids.join(sizes, "node"))
+        sizes = at.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+        placed = written(at.join(sizes, "node"))
         found.append(placed.filter(F.col("n") <= LEAF).select(F.col("node").alias("leaf"), "id"))
         large = placed.filter(F.col("n") > LEAF)
         salt = f"pmod(xxhash64(id, node, 'salt'), cast(ceil(n / {LEAF // 2}) as long))"
         found.append(large.select(F.expr(f"xxhash64(node, 'part', {salt})").alias("leaf"), "id"))
         if level == LEVELS - 1 or large.isEmpty():
             break
-        at = large.select("id", "node").join(nodes, "id") if level == 0 else large.select("id", "tokens", "node")
+        at = large.select("id", "node").join(nodes.select("id", "tokens"), "id").select("id", F.explode(F.expr(_children("node"))).alias("node"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -144,7 +157,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[li
 
 def _alike(tokens: list[bytes]) -> np.ndarray:
     """Share of equal tokens for each pair of a leaf."""
-    t = np.frombuffer(b"".join(tokens), "<u2").reshape(len(tokens), COORDINATES)
+    t = np.frombuffer(b"".join(tokens), np.uint8).reshape(len(tokens), COORDINATES)
     return np.stack([(t == row).mean(axis=1) for row in t])
 
 
@@ -236,15 +249,15 @@ def link(df: DataFrame, text: str = "text", id_col: str = "doc_id", trees: int =
     of groups of copies one row goes on after a partial aggregation. Other columns of ``df`` play no part.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    profile = written(rows.mapInArrow(_profiled, "doc_id long, n_shingles long, digest binary, tokens binary"))
+    profile = written(rows.mapInArrow(_profiled(root_branches(trees)), "doc_id long, n_shingles long, digest binary, tokens binary, keys array<bigint>"))
     sets = profile.filter("n_shingles > 0 and doc_id is not null")
     same = written(sets.groupBy("digest").agg(F.min("doc_id").alias("id")))
-    nodes = sets.join(same.withColumn("doc_id", F.col("id")), ["digest", "doc_id"]).dropDuplicates(["id", "digest"]).select("id", "tokens")
-    members = written(leaves(nodes, trees))
+    nodes = sets.join(same.withColumn("doc_id", F.col("id")), ["digest", "doc_id"]).dropDuplicates(["id", "digest"]).select("id", "tokens", "keys")
+    members = written(leaves(nodes))
     wanted = members.select("id").distinct()
     texts = rows.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").dropDuplicates(["id", "text"])
     texts = written(texts)
-    seen = members.join(nodes, "id")
+    seen = members.join(nodes.select("id", "tokens"), "id")
     first = written(_leafwise(seen, forest, ["id", "tokens"]))
     links = written(confirmed(first, texts))
     groups = components(links).select(F.col("node").alias("id"), "component")
@@ -254,7 +267,7 @@ def link(df: DataFrame, text: str = "text", id_col: str = "doc_id", trees: int =
     more = written(confirmed(second, texts))
     found = components(links.unionByName(more)).select(F.col("node").alias("id"), "component")
     classes = same.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    out = profile.join(classes, "digest", "left")
+    out = profile.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
