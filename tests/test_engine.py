@@ -258,3 +258,15 @@ def test_schema():
     assert xsd.validate(schema, brace.parse("o(id=1){n=q c=1 c=2}")) == []
     for bad in ("o{n=q}", "o(id=x){n=q}", "o(id=1){n=q c=z}", "o(id=1){c=1}", "o(id=1){n=q z}", "p"):
         assert xsd.validate(schema, brace.parse(bad))
+
+
+def test_colours_keep_the_text():
+    import re
+
+    from arbolith.sinks import coloured
+
+    source = "a(x = '<1>')\n{\n    b = 2 // c\n}\n"
+    assert re.sub(r"\x1b\[[0-9;]*m", "", coloured.paint(source)) == source
+    assert re.sub("<[^>]*>", "", coloured.paint(source, "html")).replace("&lt;", "<").replace("&gt;", ">") == source
+    assert coloured.nearest_256("ff0000") == 196 and "arb-key" in coloured.page(coloured.paint(source, "html"))
+    assert "\\arbKey{b}" in coloured.paint(source, "tex")
