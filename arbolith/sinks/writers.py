@@ -13,8 +13,8 @@ from . import brace_out, json_out, markup
 
 
 def renderer(kind: str, **options) -> Callable[[Node], str]:
-    """brace, htmq, xml, html, json, text or clines. Options of brace: compact, indent, newlines, tabs, non_ascii, prefer_double; of xml: declaration."""
-    if kind in ("brace", "htmq"):
+    """brace, xml, html, json, text or clines. Options of brace: compact, indent, newlines, tabs, non_ascii, prefer_double; of xml: declaration."""
+    if kind == "brace":
         return brace_out.Printer(**options).render
     if kind == "xml":
         return lambda doc: markup.xml(doc, options.get("declaration", True))
