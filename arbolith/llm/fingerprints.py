@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from .common import parallelism, written
 
 #: Cells of a fingerprint; of a block's sketches, tried in turn; digests that a block holds on average.
-CELLS, TRIES, BLOCK = 24, (24, 72, 216, 648), 8
+CELLS, TRIES, BLOCK = 24, (36, 108, 324), 16
 #: Rounds of peeling; a sketch that isn't empty by then counts as failed.
-ROUNDS = 20
+ROUNDS = 12
 _NULL_ID = -(1 << 63)
 
 
@@ -27,9 +27,9 @@ def digests(text: str) -> str:
 
 
 def _spread(x: str, n: str, cells: int) -> str:
-    """SQL struct of a digest, its number, its cells and its check."""
+    """SQL struct of a digest, its number, its cell in each third and its check."""
     w = cells // 3
-    return f"named_struct('k', {x}, 'n', {n}, 'a', pmod(xxhash64({x}, 1), {w}), 'b', pmod(xxhash64({x}, 2), {w}) + {w}, 'c', pmod(xxhash64({x}, 3), {w}) + {2 * w}, 'h', xxhash64({x}, 9) & 4294967295)"
+    return f"named_struct('k', {x}, 'n', {n}, 'a', cast(pmod(xxhash64({x}, 1), {w}) as int), 'b', cast(pmod(xxhash64({x}, 2), {w}) as int), 'c', cast(pmod(xxhash64({x}, 3), {w}) as int), 'h', xxhash64({x}, 9) & 4294967295)"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -37,10 +37,10 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def sketch(found: str, cells: int = CELLS) -> str:
-    """SQL: the cells of a set of digests."""
+    """SQL: the cells of a set of digests, third by third."""
     held = f"transform({found}, x -> {_spread('x', '1', cells)})"
-    cell = "aggregate(filter(u, q -> q.a = j or q.b = j or q.c = j), named_struct('n', 0, 'k', 0L, 'h', 0L), (z, q) -> named_struct('n', z.n + q.n, 'k', z.k ^ q.k, 'h', z.h ^ q.h))"
-    return _let(held, "u", f"transform(sequence(0L, {cells - 1}L), j -> {cell})")
+    third = "transform(sequence(0, {last}), j -> aggregate(filter(u, q -> q.{f} = j), named_struct('n', 0, 'k', 0L, 'h', 0L), (z, q) -> named_struct('n', z.n + q.n, 'k', z.k ^ q.k, 'h', z.h ^ q.h)))"
+    return _let(held, "u", "concat(" + ", ".join(third.format(last=cells // 3 - 1, f=f) for f in "abc") + ")")
 
 
 def subtract(a: str, b: str) -> str:
@@ -49,9 +49,11 @@ def subtract(a: str, b: str) -> str:
 
 def peel(cells: str, count: int) -> str:
     """SQL: the digests in a difference, as structs of k and n (1: only in the first, -1: only in the second); null on failure."""
+    w = count // 3
     pure = f"array_distinct(transform(filter(s.t, c -> abs(c.n) = 1 and c.h = (xxhash64(c.k, 9) & 4294967295)), c -> {_spread('c.k', 'c.n', count)}))"
-    less = "aggregate(filter(p, q -> q.a = j or q.b = j or q.c = j), c, (z, q) -> named_struct('n', z.n - q.n, 'k', z.k ^ q.k, 'h', z.h ^ q.h))"
-    after = f"named_struct('t', transform(s.t, (c, j) -> {less}), 'd', concat(s.d, transform(p, q -> named_struct('k', q.k, 'n', q.n))))"
+    third = "transform(slice(s.t, {at}, {w}), (c, j) -> aggregate(filter(p, q -> q.{f} = j), c, (z, q) -> named_struct('n', z.n - q.n, 'k', z.k ^ q.k, 'h', z.h ^ q.h)))"
+    less = "concat(" + ", ".join(third.format(at=1 + k * w, w=w, f=f) for k, f in enumerate("abc")) + ")"
+    after = f"named_struct('t', {less}, 'd', concat(s.d, transform(p, q -> named_struct('k', q.k, 'n', q.n))))"
     start = f"named_struct('t', {cells}, 'd', cast(array() as array<struct<k:bigint,n:int>>))"
     step = _let(pure, "p", f"if(size(p) = 0, s, {after})")
     return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, i) -> {step}, s -> if(forall(s.t, c -> c.n = 0 and c.k = 0 and c.h = 0), s.d, null))"
@@ -63,14 +65,16 @@ def _blocks(found: str, low: str, high: str) -> str:
     return f"flatten(transform(sequence(0L, {low} - 1L), f -> {inner}))"
 
 
-def differing(a: str, b: str) -> str:
-    """SQL: the digests that are in one set only, by the sketches; ``a`` and ``b`` are columns of digests."""
-    first = peel(subtract(sketch(a), sketch(b)), CELLS)
+def differing(a: str, b: str, cells_a: str | None = None, cells_b: str | None = None) -> str:
+    """SQL: the digests that are in one set only, by the sketches; ``a`` and ``b`` are columns of digests, the others of their sketches."""
+    first = peel(subtract(cells_a or sketch(a), cells_b or sketch(b)), CELLS)
     tries = ", ".join(peel(subtract(sketch("p", n), sketch("q", n)), n) for n in TRIES)
     every = "concat(transform(p, x -> named_struct('k', x, 'n', 1)), transform(q, x -> named_struct('k', x, 'n', -1)))"
-    half = f"cast(shiftleft(1L, cast(ceil(log2(greatest(1, (size({a}) + size({b})) / {BLOCK}.0)) / 2) as int)) as long)"
-    larger = _let(half, "w", f"flatten(zip_with({_blocks(a, 'w', 'w')}, {_blocks(b, 'w', 'w')}, (p, q) -> coalesce({tries}, {every})))")
-    return f"coalesce({first}, {larger})"
+    # a power of two of blocks, dealt in two steps of about equal numbers
+    power = f"cast(ceil(log2(greatest(1, (size({a}) + size({b})) / {BLOCK}.0))) as int)"
+    larger = _let(power, "e", _let("named_struct('l', shiftleft(1L, cast(e div 2 as int)), 'h', shiftleft(1L, cast(e - e div 2 as int)))", "w", f"flatten(zip_with({_blocks(a, 'w.l', 'w.h')}, {_blocks(b, 'w.l', 'w.h')}, (p, q) -> coalesce({tries}, {every})))"))
+    # sets whose sizes lie further apart than there are cells can't be peeled
+    return f"coalesce(if(abs(size({a}) - size({b})) <= {CELLS}, {first}, null), {larger})"
 
 
 def likeness(a: str, b: str, difference: str) -> Column:
@@ -119,7 +123,8 @@ def op4(docs: DataFrame) -> DataFrame:
     both = texts.join(sent, ["k", "h"]).withColumn("n", F.char_length("t"))
     edited = both.withColumn("e", F.expr("concat(substring(t, 1, n - n div 2), head)"))
     units = edited.select("k", "n", F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), F.expr(digests("t")).alias("u"), F.expr(digests("e")).alias("e_u"), "next_u")
-    sketched = units.withColumns({"u_s": F.expr(sketch("u")), "e_s": F.expr(sketch("e_u")), "e_d": F.expr(differing("u", "e_u")), "n_d": F.expr(differing("u", "next_u"))})
+    sketched = units.withColumns({"u_s": F.expr(sketch("u")), "e_s": F.expr(sketch("e_u")), "n_s": F.expr(sketch("next_u"))})
+    sketched = sketched.withColumns({"e_d": F.expr(differing("u", "e_u", "u_s", "e_s")), "n_d": F.expr(differing("u", "next_u", "u_s", "n_s"))})
     return sketched.select(
         F.when(F.col("k") != F.lit(_NULL_ID), F.col("k")).alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"), "edited_sha256",
