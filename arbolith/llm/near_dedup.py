@@ -6,8 +6,9 @@
    inverse of the similarity) and sends each of its documents to a child for the token that it has there. A child that has
    got small is a leaf. One that is still large at a level is also cut by a salt into parts of leaf size, so that large groups of near copies, which
    no token separates, meet in many random small parts; its documents go on to the next level too.
-3. In a leaf all pairs are compared by their tokens. First a spanning forest of likely pairs is confirmed on the full sets.
-   Then, with the components that this gives, all likely pairs between different components of each leaf are.
+3. In a leaf all pairs are compared by their tokens. First a spanning forest of likely pairs of each leaf of the first level
+   is confirmed on the full sets. Then, with the components that this gives, all likely pairs between different components
+   are, of each leaf of any level.
 """
 
 from __future__ import annotations
@@ -115,16 +116,16 @@ def _children(node: str) -> str:
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
-    """(leaf, id) from (id, tokens, keys): the leaves of all trees with two documents or more. keys: the roots' children."""
+    """(leaf, id, level) from (id, tokens, keys): the leaves of all trees with two documents or more. keys: the roots' children."""
     at = nodes.select("id", F.explode("keys").alias("node"))
     found = []
     for level in range(LEVELS):
         sizes = at.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
         placed = written(at.join(sizes, "node"))
-        found.append(placed.filter(F.col("n") <= LEAF).select(F.col("node").alias("leaf"), "id"))
+        found.append(placed.filter(F.col("n") <= LEAF).select(F.col("node").alias("leaf"), "id", F.lit(level).alias("level")))
         large = placed.filter(F.col("n") > LEAF)
         salt = f"pmod(xxhash64(id, node, 'salt'), cast(ceil(n / {LEAF // 2}) as long))"
-        found.append(large.select(F.expr(f"xxhash64(node, 'part', {salt})").alias("leaf"), "id"))
+        found.append(large.select(F.expr(f"xxhash64(node, 'part', {salt})").alias("leaf"), "id", F.lit(level).alias("level")))
         if level == LEVELS - 1 or large.isEmpty():
             break
         at = large.select("id", "node").join(nodes.select("id", "tokens"), "id").select("id", F.explode(F.expr(_children("node"))).alias("node"))
@@ -258,14 +259,16 @@ def link(df: DataFrame, text: str = "text", id_col: str = "doc_id", trees: int =
     texts = rows.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").dropDuplicates(["id", "text"])
     texts = written(texts)
     seen = members.join(nodes.select("id", "tokens"), "id")
-    first = written(_leafwise(seen, forest, ["id", "tokens"]))
-    links = written(confirmed(first, texts))
-    groups = components(links).select(F.col("node").alias("id"), "component")
+    first = written(_leafwise(seen.filter("level = 0"), forest, ["id", "tokens"]))
+    links = confirmed(first, texts)
+    groups = written(components(links).select(F.col("node").alias("id"), "component"))
     labelled = seen.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("leaf").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("leaf")
     second = _leafwise(labelled.join(mixed, "leaf"), across, ["id", "tokens", "component"]).join(first, ["a", "b"], "left_anti")
     more = written(confirmed(second, texts))
-    found = components(links.unionByName(more)).select(F.col("node").alias("id"), "component")
+    # what the first links join is joined by a link from each to its least
+    stars = groups.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    found = components(stars.unionByName(more)).select(F.col("node").alias("id"), "component")
     classes = same.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = profile.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.coalesce("component", "doc_id")
