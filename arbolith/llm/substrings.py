@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,7 +56,7 @@ def cut(raw: np.ndarray) -> np.ndarray:
 def _rows(text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Digests of a text's chunks, their packed places, and whether each repeats an earlier one of the text.
 
-    A place has start, bytes (12 bits), words (8 bits) and 12 bits of the text's checksum.
+    A place has start, bytes (12 bits) and words (8 bits); its last 12 bits are not used.
     """
     data = (text or "").encode()
     raw = np.frombuffer(data, np.uint8)
@@ -66,7 +65,7 @@ def _rows(text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
     digests = [xxhash.xxh64_intdigest(data[a:b]) - (1 << 63) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
     words = np.concatenate([[0], np.cumsum(_SPACE[raw])])
     count = np.minimum(255, np.maximum(1, words[ends] - words[starts])) if len(ends) else ends
-    places = starts << 32 | (ends - starts) << 20 | count << 12 | zlib.crc32(data) & 0xFFF
+    places = starts << 32 | (ends - starts) << 20 | count << 12
     seen: set[int] = set()
     again = np.array([d in seen or seen.add(d) is not None for d in digests], bool)
     return digests, places, again
@@ -75,8 +74,8 @@ def _rows(text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
 def _chunked(batches: Iterator[pa.RecordBatch], first_only: bool) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 256):
         digests: list[int] = []
-        ids, places, agains = [], [], []
-        for k, text in zip(batch.column("_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        ids, tags, places, agains = [], [], [], []
+        for k, tag, text in zip(*(batch.column(c).to_pylist() for c in ("_id", "_tag", "text")), strict=True):
             d, p, again = _rows(text)
             if first_only:
                 digests += [x for x, a in zip(d, again.tolist(), strict=True) if not a]
@@ -84,13 +83,15 @@ def _chunked(batches: Iterator[pa.RecordBatch], first_only: bool) -> Iterator[pa
             else:
                 digests += d
                 ids.append(np.full(len(d), k, np.int64))
+                tags.append(np.full(len(d), tag, np.int64))
                 places.append(p)
                 agains.append(again)
         columns = [pa.array(digests, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *ids]))]
         if first_only:
             yield pa.RecordBatch.from_arrays(columns, ["digest", "_id"])
         else:
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([np.zeros(0, np.int64), *places])), pa.array(np.concatenate([np.zeros(0, bool), *agains]))], ["digest", "_id", "place", "again"])
+            columns += [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (tags, places)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([np.zeros(0, bool), *agains]))], ["digest", "_id", "_tag", "place", "again"])
 
 
 def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,20 +126,23 @@ def deduplicate(df: DataFrame, text: str = "text", id_col: str = "doc_id", spans
     that is all repeated, an empty text remains. Digests are 64 bits wide; a chance match is too short for a run.
 
     Each chunk's digest is counted with partial aggregation, so a chunk that a third of all documents share is one row a task;
-    the join back to the places can be split where such a digest is large.
+    the join back to the places can be split where such a digest is large. Places come back to their text by the id and 64
+    bits of the whole text, as rows of a null or repeated id differ; copies under one id share theirs, so no list is longer
+    than a text has chunks.
     """
     spark = df.sparkSession
     kept = [c for c in df.columns if c != spans]
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.col(text).alias("text"))
+    rows = rows.withColumn("_tag", F.xxhash64(F.coalesce("text", F.lit(""))))
     repeated = (
         rows.mapInArrow(_first, "digest long, _id long").groupBy("digest")
         .agg(F.min("_id").alias("owner"), F.max("_id").alias("last")).filter("owner < last").select("digest", "owner")
     )
-    every = rows.mapInArrow(_every, "digest long, _id long, place long, again boolean")
-    found = every.join(repeated, "digest", "left").filter("again or _id > owner").select("_id", "place")
-    gathered = found.groupBy("_id", F.expr("cast(place & 4095 as int)").alias("_tag")).agg(F.collect_list("place").alias("_places"))
+    every = rows.mapInArrow(_every, "digest long, _id long, _tag long, place long, again boolean")
+    found = every.join(repeated, "digest", "left").filter("again or _id > owner").select("_id", "_tag", "place")
+    gathered = found.groupBy("_id", "_tag").agg(F.collect_set("place").alias("_places"))
     whole = df.select(*[F.col(f"`{c}`") for c in kept]).withColumn("_id", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)))
-    whole = whole.withColumn("_tag", F.expr(f"cast(crc32(cast(coalesce(`{text}`, '') as binary)) & 4095 as int)"))
+    whole = whole.withColumn("_tag", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
     joined = whole.join(gathered, ["_id", "_tag"], "left").drop("_id", "_tag")
     schema = df.select(*[F.col(f"`{c}`") for c in kept]).withColumn(spans, F.lit(None).cast("array<struct<start:int,end:int>>")).schema
     arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

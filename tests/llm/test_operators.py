@@ -242,6 +242,19 @@ def test_op5_takes_out_repeated_passages(table, odd, spark):
     assert substrings.op5(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_rows_of_null_id_keep_their_own_places(spark):
+    """Thousands of texts without an id: none is cut where another one repeats."""
+    mark = " ".join(f"gamma{i}" for i in range(60))
+    texts = [f"日本語 {prose(i, 12)} {i}" for i in range(3000)] + [f"日本語 {prose(i, 12)} {mark} {i}" for i in range(3000, 6000)]
+    df = spark.createDataFrame([(1, mark), *[(None, t) for t in texts]], EMPTY)
+    got = substrings.deduplicate(df.repartition(4)).collect()
+    left = sorted(r.text for r in got if not r.removed_spans)
+    assert left == sorted([mark, *texts[:3000]])
+    for r in got:
+        if r.removed_spans:
+            assert r.text.startswith("日本語 ") and r.text.split()[-1].isdigit() and sum(x.end - x.start for x in r.removed_spans) <= len(mark) + 1
+
+
 def test_chunks_depend_on_their_surroundings_only():
     a = np.frombuffer((prose(1, 300)).encode(), np.uint8)
     b = np.frombuffer(("inserted words " + prose(1, 300)).encode(), np.uint8)
