@@ -9,6 +9,8 @@
 3. In a leaf all pairs are compared by their tokens. First a spanning forest of likely pairs of each leaf of the first level
    is confirmed on the full sets. Then, with the components that this gives, all likely pairs between different components
    are, of each leaf of any level.
+4. Nodes of the last level that are still large are compared whole: their documents are dealt to blocks, and each pair of
+   blocks is compared for likely pairs between different components, so that no pair of such a node is left out.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ COORDINATES = 128
 TREES = 10
 #: Documents of a leaf, and levels below the root.
 LEAF, LEVELS = 64, 5
+#: Documents of a block, in which nodes that stay large are compared.
+BLOCK = 512
 #: Share of equal tokens from which a pair is compared on full sets: over three standard deviations below 0.75.
 LIKELY = 0.63
 NUMERATOR, DENOMINATOR = 75, 100
@@ -115,8 +119,11 @@ def _children(node: str) -> str:
     return f"transform(array_distinct(if(pmod(xxhash64({node}, 7), 3) = 0, array({pick.format(1)}, {pick.format(2)}), array({pick.format(1)}))), c -> {child})"
 
 
-def leaves(nodes: DataFrame) -> DataFrame:
-    """(leaf, id, level) from (id, tokens, keys): the leaves of all trees with two documents or more. keys: the roots' children."""
+def leaves(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(leaf, id, level) from (id, tokens, keys): the leaves of all trees with two documents or more. keys: the roots' children.
+
+    Second, (node, id) of the last level's nodes that are still large, if there are any.
+    """
     at = nodes.select("id", F.explode("keys").alias("node"))
     found = []
     for level in range(LEVELS):
@@ -126,13 +133,36 @@ def leaves(nodes: DataFrame) -> DataFrame:
         large = placed.filter(F.col("n") > LEAF)
         salt = f"pmod(xxhash64(id, node, 'salt'), cast(ceil(n / {LEAF // 2}) as long))"
         found.append(large.select(F.expr(f"xxhash64(node, 'part', {salt})").alias("leaf"), "id", F.lit(level).alias("level")))
-        if level == LEVELS - 1 or large.isEmpty():
+        if large.isEmpty():
+            large = None
+            break
+        if level == LEVELS - 1:
             break
         at = large.select("id", "node").join(nodes.select("id", "tokens"), "id").select("id", F.explode(F.expr(_children("node"))).alias("node"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.distinct()
+    return out.distinct(), None if large is None else large.select("node", "id").distinct()
+
+
+def blocks(large: DataFrame) -> DataFrame:
+    """(leaf, id, component, side) from (node, id, component): a leaf for each pair of blocks of a node that can hold two components.
+
+    A component of more than BLOCK documents of a node has blocks of its own, which aren't compared with each other; small
+    components are dealt to common blocks whole.
+    """
+    sizes = large.groupBy("node", "component").agg(F.count("*").alias("n"))
+    rest = sizes.groupBy("node").agg(F.sum(F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0)).alias("rest"), F.count("*").alias("kinds")).filter("kinds > 1")
+    dealt = large.join(sizes, ["node", "component"]).join(rest, "node")
+    own = f"n > {BLOCK}"
+    place = f"if({own}, xxhash64(component, pmod(xxhash64(id, node), cast(ceil(n / {BLOCK}) as long))), pmod(xxhash64(component, node), cast(ceil(rest / {BLOCK}) as long)))"
+    dealt = written(dealt.select("node", "id", "component", F.expr(place).alias("block"), F.expr(f"if({own}, component, null)").alias("alone")))
+    each = dealt.select("node", "block", "alone").distinct()
+    other = each.select("node", F.col("block").alias("other"), F.col("alone").alias("other_alone"))
+    facing = each.join(other, "node").filter("block <= other and not coalesce(alone = other_alone, false)")
+    facing = facing.select("node", F.expr("xxhash64(node, block, other, 'pair')").alias("leaf"), F.explode(F.expr("if(block = other, array(named_struct('block', block, 'side', 0)), array(named_struct('block', block, 'side', 1), named_struct('block', other, 'side', 2)))")).alias("b"))
+    facing = facing.select("node", "leaf", F.col("b.block").alias("block"), F.col("b.side").alias("side"))
+    return dealt.join(facing, ["node", "block"]).select("leaf", "id", "component", "side")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray | list]]:
@@ -193,6 +223,18 @@ def across(ids: list[int], tokens: list[bytes], groups: list[int]) -> list[tuple
     return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
 
 
+def facing(ids: list[int], tokens: list[bytes], groups: list[int], sides: list[int]) -> list[tuple[int, int]]:
+    """All likely pairs of documents of different components: of one block's (side 0), or between two (sides 1 and 2)."""
+    i, t, g, s = np.array(ids), np.frombuffer(b"".join(tokens), np.uint8).reshape(len(ids), COORDINATES), np.array(groups), np.array(sides)
+    left, right = np.flatnonzero(s < 2), np.flatnonzero(s != 1)
+    tr, gr, ir = t[right], g[right], i[right]
+    out: set[tuple[int, int]] = set()
+    for k in left.tolist():
+        near = np.count_nonzero(tr == t[k], axis=1) >= LIKELY * COORDINATES
+        out.update((min(ids[k], x), max(ids[k], x)) for x in ir[near & (gr != g[k])].tolist())
+    return list(out)
+
+
 def _pairs(pick, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
@@ -254,7 +296,8 @@ def link(df: DataFrame, text: str = "text", id_col: str = "doc_id", trees: int =
     sets = profile.filter("n_shingles > 0 and doc_id is not null")
     same = written(sets.groupBy("digest").agg(F.min("doc_id").alias("id")))
     nodes = sets.join(same.withColumn("doc_id", F.col("id")), ["digest", "doc_id"]).dropDuplicates(["id", "digest"]).select("id", "tokens", "keys")
-    members = written(leaves(nodes))
+    members, large = leaves(nodes)
+    members = written(members)
     wanted = members.select("id").distinct()
     texts = rows.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").dropDuplicates(["id", "text"])
     texts = written(texts)
@@ -265,10 +308,20 @@ def link(df: DataFrame, text: str = "text", id_col: str = "doc_id", trees: int =
     labelled = seen.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("leaf").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("leaf")
     second = _leafwise(labelled.join(mixed, "leaf"), across, ["id", "tokens", "component"]).join(first, ["a", "b"], "left_anti")
+    second = written(second)
     more = written(confirmed(second, texts))
     # what the first links join is joined by a link from each to its least
     stars = groups.select(F.col("id").alias("a"), F.col("component").alias("b"))
     found = components(stars.unionByName(more)).select(F.col("node").alias("id"), "component")
+    if large is not None:
+        found = written(found)
+        labelled = large.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        faced = written(blocks(labelled))
+        if not faced.isEmpty():
+            tried = first.unionByName(second)
+            pairs = _leafwise(faced.join(nodes.select("id", "tokens"), "id"), facing, ["id", "tokens", "component", "side"]).join(tried, ["a", "b"], "left_anti")
+            stars = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            found = components(stars.unionByName(written(confirmed(pairs, texts)))).select(F.col("node").alias("id"), "component")
     classes = same.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = profile.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.coalesce("component", "doc_id")

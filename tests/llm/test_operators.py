@@ -192,6 +192,19 @@ def test_large_group_of_near_copies(table):
     assert got == label
 
 
+def test_sparse_links_in_a_large_node(table, monkeypatch):
+    """Nodes of the last level that stay large are compared whole: hundreds share a passage, few pairs link."""
+    monkeypatch.setattr(near_dedup, "LEVELS", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 50, raising=False)
+    shared = prose(5, 120)
+    texts = [f"{shared} " + " ".join(f"own{i}x{j}" for j in range(30)) for i in range(600)]
+    texts += [texts[i].rsplit(" ", 6)[0] + " " + " ".join(f"tail{i}x{j}" for j in range(6)) for i in range(60)]
+    got = {r.doc_id: r.component_id for r in near_dedup.link(table(texts)).collect()}
+    sets = [shingle_set(t) for t in texts]
+    assert len(sets[0] & sets[1]) < 0.75 * len(sets[0] | sets[1]) and len(sets[0] & sets[600]) >= 0.75 * len(sets[0] | sets[600])
+    assert got == {i: i if i < 600 else i - 600 for i in range(660)}
+
+
 # -- fingerprints
 
 
