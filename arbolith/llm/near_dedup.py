@@ -107,7 +107,7 @@ def _profiled(branches: list[tuple[int, int]]):
                 tokens.append(None if least is None else (least & np.uint64(0xFF)).astype(np.uint8).tobytes())
                 keys.append(None if least is None else _mix(least[at] ^ salts).astype(np.int64))
             columns = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_shingles", "digest", "tokens", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), *columns], ["doc_id", "tag", "n_shingles", "digest", "tokens", "keys"])
 
     return run
 
@@ -283,16 +283,18 @@ def _leafwise(members: DataFrame, pick, names: list[str]) -> DataFrame:
     return members.repartition(n, "leaf").sortWithinPartitions("leaf", "id").mapInArrow(_pairs(pick, names), "a long, b long").distinct()
 
 
-def link(df: DataFrame, text: str = "text", id_col: str = "doc_id", trees: int = TREES) -> DataFrame:
+def link(df: DataFrame, text: str = "text", id_col: str = "doc_id", trees: int = TREES, tagged: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``df``.
 
     component_id: the least doc_id that can be reached over links; kept: doc_id is component_id. Null, empty and blank texts
     have no shingles and are linked with nothing. Rows that share a doc_id are told apart by their texts; texts that
     have the same least doc_id are one node, linked by any of them. A row of null doc_id is linked with nothing and kept, its component null. Very long texts are read whole;
-    of groups of copies one row goes on after a partial aggregation. Other columns of ``df`` play no part.
+    of groups of copies one row goes on after a partial aggregation. Other columns of ``df`` play no part. With ``tagged``, tag (xxhash64 of the
+    text) and digest (of the shingles, null if there are none) tell to which of the rows of an id a result belongs.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    profile = written(rows.mapInArrow(_profiled(root_branches(trees)), "doc_id long, n_shingles long, digest binary, tokens binary, keys array<bigint>"))
+    rows = rows.withColumn("tag", F.xxhash64("text"))
+    profile = written(rows.mapInArrow(_profiled(root_branches(trees)), "doc_id long, tag long, n_shingles long, digest binary, tokens binary, keys array<bigint>"))
     sets = profile.filter("n_shingles > 0 and doc_id is not null")
     same = written(sets.groupBy("digest").agg(F.min("doc_id").alias("id")))
     nodes = sets.join(same.withColumn("doc_id", F.col("id")), ["digest", "doc_id"]).dropDuplicates(["id", "digest"]).select("id", "tokens", "keys")
@@ -323,9 +325,9 @@ def link(df: DataFrame, text: str = "text", id_col: str = "doc_id", trees: int =
             stars = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
             found = components(stars.unionByName(written(confirmed(pairs, texts)))).select(F.col("node").alias("id"), "component")
     classes = same.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    out = profile.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
+    out = profile.select("doc_id", "tag", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *(["tag", "digest"] if tagged else []))
 
 
 def op3(docs: DataFrame) -> DataFrame:

@@ -434,3 +434,12 @@ def test_pipeline_stages(spark, table):
     assert passage not in out["substring_dedup"][55].text and passage in out["substring_dedup"][54].text
     assert "[EMAIL]" in out["pii"][56].text and "a@b.org" not in out["pii"][56].text
     assert set(out["packing"]) == set(out["pii"])
+
+
+def test_near_dedup_stage_tells_rows_of_one_id_apart(spark, table):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    copied, clean = prose(1, 60), [prose(i, 60) for i in range(2, 6)]
+    ids, texts = [3, 5, 5, 5, 5, 7, 7, None], [copied, copied, clean[0], clean[1], clean[1].upper(), clean[2], clean[2], clean[3]]
+    out = corpus_pipeline.near_dedup_stage(spark, table(texts, ids), "").collect()
+    got = sorted((r.doc_id or 0, r.text.lower()) for r in out)
+    assert got == sorted([(3, copied), (5, clean[0]), (5, clean[1]), (7, clean[2]), (0, clean[3])])
