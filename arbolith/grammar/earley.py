@@ -119,7 +119,8 @@ class Machine:
     def parse(self, text: str, every: bool = False) -> Node:
         """The document of a text: the first parse, or with costs a cheapest one.
 
-        Of an ambiguous text the root says so in an attribute; with ``every`` all parses stand under AMBIGUOUS.
+        Of an ambiguous text the root says so in an attribute; with ``every`` all parses stand under AMBIGUOUS, which has an
+        attribute ``cut`` if a rule has over 1000 ways over a span and the others were left out.
         """
         return _Builder(self, text, every).document()
 
@@ -130,59 +131,84 @@ class _Builder:
         self.done = machine.recognise(text)
         self.memo: dict = {}
         self.open: set = set()
-        self.ambiguous = False
-        self.limit = 1000 if every else 64 if machine.grammar.costly else 2
+        self.ambiguous = self.cut = False
+        self.limit = 1000 if every else 2
+        self.depths: dict = {}
+        self.lowest = 1 << 30
 
-    def splits(self, a: int, dot: int, i: int, j: int) -> list[list[tuple[Term, int, int]]]:
-        """Ways in which the first ``dot`` terms of an alternative span i to j, from the right."""
-        terms = self.m.alternatives[a][1]
+    def begins(self, t: Term, dot: int, i: int, j: int) -> list[int]:
+        """Where the ``dot``-th term of an alternative that begins at i can begin to end at j, from the right."""
+        if t.kind == "rule":
+            starts = self.done[t.value].get(j, ())
+            return [i] if dot == 1 and i in starts else [] if dot == 1 else sorted((s for s in starts if s >= i), reverse=True)
+        if t.kind in ("insert", "not"):
+            return [j] if self.m._ends(t, self.text, j) == j else []
+        s = j - (len(t.value) if t.kind == "text" else 1)
+        return [s] if s >= i and self.m._ends(t, self.text, s) == j else []
+
+    def splits(self, a: int, dot: int, i: int, j: int) -> tuple[int, list[list[tuple[Term, int, int]]]]:
+        """The least cost at which the first ``dot`` terms of an alternative span i to j, and the ways of that cost, from the right.
+
+        Without costs all ways cost 0. Only ways of equal cost are ever left out.
+        """
         if not dot:
-            return [[]] if i == j else []
+            return (0, [[]]) if i == j else (1 << 30, [])
         key = (a, dot, i, j)
         if key in self.memo:
             return self.memo[key]
-        t = terms[dot - 1]
-        out: list = []
-        if t.kind == "rule":
-            starts = self.done[t.value].get(j, ())
-            begins = [i] if dot == 1 and i in starts else [] if dot == 1 else sorted((s for s in starts if s >= i), reverse=True)
-        elif t.kind in ("insert", "not"):
-            begins = [j] if self.m._ends(t, self.text, j) == j else []
-        else:
-            s = j - (len(t.value) if t.kind == "text" else 1)
-            begins = [s] if s >= i and self.m._ends(t, self.text, s) == j else []
-        for s in begins:
-            for rest in self.splits(a, dot - 1, i, s):
-                out.append([*rest, (t, s, j)])
-                if len(out) >= self.limit:
-                    break
-        self.memo[key] = out
-        return out
-
-    def ways(self, name: str, i: int, j: int) -> list[list[tuple[Term, int, int]]]:
-        out = []
+        outer, self.lowest = self.lowest, 1 << 30
+        t = self.m.alternatives[a][1][dot - 1]
+        best, out = 1 << 30, []
+        for s in self.begins(t, dot, i, j):
+            c, before = self.splits(a, dot - 1, i, s)
+            if before and t.kind == "rule" and self.m.grammar.costly:
+                c += self.cost(t.value, s, j)[0]
+            if not before or c > best or c >= 1 << 30:
+                continue
+            if c < best:
+                best, out = c, []
+            out += [[*rest, (t, s, j)] for rest in before[: self.limit + 1 - len(out)]]
+            if len(out) > self.limit and not self.m.grammar.costly:
+                break
+        self.keep(key, (best, out))
+        self.lowest = min(outer, self.lowest)
+        return best, out
+
+    def keep(self, key: tuple, value: tuple) -> None:
+        """Remembers a result, unless it was found within a span that is still open and left out there."""
+        if self.lowest >= len(self.depths):
+            self.memo[key] = value
+
+    def cheapest(self, name: str, i: int, j: int) -> tuple[int, list]:
+        """The least cost of a rule's alternatives over a span, without its own, and the ways of that cost."""
+        best, out = 1 << 30, []
         for a in self.m.of[name]:
-            out += self.splits(a, len(self.m.alternatives[a][1]), i, j)
-        return out[: self.limit]
+            c, ways = self.splits(a, len(self.m.alternatives[a][1]), i, j)
+            if c < best:
+                best, out = c, []
+            if c == best:
+                out = out + ways
+        self.cut |= len(out) > self.limit
+        return best, out[: self.limit]
 
     def cost(self, name: str, i: int, j: int) -> tuple[int, list]:
         """The least cost of a rule's parses over a span, and its ways of that cost."""
         key = ("cost", name, i, j)
         if key in self.memo:
             return self.memo[key]
-        if key in self.open:
+        if key in self.depths:
+            self.lowest = min(self.lowest, self.depths[key])
             return 1 << 30, []
-        self.open.add(key)
-        best, kept = 1 << 30, []
-        for way in self.ways(name, i, j):
-            c = sum(self.cost(t.value, s, e)[0] for t, s, e in way if t.kind == "rule")
-            if c < best:
-                best, kept = c, [way]
-            elif c == best:
-                kept.append(way)
-        self.open.discard(key)
-        self.memo[key] = (best + self.m.grammar.rules[name].cost, kept)
-        return self.memo[key]
+        outer, self.lowest = self.lowest, 1 << 30
+        self.depths[key] = len(self.depths)
+        best, kept = self.cheapest(name, i, j)
+        del self.depths[key]
+        found = best + self.m.grammar.rules[name].cost, kept
+        self.keep(key, found)
+        if self.lowest >= len(self.depths):  # what was left out was this span itself
+            self.lowest = 1 << 30
+        self.lowest = min(outer, self.lowest)
+        return found
 
     def children(self, name: str, i: int, j: int) -> list[list[Node]]:
         """Contents of a rule over a span: one list, or with ``every`` one for each parse. A span inside itself is left out."""
@@ -190,7 +216,7 @@ class _Builder:
         if key in self.open:
             return []
         self.open.add(key)
-        ways = self.cost(name, i, j)[1] if self.m.grammar.costly else self.ways(name, i, j)
+        ways = self.cost(name, i, j)[1] if self.m.grammar.costly else self.cheapest(name, i, j)[1]
         if len(ways) > 1:
             self.ambiguous = True
         out: list[list[Node]] = []
@@ -228,6 +254,8 @@ class _Builder:
         bodies = self.term(Term("rule", g.start), 0, len(self.text))
         if self.every and len(bodies) > 1:
             root = Node("element", "AMBIGUOUS")
+            if self.cut:
+                root.add(Node("attribute", "cut", value="1000"))
             for b in bodies:
                 for n in b:
                     root.add(n)

@@ -270,3 +270,15 @@ def test_colours_keep_the_text():
     assert re.sub("<[^>]*>", "", coloured.paint(source, "html")).replace("&lt;", "<").replace("&gt;", ">") == source
     assert coloured.nearest_256("ff0000") == 196 and "arb-key" in coloured.page(coloured.paint(source, "html"))
     assert "\\arbKey{b}" in coloured.paint(source, "tex")
+
+
+def test_the_cheapest_parse_is_sought_among_all():
+    from arbolith.grammar import registry
+
+    g = "S = A, B. A = ~[]*. B = 'x', ~[]* | C. C =< ~[]*."
+    for n in (5, 70, 90):
+        root = registry.parse_text(g, "x" + "y" * n).children[0]
+        b = next(c for c in root.children if c.name == "B")
+        assert not any(c.name == "C" for c in b.children), n
+    cut = registry.parse_text("S = A, A, A, A. A = ~[]*.", "y" * 18, every=True).children[0]
+    assert cut.name == "AMBIGUOUS" and cut.attr("cut") is not None
