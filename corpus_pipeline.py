@@ -26,13 +26,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: that of least doc_id. Rows of null id stay.
+    """Keeps one document of each group of near duplicates: that of least doc_id.
 
-    Rows that share a doc_id are judged each by its text; of those with the same shingles one goes on.
+    Rows of null id, and those without words (null, empty or blank texts), stay. Rows that share a doc_id are judged each by
+    its own text; of rows repeated whole one goes on.
     """
-    kept = near_dedup.link(docs, tagged=True).filter("kept and doc_id is not null").groupBy("doc_id", "digest").agg(F.min("tag").alias("_tag"))
-    named = docs.withColumn("_tag", F.xxhash64("text")).join(kept.select("doc_id", "_tag"), ["doc_id", "_tag"], "left_semi").dropDuplicates(["doc_id", "_tag"])
-    return named.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    return near_dedup.representatives(docs.select(*COLUMNS))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
