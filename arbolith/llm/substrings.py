@@ -15,6 +15,9 @@ from .common import slices
 #: A chunk ends behind white space where the rolling hash of the last WINDOW bytes is low: every WORDS words on average. The
 #: hash sees nothing else, so chunks of a passage are the same in any document after its first few words.
 WINDOW, WORDS = 16, 5
+#: Where the last SPACELESS bytes hold no white space, as in Chinese, Japanese or Thai, a chunk may end at any character, every
+#: CHARACTERS of them on average; a passage has the same chunks there too. WORD_BYTES bytes count as a word.
+SPACELESS, CHARACTERS, WORD_BYTES = 32, 12, 12
 #: Without such a place for so many bytes a chunk is cut at the next character.
 LONGEST = 2048
 #: A run of repeated chunks is taken out if it has MANY_WORDS, or LEAST_WORDS with LEAST_SOLID bytes in chunks of SOLID bytes
@@ -22,7 +25,7 @@ LONGEST = 2048
 LEAST_WORDS, LEAST_SOLID, SOLID, MANY_WORDS = 16, 64, 16, 32
 _GEAR = np.random.default_rng(20240607).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_LOW = np.uint32((1 << 16) // WORDS)
+_LOW, _LOWER = np.uint32((1 << 16) // WORDS), np.uint32((1 << 16) // CHARACTERS)
 
 
 def cut(raw: np.ndarray) -> np.ndarray:
@@ -34,7 +37,15 @@ def cut(raw: np.ndarray) -> np.ndarray:
     while step < WINDOW:  # the sum over gear[b] << age, doubling the ages in each step
         h[step:] += h[:-step] << np.uint32(step)
         step *= 2
-    ends = np.flatnonzero(_SPACE[raw] & ((h >> np.uint32(8) & np.uint32(0xFFFF)) < _LOW)) + 1
+    seen = h >> np.uint32(8) & np.uint32(0xFFFF)
+    space = _SPACE[raw]
+    ends = np.flatnonzero(space & (seen < _LOW)) + 1
+    last = np.flatnonzero(space)
+    if n > SPACELESS and np.diff(last, prepend=-1, append=n).max() > SPACELESS:
+        since = np.arange(n)
+        since -= np.maximum.accumulate(np.where(space, since, -1))
+        inner = np.flatnonzero((since[:-1] >= SPACELESS) & (seen[:-1] < _LOWER) & (raw[1:] & 0xC0 != 0x80)) + 1
+        ends = np.union1d(ends, inner)
     if not len(ends) or ends[-1] != n:
         ends = np.append(ends, n)
     gaps = np.diff(ends, prepend=0)
@@ -56,7 +67,8 @@ def cut(raw: np.ndarray) -> np.ndarray:
 def _rows(text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Digests of a text's chunks, their packed places, and whether each repeats an earlier one of the text.
 
-    A place has start, bytes (12 bits) and words (8 bits); its last 12 bits are not used.
+    A place has start, bytes (12 bits) and words (8 bits); its last 12 bits are not used. Words are counted by their white
+    space, or by bytes where that makes more of them.
     """
     data = (text or "").encode()
     raw = np.frombuffer(data, np.uint8)
@@ -64,7 +76,7 @@ def _rows(text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
     starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
     digests = [xxhash.xxh64_intdigest(data[a:b]) - (1 << 63) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
     words = np.concatenate([[0], np.cumsum(_SPACE[raw])])
-    count = np.minimum(255, np.maximum(1, words[ends] - words[starts])) if len(ends) else ends
+    count = np.minimum(255, np.maximum(words[ends] - words[starts], (ends - starts) // WORD_BYTES)) if len(ends) else ends
     places = starts << 32 | (ends - starts) << 20 | count << 12
     seen: set[int] = set()
     again = np.array([d in seen or seen.add(d) is not None for d in digests], bool)

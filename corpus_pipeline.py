@@ -47,7 +47,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences: a row for each piece of a document, with its bin and its place there."""
-    return packing.pack(docs, packing.byte_length(F.col("text")))
+    return packing.pack(docs, packing.byte_length(F.col("text")), spread=F.xxhash64("text"))
 
 
 STAGES = [
