@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import sys
 from dataclasses import dataclass
 
@@ -313,13 +315,77 @@ def failure_document(f: Failure) -> Node:
     return doc
 
 
-def recover(machine: Machine, text: str, most: int = 20) -> tuple[Node, int]:
-    """A parse of the text without as few characters as it takes, leaving them out where parsing stops; and how many."""
-    for gone in range(most + 1):
-        try:
-            return machine.parse(text), gone
-        except Failure as f:
-            if f.at >= len(text):
-                raise
-            text = text[: f.at] + text[f.at + 1 :]
-    raise Failure(text, 0)
+def kept_characters(machine: Machine, text: str) -> list[int] | None:
+    """The places of the characters of a text that is left when the fewest are taken out for it to parse; None if nothing helps.
+
+    Items are found in the order of the characters taken out within them, cheapest first, so each is final when it is first
+    met. A character can go in front of any that is read, inside a literal too, and at the end.
+    """
+    n = len(text)
+    alternatives, of, start = machine.alternatives, machine.of, machine.grammar.start
+    cost: dict[tuple, int] = {}
+    back: dict[tuple, tuple] = {}
+    waiting: dict[tuple[str, int], list[tuple]] = {}
+    ended: dict[tuple[str, int], list[tuple]] = {}
+    done: set[tuple] = set()
+    heap: list[tuple[int, int, tuple]] = []
+    order = itertools.count()
+
+    def put(item: tuple, c: int, how: tuple) -> None:
+        if c < cost.get(item, 1 << 30):
+            cost[item], back[item] = c, how
+            heapq.heappush(heap, (c, next(order), item))
+
+    for a in of[start]:
+        put((a, 0, 0, 0, 0), 0, ())
+    while heap:
+        c, _, item = heapq.heappop(heap)
+        if item in done:
+            continue
+        done.add(item)
+        a, dot, inside, origin, end = item  # inside: characters of a literal that are read already
+        name, terms = alternatives[a]
+        if dot == len(terms):
+            if name == start and origin == 0:
+                if end == n:
+                    return sorted(_read(item, back))
+                put((a, dot, inside, origin, end + 1), c + 1, (item,))
+            ended.setdefault((name, origin), []).append(item)
+            for w in waiting.get((name, origin), ()):
+                put((w[0], w[1] + 1, 0, w[3], end), cost[w] + c, (w, item))
+            continue
+        t = terms[dot]
+        if t.kind == "rule":
+            key = (t.value, end)
+            if key not in waiting:
+                for b in of[t.value]:
+                    put((b, 0, 0, end, end), 0, ())
+            waiting.setdefault(key, []).append(item)
+            for d in ended.get(key, ()):
+                put((a, dot + 1, 0, origin, d[4]), c + cost[d], (item, d))
+            continue
+        if t.kind in ("insert", "not"):
+            if machine._ends(t, text, end) == end:
+                put((a, dot + 1, 0, origin, end), c, (item,))
+            continue
+        if t.kind == "text" and inside == len(t.value):
+            put((a, dot + 1, 0, origin, end), c, (item,))
+        elif end < n:
+            if t.kind == "set" and text[end] in t.value:
+                put((a, dot + 1, 0, origin, end + 1), c, (item, end))
+            elif t.kind == "text" and text[end] == t.value[inside]:
+                put((a, dot, inside + 1, origin, end + 1), c, (item, end))
+            put((a, dot, inside, origin, end + 1), c + 1, (item,))
+    return None
+
+
+def _read(item: tuple, back: dict[tuple, tuple]) -> list[int]:
+    """The places that an item has read, along the way it was found."""
+    out, stack = [], [item]
+    while stack:
+        for step in back[stack.pop()]:
+            if isinstance(step, int):
+                out.append(step)
+            else:
+                stack.append(step)
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..model import Node, document
 from ..sources.readers import tree_rows
-from .earley import Failure, Machine, failure_document
+from .earley import Failure, Machine, failure_document, kept_characters
 from .front import parse
 
 #: A row is never empty, so that a last newline doesn't start one.
@@ -138,18 +138,26 @@ def machine(grammar: str) -> Machine:
     return Machine(parse(GRAMMARS[grammar[5:]] if grammar.startswith("ixml:") else grammar))
 
 
-def parse_text(grammar: str, text: str, every: bool = False, silent: bool = False) -> Node:
-    """The document of a text; one that doesn't parse gives a failure document, or with ``silent`` an empty one."""
+def parse_text(grammar: str, text: str, every: bool = False, silent: bool = False, recover: bool = False) -> Node:
+    """The document of a text; one that doesn't parse gives a failure document, or with ``silent`` an empty one.
+
+    With ``recover`` it is parsed without as few characters as that takes; the root tells how many in an attribute, skipped.
+    """
     try:
         return machine(grammar).parse(text, every)
     except Failure as f:
+        if recover and (kept := kept_characters(machine(grammar), text)) is not None:
+            doc = machine(grammar).parse("".join(text[i] for i in kept), every)
+            if doc.children and doc.children[0].kind == "element":
+                doc.children[0].add(Node("attribute", "skipped", value=str(len(text) - len(kept))))
+            return doc
         return document() if silent else failure_document(f)
 
 
-def nodes(df: DataFrame, content: Column | str, grammar: str, doc_id: Column | str = "doc_id", every: bool = False, silent: bool = False) -> DataFrame:
+def nodes(df: DataFrame, content: Column | str, grammar: str, doc_id: Column | str = "doc_id", every: bool = False, silent: bool = False, recover: bool = False) -> DataFrame:
     """Rows of NODES of a column of texts parsed by a grammar. The grammar is checked here, on the driver."""
     machine(grammar)
     content = F.col(content) if isinstance(content, str) else content
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     slim = df.select(doc_id.cast("long").alias("doc_id"), content.alias("raw")).filter("raw is not null")
-    return tree_rows(slim, lambda row: parse_text(grammar, row["raw"], every, silent))
+    return tree_rows(slim, lambda row: parse_text(grammar, row["raw"], every, silent, recover))

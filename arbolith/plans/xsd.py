@@ -6,7 +6,9 @@ import re
 from dataclasses import dataclass, field
 from decimal import Decimal, InvalidOperation
 
-from ..model import Node
+from ..model import Node, qualify
+from . import xpath as X
+from . import xpath_tree as T
 
 _INT = r"[+-]?[0-9]+"
 _YMD = r"-?[0-9]{4,}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])"
@@ -19,6 +21,10 @@ PATTERNS = {
     "ID": r"[A-Za-z_][\w.\-]*", "IDREF": r"[A-Za-z_][\w.\-]*", "language": r"[A-Za-z]{1,8}(-[A-Za-z0-9]{1,8})*", "hexBinary": "([0-9a-fA-F]{2})*", "duration": r"-?P(?=.)([0-9]+Y)?([0-9]+M)?([0-9]+D)?(T(?=.)([0-9]+H)?([0-9]+M)?([0-9]+(\.[0-9]+)?S)?)?",
 }
 PATTERNS["float"] = PATTERNS["double"]
+PATTERNS |= {"gMonth": r"--(0[1-9]|1[0-2])" + _ZONE, "gDay": r"---(0[1-9]|[12][0-9]|3[01])" + _ZONE, "gYearMonth": r"-?[0-9]{4,}-(0[1-9]|1[0-2])" + _ZONE, "gMonthDay": r"--(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])" + _ZONE}
+PATTERNS |= {"base64Binary": r"([A-Za-z0-9+/] ?)*=? ?=?", "QName": r"([A-Za-z_][\w.\-]*:)?[A-Za-z_][\w.\-]*", "NMTOKENS": r"[\w.:\-]+( [\w.:\-]+)*", "IDREFS": r"[A-Za-z_][\w.\-]*( [A-Za-z_][\w.\-]*)*", "ENTITY": r"[A-Za-z_][\w.\-]*"}
+#: Types that take any text.
+ANY_TEXT = {"string", "normalizedString", "token", "anyURI", "anyType", "anySimpleType", "anyAtomicType"}
 BOUNDS = {
     "byte": (-(2**7), 2**7 - 1), "short": (-(2**15), 2**15 - 1), "int": (-(2**31), 2**31 - 1), "long": (-(2**63), 2**63 - 1), "unsignedByte": (0, 2**8 - 1), "unsignedShort": (0, 2**16 - 1), "unsignedInt": (0, 2**32 - 1),
     "unsignedLong": (0, 2**64 - 1), "nonNegativeInteger": (0, None), "positiveInteger": (1, None), "nonPositiveInteger": (None, 0), "negativeInteger": (None, -1),
@@ -35,6 +41,10 @@ class Schema:
     types: dict[str, Node] = field(default_factory=dict)
     groups: dict[str, Node] = field(default_factory=dict)
     attributes: dict[str, Node] = field(default_factory=dict)
+    #: For each element the names of those that may stand in its place.
+    substitutes: dict[str, set[str]] = field(default_factory=dict)
+    target: str | None = None
+    qualified: bool = False
 
 
 def _get(n: Node, name: str) -> str | None:
@@ -59,13 +69,36 @@ def compile(doc: Node) -> Schema:
         table = {"element": s.elements, "complexType": s.types, "simpleType": s.types, "group": s.groups, "attributeGroup": s.groups, "attribute": s.attributes}.get(c.name or "")
         if table is not None:
             table[_get(c, "name") or ""] = c
+    s.target, s.qualified = _get(root, "targetNamespace"), _get(root, "elementFormDefault") == "qualified"
+    heads = {name: _local(_get(e, "substitutionGroup")) for name, e in s.elements.items()}
+    for name in heads:
+        head = heads[name]
+        while head and name not in s.substitutes.setdefault(head, set()):
+            s.substitutes[head].add(name)
+            head = heads.get(head)
+    elsewhere = any(c.name in ("import", "include", "redefine") for c in _parts(root))
+    for n in root.walk():
+        for a in ("type", "base", "itemType", "memberTypes") if n.kind == "element" else ():
+            for name in (_get(n, a) or "").split():
+                if not elsewhere and (local := _local(name)) not in s.types and local not in PATTERNS and local not in BOUNDS and local not in ANY_TEXT:
+                    raise SchemaError(f"unknown type {name}")
     return s
 
 
+def _by_local_names(path: str) -> str:
+    """The path of a selector or field with elements by their local names, as prefixes are the schema's."""
+
+    def step(m: re.Match) -> str:
+        return f"@{m[2]}" if m[1] else f"*[local-name()='{m[2]}']"
+
+    return re.sub(r"(@)?(?:[\w.-]+:)?([A-Za-z_][\w.-]*)", step, path)
+
+
 class _Validator:
     def __init__(self, schema: Schema):
         self.s = schema
         self.errors: list[str] = []
+        self.tables: dict[str, set[tuple]] = {}
 
     def fail(self, n: Node, message: str) -> None:
         self.errors.append(f"element {n.qname}: {message}")
@@ -128,9 +161,41 @@ class _Validator:
 
     # -- structure
 
+    def identity(self, n: Node, decl: Node) -> None:
+        """Keys and what is unique below an element, then references to keys."""
+        rules = [c for c in _parts(decl) if c.name in ("key", "unique", "keyref")]
+        for rule in sorted(rules, key=lambda r: r.name == "keyref"):
+            paths = {k: [_by_local_names(_get(p, "xpath") or ".") for p in _parts(rule) if p.name == k] for k in ("selector", "field")}
+            name, refer = _get(rule, "name") or "", _local(_get(rule, "refer")) or ""
+            seen: set[tuple] = set()
+            for hit in T.evaluate(X.parse(paths["selector"][0]), T.Context(n)):
+                found = [T.evaluate(X.parse(f), T.Context(hit)) for f in paths["field"]]
+                if not all(found):
+                    if rule.name == "key":
+                        self.fail(hit, f"a field of the key {name} is missing")
+                    continue
+                value = tuple(T.string(f) for f in found)
+                if rule.name == "keyref" and value not in self.tables.get(refer, ()):
+                    self.fail(hit, f"no key {refer} has the value {', '.join(value)}")
+                elif rule.name != "keyref" and value in seen:
+                    self.fail(hit, f"the value {', '.join(value)} of {name} is there twice")
+                seen.add(value)
+            if rule.name != "keyref":
+                self.tables.setdefault(name, set()).update(seen)
+
+    def space(self, decl: Node) -> str | None:
+        """The namespace in which an element is declared."""
+        top = any(decl is e for e in self.s.elements.values())
+        return self.s.target if top or (_get(decl, "form") or ("qualified" if self.s.qualified else "")) == "qualified" else None
+
     def element(self, n: Node, decl: Node) -> None:
-        if ref := _get(decl, "ref"):
-            decl = self.s.elements.get(_local(ref) or "", decl)
+        if _get(decl, "ref"):
+            decl = self.s.elements.get(n.name or "", decl)
+        if _get(decl, "abstract") == "true":
+            self.fail(n, "the element is abstract")
+        if self.s.target and (n.ns_uri or None) != self.space(decl):
+            self.fail(n, f"the namespace is {n.ns_uri}, not {self.space(decl)}")
+        self.identity(n, decl)
         inline = next((c for c in _parts(decl) if c.name in ("complexType", "simpleType")), None)
         name = _get(decl, "type")
         node = inline or self.s.types.get(_local(name) or "")
@@ -220,6 +285,20 @@ class _Validator:
             if _get(d, "use") == "required" and n.attr(name) is None:
                 self.fail(n, f"the attribute {name} is required but missing")
 
+    def wild(self, n: Node, p: Node) -> bool:
+        """Whether a wildcard takes an element; one that is declared is checked unless the wildcard skips it."""
+        spaces = (_get(p, "namespace") or "##any").split()
+        here = n.ns_uri or None
+        names = {"##targetNamespace": self.s.target, "##local": None}
+        if spaces != ["##any"] and not (here not in (None, self.s.target) if spaces == ["##other"] else here in [names.get(x, x) for x in spaces]):
+            return False
+        how, decl = _get(p, "processContents"), self.s.elements.get(n.name or "")
+        if decl is not None and how != "skip" and here == self.s.target:
+            self.element(n, decl)
+        elif how == "strict":
+            self.fail(n, "the element is not declared")
+        return True
+
     def expected(self, p: Node) -> str:
         if p.name == "element":
             return _local(_get(p, "ref")) or _get(p, "name") or "?"
@@ -240,12 +319,13 @@ class _Validator:
 
     def once(self, p: Node, own: list[Node], at: int, n: Node) -> int | None:
         if p.name == "element":
-            if at < len(own) and own[at].name == (_local(_get(p, "ref")) or _get(p, "name")):
+            name = _local(_get(p, "ref")) or _get(p, "name")
+            if at < len(own) and (own[at].name == name or (_get(p, "ref") and own[at].name in self.s.substitutes.get(name or "", ()))):
                 self.element(own[at], p)
                 return at + 1
             return None
         if p.name == "any":
-            return at + 1 if at < len(own) else None
+            return at + 1 if at < len(own) and self.wild(own[at], p) else None
         if p.name == "group":
             inner = _parts(self.s.groups.get(_local(_get(p, "ref")) or "", p))
             return self.particle(inner[0], own, at, n) if inner else at
@@ -281,6 +361,8 @@ def validate(schema: Schema, doc: Node) -> list[str]:
     root = next((c for c in doc.children if c.kind == "element"), None)
     if root is None:
         return ["the document is empty"]
+    if schema.target:
+        qualify(doc)
     decl = schema.elements.get(root.name or "")
     if decl is None:
         return [f"element {root.qname}: no declaration for the root"]

@@ -24,6 +24,14 @@ class Template:
     priority: float
     order: int
     body: Node
+    precedence: int = 0
+
+
+@dataclass(frozen=True)
+class Expression:
+    """A parameter that is an XPath expression, not a string; it is evaluated on each document."""
+
+    source: str
 
 
 @dataclass
@@ -35,6 +43,9 @@ class Stylesheet:
     output: dict[str, str] = field(default_factory=dict)
     strip: bool = False
     sets: dict[str, Node] = field(default_factory=dict)
+    decimals: dict[str, dict[str, str]] = field(default_factory=dict)
+    #: Prefixes of literal elements, with the prefix and namespace that stand for them in results.
+    aliases: dict[str, tuple[str, str]] = field(default_factory=dict)
 
 
 def _xsl(n: Node) -> str | None:
@@ -58,30 +69,65 @@ def _priority(p: X.Path) -> float:
     return -0.5 if t in ("*", "node()", "text()", "comment()") else -0.25 if t.endswith(":*") else 0.0
 
 
-def compile(doc: Node) -> Stylesheet:
-    """A stylesheet from its tree; what it lacks or holds wrongly is an error here."""
+def _root_of(doc: Node) -> Node:
     qualify(doc)
     root = next((c for c in doc.children if c.kind == "element"), None)
     if root is None:
         raise StylesheetError("the stylesheet is empty")
+    return root
+
+
+def _modules(root: Node, others: dict[str, Node], within: tuple[str, ...] = ()) -> list[list[Node]]:
+    """The declarations of a stylesheet and of those it imports, a list for each, least precedence first; included ones count as its own."""
+    mine: list[Node] = []
+    imported: list[list[Node]] = []
+
+    def take(r: Node, names: tuple[str, ...]) -> None:
+        for n in r.children:
+            if _xsl(n) not in ("import", "include"):
+                mine.append(n)
+                continue
+            name = _get(n, "href") or ""
+            if name in names or name not in others:
+                raise StylesheetError(f"stylesheet {name!r} {'includes itself' if name in names else 'is not given'}")
+            inner = _root_of(others[name])
+            if _xsl(n) == "include":
+                take(inner, (*names, name))
+            else:
+                imported.extend(_modules(inner, others, (*names, name)))
+
+    take(root, within)
+    return [*imported, mine]
+
+
+def compile(doc: Node, others: dict[str, Node] | None = None) -> Stylesheet:
+    """A stylesheet from its tree; what it lacks or holds wrongly is an error here. ``others``: trees of stylesheets that it imports or includes, by name."""
+    root = _root_of(doc)
     sheet = Stylesheet()
     if _xsl(root) not in ("stylesheet", "transform"):
         body = Node("element", "template")
         body.children = [root]
         sheet.templates.append(Template(X.Path(True, ()), None, None, 0.5, 0, body))
         return sheet
-    for order, n in enumerate(root.children):
+    declared = [(p, n) for p, module in enumerate(_modules(root, others or {})) for n in module]
+    for order, (precedence, n) in enumerate(declared):
         match _xsl(n):
             case "template":
                 name, match_ = _get(n, "name"), _get(n, "match")
                 for p in _alternatives(X.parse(match_)) if match_ else [None]:
                     own = float(_get(n, "priority") or (_priority(p) if p is not None else 0))
-                    t = Template(p, name, _get(n, "mode"), own, order, n)
+                    t = Template(p, name, _get(n, "mode"), own, order, n, precedence)
                     sheet.templates.append(t)
                     if name:
                         sheet.named[name] = t
             case "variable" | "param":
-                sheet.globals.append(n)
+                sheet.globals = [*(g for g in sheet.globals if _get(g, "name") != _get(n, "name")), n]
+            case "decimal-format":
+                sheet.decimals[_get(n, "name") or ""] = T.SYMBOLS | {a.name or "": a.text() for a in n.attrs if a.kind == "attribute" and a.name != "name"}
+            case "namespace-alias":
+                spaces = {a.name: a.value or "" for a in root.attrs if a.kind == "namespace"}
+                to = _get(n, "result-prefix") or ""
+                sheet.aliases[_get(n, "stylesheet-prefix") or ""] = (to, spaces.get(to, ""))
             case "key":
                 for p in _alternatives(X.parse(_get(n, "match") or "")):
                     sheet.keys.setdefault(_get(n, "name") or "", []).append((p, X.parse(_get(n, "use") or "")))
@@ -91,7 +137,7 @@ def compile(doc: Node) -> Stylesheet:
                 sheet.strip = True
             case "attribute-set":
                 sheet.sets[_get(n, "name") or ""] = n
-    sheet.templates.sort(key=lambda t: (t.priority, t.order))
+    sheet.templates.sort(key=lambda t: (t.precedence, t.priority, t.order))
     return sheet
 
 
@@ -101,7 +147,8 @@ class Run:
     def __init__(self, sheet: Stylesheet, doc: Node, params: dict[str, str] | None = None, documents: dict[str, Node] | None = None):
         self.sheet, self.doc = sheet, doc
         self.documents = documents or {}
-        self.functions = {"key": self._key, "document": self._document, "system-property": lambda c, n: "1.0" if T.string(n).endswith("version") else "", "function-available": lambda c, n: False, "element-available": lambda c, n: False}
+        self.functions = {"key": self._key, "document": self._document, "system-property": lambda c, n: "1.0" if T.string(n).endswith("version") else "", "function-available": lambda c, n: False, "element-available": lambda c, n: False, "format-number": self._format_number}
+        self.running: list[Template] = []
         self.index: dict[str, dict[str, list[Node]]] = {}
         self.base: dict[str, object] = {}
         self.messages: list[str] = []
@@ -109,7 +156,8 @@ class Run:
         for g in sheet.globals:
             name = _get(g, "name") or ""
             if _xsl(g) == "param" and params and name in params:
-                self.base[name] = params[name]
+                given = params[name]
+                self.base[name] = T.evaluate(X.parse(given.source), self._context(doc, self.base)) if isinstance(given, Expression) else given
             else:
                 self.base[name] = self._variable(g, self._context(doc, self.base))
 
@@ -122,6 +170,12 @@ class Run:
             raise StylesheetError(f"document({key!r}) isn't given")
         return [self.documents[key]]
 
+    def _format_number(self, c: T.Context, value: object, pattern: object, name: object = "") -> str:
+        key = T.string(name)
+        if key and key not in self.sheet.decimals:
+            raise StylesheetError(f"decimal format {key!r} isn't declared")
+        return T.format_number(T.number(value), T.string(pattern), self.sheet.decimals.get(key, T.SYMBOLS))
+
     def _key(self, c: T.Context, name: object, value: object) -> list[Node]:
         key = T.string(name)
         if key not in self.index:
@@ -195,7 +249,20 @@ class Run:
                 c.variables[name] = given[name] if name in given else self._variable(n, c)
             else:
                 body.append(n)
+        self.running.append(t)
         self.body(body, c, out)
+        self.running.pop()
+
+    def imported(self, n: Node, c: T.Context, out: Node) -> None:
+        """apply-imports: the current node by the templates of less precedence."""
+        now = self.running[-1]
+        t = next((t for t in reversed(self.sheet.templates) if t.precedence < now.precedence and t.mode == now.mode and t.pattern is not None and self.matches(n, t.pattern)), None)
+        if t is not None:
+            self.template(t, c, {}, out)
+        elif n.kind in ("element", "document"):
+            self.apply(n.children, c.variables, now.mode, {}, out)
+        else:
+            self.text(n.text(), out)
 
     def _variable(self, n: Node, c: T.Context) -> object:
         if (select := _get(n, "select")) is not None:
@@ -232,9 +299,12 @@ class Run:
             elif n.kind == "entity":
                 self.text(n.text(), out)
             elif n.kind == "element":
-                made = out.add(Node("element", n.name, n.prefix))
+                alias = self.sheet.aliases.get(n.prefix or "")
+                made = out.add(Node("element", n.name, (alias[0] or None) if alias else n.prefix))
+                if alias and out.prefix != made.prefix:
+                    made.add(Node("namespace", alias[0], value=alias[1]))
                 for a in n.attrs:
-                    if a.kind == "namespace" and a.value != NAMESPACE:
+                    if a.kind == "namespace" and a.value != NAMESPACE and a.name not in self.sheet.aliases:
                         made.add(Node("namespace", a.name, value=a.value))
                     elif a.kind == "attribute" and a.prefix != "xsl" and a.ns_uri != NAMESPACE:
                         made.add(Node("attribute", a.name, a.prefix, self.avt(a.text(), c) if a.value is not None or a.children else None))
@@ -344,6 +414,8 @@ class Run:
                 self.messages.append(holder.text())
                 if _get(n, "terminate") == "yes":
                     raise StylesheetError(holder.text())
+            case "apply-imports":
+                self.imported(c.node, c, out)
             case "fallback" | "sort" | "with-param":
                 pass
             case _:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .grammar import registry
 from .operators import measure, mutate
-from .plans import pipeline, xpath_frames
+from .plans import pipeline, trees, xpath_frames
+from .plans.trees import Trees
 from .sinks import writers
 from .sources import detect, readers
 from .streaming import lines as streams
@@ -69,6 +71,30 @@ def _pages(spark, sf_dir) -> DataFrame:
     return readers.nodes(_t(spark, sf_dir, "pages"), "html", "page_id", kind="html")
 
 
+def _events(spark, sf_dir) -> Trees:
+    return trees.of(_t(spark, sf_dir, "events"), "props", "event_id", kind="json", keep=["event_type"])
+
+
+def _nations(spark, sf_dir) -> Trees:
+    return trees.of(_nation_json(spark, sf_dir), "t", kind="json")
+
+
+def _customer_trees(spark, sf_dir) -> Trees:
+    return trees.of(_customer_xml(spark, sf_dir), "t", kind="xml")
+
+
+def _page_trees(spark, sf_dir) -> Trees:
+    return trees.of(_t(spark, sf_dir, "pages"), "html", "page_id", kind="html")
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.getConf().get("spark.master", "local").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='arbolith-')).rstrip('/')}/arbolith/{uuid.uuid4().hex}"
+
+
 # -- sources
 
 
@@ -88,14 +114,15 @@ for _name, _table, _column in (("detect_type_pages", "pages", "html"), ("detect_
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def jsonl_select_k(spark, sf_dir):
-    nodes = readers.nodes(_t(spark, sf_dir, "events"), "props", "event_id", kind="json")
-    return measure.get_long(nodes, "/_/k").select(F.col("doc_id").alias("event_id"), F.col("value").alias("k"))
+    return _events(spark, sf_dir).first("/_/k").select(F.col("doc_id").alias("event_id"), measure.c_integer(F.col("value")).alias("k"))
+
 
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) > 10 GROUP BY 1")
 def jsonl_filter_agg(spark, sf_dir):
-    k = F.get_json_object("props", "$.k").cast("long")
-    return _t(spark, sf_dir, "events").filter(k > 10).groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"))
+    k = measure.c_integer(F.col("value"))
+    return _events(spark, sf_dir).first("/_/k").select("event_type", k.alias("k")).filter("k > 10").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("total"))
+
 
 
 @query("SELECT event_id AS doc_id, unnest([0, 1, 2]) AS pre, unnest([2, 1, 0]) AS post, unnest(['/_', '/_/k', '/_/k']) AS path, unnest([NULL, NULL, json_extract_string(props, '$.k')]) AS value FROM events")
@@ -105,7 +132,8 @@ def json_tree_shred(spark, sf_dir):
 
 @query("""SELECT event_id AS doc_id, '{"k":' || json_extract_string(props, '$.k') || '}' AS text FROM events""")
 def json_roundtrip(spark, sf_dir):
-    return writers.render(readers.nodes(_t(spark, sf_dir, "events"), "props", "event_id", kind="json"), "json")
+    return replace(_events(spark, sf_dir), kept=()).render("json")
+
 
 
 @query("SELECT n_regionkey AS doc_id, n_name AS value, count(*) OVER (PARTITION BY n_regionkey) AS same_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS index FROM nation")
@@ -119,12 +147,14 @@ def json_dup_names(spark, sf_dir):
 
 @query("""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS text FROM nation""")
 def row_to_json(spark, sf_dir):
-    return writers.render(readers.nodes(_nation_json(spark, sf_dir), "t", kind="json"), "json")
+    return _nations(spark, sf_dir).render("json")
+
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, '<_><n_nationkey>' || n_nationkey || '</n_nationkey><n_name>' || n_name || '</n_name><n_regionkey>' || n_regionkey || '</n_regionkey></_>' AS text FROM nation")
 def row_to_xml(spark, sf_dir):
-    return writers.render(readers.nodes(_nation_json(spark, sf_dir), "t", kind="json"), "xml", declaration=False)
+    return _nations(spark, sf_dir).render("xml", declaration=False)
+
 
 
 _VALUE = "CASE WHEN regexp_matches(n_name, '^[^\\s(){}''\"]+$') THEN n_name || ' ' ELSE '''' || n_name || '''' END"
@@ -132,33 +162,40 @@ _VALUE = "CASE WHEN regexp_matches(n_name, '^[^\\s(){}''\"]+$') THEN n_name || '
 
 @query(f"SELECT CAST(n_nationkey AS BIGINT) AS doc_id, '_{{n_nationkey=' || n_nationkey || ' n_name=' || {_VALUE} || 'n_regionkey=' || n_regionkey || '}}' AS text FROM nation")
 def row_to_brace(spark, sf_dir):
-    return writers.render(readers.nodes(_nation_json(spark, sf_dir), "t", kind="json"), "brace", compact=True)
+    return _nations(spark, sf_dir).render("brace", compact=True)
+
 
 
 @query("""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, unnest(['/_/n_nationkey="' || n_nationkey || '"', '/_/n_name="' || n_name || '"', '/_/n_regionkey="' || n_regionkey || '"']) AS line FROM nation""")
 def row_to_clines(spark, sf_dir):
-    return writers.clines(readers.nodes(_nation_json(spark, sf_dir), "t", kind="json")).select("doc_id", "line")
+    return _nations(spark, sf_dir).clines().select("doc_id", "line")
+
 
 
 @query("SELECT o_orderkey AS doc_id, CAST(3 AS BIGINT) AS n FROM orders")
 def clines_leaf_count(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.struct("o_orderkey", "o_custkey", "o_orderpriority")).alias("t"))
-    return writers.clines(readers.nodes(o, "t", "o_orderkey", kind="json")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return trees.of(o, "t", "o_orderkey", kind="json").clines().groupBy("doc_id").agg(F.count("*").alias("n"))
+
 
 
 @query("SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents")
 def text_lines(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return readers.split_lines(_t(spark, sf_dir, "documents"), "text").select("doc_id", "line")
+
 
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) > 10 GROUP BY 1")
 def lines_stream(spark, sf_dir):
     """The events as lines of a text table, read as a stream until all are through."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="arbolith-")
-    at = f"{base.rstrip('/')}/arbolith/{uuid.uuid4().hex}"
+    at = _scratch(spark)
     _t(spark, sf_dir, "events").select(F.concat_ws("\t", "event_type", "props").alias("value")).write.text(f"{at}/in")
-    k = F.get_json_object(F.substring_index("value", "\t", -1), "$.k").cast("long")
-    make = lambda df: df.select(F.substring_index("value", "\t", 1).alias("event_type"), k.alias("k")).filter("k > 10")
+
+    def make(df: DataFrame) -> DataFrame:
+        lines = df.select(F.lit(0).alias("doc_id"), F.substring_index("value", "\t", 1).alias("event_type"), F.substring_index("value", "\t", -1).alias("props"))
+        found = trees.of(lines, "props", kind="json", keep=["event_type"]).first("/_/k")
+        return found.select("event_type", measure.c_integer(F.col("value")).alias("k")).filter("k > 10")
+
     streams.table(streams.read(spark, f"{at}/in"), make, f"{at}/out", f"{at}/log").awaitTermination()
     return spark.read.schema("event_type string, k long").parquet(f"{at}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("total"))
 
@@ -168,7 +205,8 @@ def lines_stream(spark, sf_dir):
 
 @query("SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages")
 def html_links(spark, sf_dir):
-    return xpath_frames.select(_pages(spark, sf_dir), "//a/@href").select("doc_id", F.col("value").alias("href"))
+    return _page_trees(spark, sf_dir).values("//a/@href").withColumnRenamed("value", "href")
+
 
 
 _DECODE = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
@@ -176,13 +214,16 @@ _DECODE = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quo
 
 @query(f"SELECT page_id AS doc_id, trim({_DECODE.format(chr(114) + 'egexp_extract(html, ' + chr(39) + '<title>([^<]*)</title>' + chr(39) + ', 1)')}) AS title FROM pages")
 def html_title(spark, sf_dir):
-    return measure.get_string(_pages(spark, sf_dir), "/html/head/title").select("doc_id", F.trim("value").alias("title"))
+    return _page_trees(spark, sf_dir).first("/html/head/title").select("doc_id", F.trim("value").alias("title"))
+
 
 
 @query("SELECT page_id AS doc_id, CAST(len(regexp_extract_all(html, '<li[ >]')) AS BIGINT) AS items, CAST(0 AS BIGINT) AS scripts FROM pages")
 def html_delete_script(spark, sf_dir):
-    left = mutate.delete(_pages(spark, sf_dir), "//script")
-    return left.groupBy("doc_id").agg(F.count_if((F.col("kind") == "element") & (F.col("name") == "li")).alias("items"), F.count_if((F.col("kind") == "element") & (F.col("name") == "script")).alias("scripts"))
+    left = _page_trees(spark, sf_dir).delete("//script")
+    counts = left.each(lambda doc: [(sum(n.name == "li" for n in doc.walk() if n.kind == "element"), sum(n.name == "script" for n in doc.walk() if n.kind == "element"))], "items long, scripts long")
+    return counts
+
 
 
 @query("SELECT page_id AS doc_id, CAST(1 AS BIGINT) AS num_comments, CAST(strlen(trim(regexp_extract(html, '<!--(.*?)-->', 1))) AS BIGINT) AS size_comments FROM pages")
@@ -207,9 +248,15 @@ def xml_statistics(spark, sf_dir):
     return s.select("doc_id", "num_elements", "size_element_names", "num_text_nodes", "size_text_nodes", "sum_meta")
 
 
-def _ids(path: str):
+#: Paths that are evaluated over tables of nodes; all others in one pass over trees.
+_OVER_NODES = {"xpath_child", "xpath_descendant"}
+
+
+def _ids(name: str, path: str):
     """The customer ids that a path to attributes gives."""
-    return lambda spark, sf_dir: xpath_frames.select(_customers(spark, sf_dir), path).select("doc_id", F.col("value").cast("long").alias("id"))
+    if name in _OVER_NODES:
+        return lambda spark, sf_dir: xpath_frames.select(_customers(spark, sf_dir), path).select("doc_id", F.col("value").cast("long").alias("id"))
+    return lambda spark, sf_dir: _customer_trees(spark, sf_dir).values(path).select("doc_id", F.col("value").cast("long").alias("id"))
 
 
 _BAL = "CAST(floor(c_acctbal) AS BIGINT)"
@@ -226,70 +273,76 @@ for _name, _path, _sql in (
     ("xpath_following_sibling", "/nation/customer[1]/following-sibling::customer/@id", "SELECT doc_id, id FROM (SELECT CAST(c_nationkey AS BIGINT) AS doc_id, c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer) WHERE r > 1"),
     ("xpath_ancestor", "//bal[. > 9000]/ancestor::customer/@id", f"{_C} WHERE {_BAL} > 9000"),
 ):
-    QUERIES[_name] = _ids(_path)
+    QUERIES[_name] = _ids(_name, _path)
     SQL[_name] = _sql
 
 
 @query("SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(count(*) AS DOUBLE) AS value FROM customer GROUP BY 1")
 def xpath_count(spark, sf_dir):
-    return xpath_frames.evaluate(_customers(spark, sf_dir), "count(/nation/customer)")
+    return _customer_trees(spark, sf_dir).evaluate("count(/nation/customer)", "double")
+
 
 
 @query(f"SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(sum({_BAL}) AS DOUBLE) AS value FROM customer GROUP BY 1")
 def xpath_sum(spark, sf_dir):
-    return xpath_frames.evaluate(_customers(spark, sf_dir), "sum(//bal)")
+    return _customer_trees(spark, sf_dir).evaluate("sum(//bal)", "double")
+
 
 
 @query("""SELECT p_partkey AS doc_id, p_name || '/' || substr(p_name, 2, 5) || '/' || replace(p_name, 'a', '4') || '/' || length(p_name) || '/' || CASE WHEN starts_with(p_name, 'b') THEN 'true' ELSE 'false' END AS value FROM part""")
 def xpath_string_functions(spark, sf_dir):
     p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.to_json(F.struct(F.col("p_name").alias("n"))).alias("t"))
-    return xpath_frames.evaluate(readers.nodes(p, "t", kind="json"), "concat(/_/n, '/', substring(/_/n, 2, 5), '/', translate(/_/n, 'a', '4'), '/', string-length(/_/n), '/', string(starts-with(/_/n, 'b')))")
+    return trees.of(p, "t", kind="json").evaluate("concat(/_/n, '/', substring(/_/n, 2, 5), '/', translate(/_/n, 'a', '4'), '/', string-length(/_/n), '/', string(starts-with(/_/n, 'b')))")
 
 
 # -- changes
 
 
-def _changed(change: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: writers.render(change(readers.nodes(_nation_brace(spark, sf_dir), "t", kind="brace")), "json")
+def _changed(change: Callable[[Trees], Trees]) -> Query:
+    return lambda spark, sf_dir: change(trees.of(_nation_brace(spark, sf_dir), "t", kind="brace")).render("json")
 
 
 _J = "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, {} AS text FROM nation"
 _KEY, _REGION, _NAME = "'\"n_nationkey\":' || n_nationkey", "'\"n_regionkey\":' || n_regionkey", "'\"n_name\":\"' || n_name || '\"'"
 for _name, _change, _sql in (
-    ("delete_xpath", lambda n: mutate.delete(n, "//n_name"), f"'{{\"_\":\"nation\",' || {_KEY} || ',' || {_REGION} || '}}'"),
-    ("replace_xpath", lambda n: mutate.replace_argument(n, "/nation/n_name=gone"), f"'{{\"_\":\"nation\",' || {_KEY} || ',\"n_name\":\"gone\",' || {_REGION} || '}}'"),
-    ("add_root", lambda n: mutate.add_root(n, "top"), f"'{{\"_\":\"top\",\"nation\":{{' || {_KEY} || ',' || {_NAME} || ',' || {_REGION} || '}}}}'"),
-    ("add_snippet", lambda n: mutate.select(mutate.add(n, "extra{k=1}"), "/extra"), "'{\"_\":\"extra\",\"k\":1}'"),
-    ("set_attribute", lambda n: mutate.set_attribute(mutate.delete(n, "/nation/*[2]"), "/nation", "v", "1"), f"'{{\"_\":\"nation\",\"_v\":\"1\",' || {_KEY} || ',' || {_REGION} || '}}'"),
-    ("select_reverse", lambda n: mutate.add_root(mutate.select(n, "/nation/n_nationkey | /nation/n_regionkey"), "r"), f"'{{\"_\":\"r\",' || {_REGION} || ',' || {_KEY} || '}}'"),
+    ("delete_xpath", lambda t: t.delete("//n_name"), f"'{{\"_\":\"nation\",' || {_KEY} || ',' || {_REGION} || '}}'"),
+    ("replace_xpath", lambda t: t.replace_argument("/nation/n_name=gone"), f"'{{\"_\":\"nation\",' || {_KEY} || ',\"n_name\":\"gone\",' || {_REGION} || '}}'"),
+    ("add_root", lambda t: t.add_root("top"), f"'{{\"_\":\"top\",\"nation\":{{' || {_KEY} || ',' || {_NAME} || ',' || {_REGION} || '}}}}'"),
+    ("add_snippet", lambda t: t.add("extra{k=1}").select("/extra"), "'{\"_\":\"extra\",\"k\":1}'"),
+    ("set_attribute", lambda t: t.delete("/nation/*[2]").set_attribute("/nation", "v", "1"), f"'{{\"_\":\"nation\",\"_v\":\"1\",' || {_KEY} || ',' || {_REGION} || '}}'"),
+    ("select_reverse", lambda t: t.select("/nation/n_nationkey | /nation/n_regionkey").add_root("r"), f"'{{\"_\":\"r\",' || {_REGION} || ',' || {_KEY} || '}}'"),
 ):
     QUERIES[_name] = _changed(_change)
     SQL[_name] = _J.format(_sql)
 
 
-def _entities(spark, sf_dir) -> DataFrame:
+def _entities(spark, sf_dir) -> Trees:
     c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("p{'Dear '&name;', '&#65;"), F.col("c_custkey"), F.lit("}")).alias("t"))
-    return readers.nodes(c.withColumn("t", F.regexp_replace("t", "&#65;([0-9]+)", "&#65;'$1'")), "t", kind="brace", merge=False)
+    return trees.of(c.withColumn("t", F.regexp_replace("t", "&#65;([0-9]+)", "&#65;'$1'")), "t", kind="brace", merge=False)
 
 
 @query("SELECT c_custkey AS doc_id, 'Dear you, <ENTITY>#65' || c_custkey AS text FROM customer")
 def entity_replace(spark, sf_dir):
-    return writers.to_text(mutate.replace_entity(_entities(spark, sf_dir), "name", "you"))
+    return _entities(spark, sf_dir).replace_entity("name", "you").render("text")
+
 
 
 @query("SELECT c_custkey AS doc_id, 'Dear , <ENTITY>#65' || c_custkey AS text FROM customer")
 def entity_delete(spark, sf_dir):
-    return writers.to_text(mutate.delete_entity(_entities(spark, sf_dir), "name"))
+    return _entities(spark, sf_dir).delete_entity("name").render("text")
+
 
 
 @query("SELECT c_custkey AS doc_id, 'Dear <ENTITY>name, A' || c_custkey AS text FROM customer")
 def char_entity(spark, sf_dir):
-    return writers.to_text(mutate.substitute_entity(_entities(spark, sf_dir)))
+    return _entities(spark, sf_dir).substitute_entity().render("text")
+
 
 
 @query("SELECT c_custkey AS doc_id, 'Dear ab, <ENTITY>#65' || c_custkey AS text FROM customer")
 def entity_replace_tree(spark, sf_dir):
-    return writers.to_text(mutate.replace_entity_with_tree(_entities(spark, sf_dir), "name", "q{x=a y=b}"))
+    return _entities(spark, sf_dir).replace_entity_with_tree("name", "q{x=a y=b}").render("text")
+
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
@@ -321,7 +374,7 @@ def bytes_vs_chars(spark, sf_dir):
 @query("SELECT s_suppkey AS doc_id, 'NAME=' || s_name || ' NATION=' || s_nationkey AS line FROM supplier")
 def foreach_template(spark, sf_dir):
     s = _t(spark, sf_dir, "supplier").select("s_suppkey", F.to_json(F.struct("s_name", "s_nationkey")).alias("t"))
-    return measure.foreach(readers.nodes(s, "t", "s_suppkey", kind="json"), "/_", "NAME=${s_name} NATION=${s_nationkey}").select("doc_id", "line")
+    return trees.of(s, "t", "s_suppkey", kind="json").foreach("/_", "NAME=${s_name} NATION=${s_nationkey}").select("doc_id", "line")
 
 
 @query("SELECT p_partkey AS doc_id, CAST(p_size AS BIGINT) AS value FROM part")
@@ -329,7 +382,7 @@ def get_int_octal_hex(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
     shown = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("0x"), F.hex("p_size"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("0"), F.conv(F.col("p_size").cast("string"), 10, 8))).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(" pieces")))
     docs = p.select("p_partkey", F.to_json(F.struct(shown.alias("s"))).alias("t"))
-    return measure.get_long(readers.nodes(docs, "t", "p_partkey", kind="json"), "/_/s")
+    return trees.of(docs, "t", "p_partkey", kind="json").first("/_/s").withColumn("value", measure.c_integer(F.col("value")))
 
 
 @query("SELECT n_name AS name, replace(n_name, ' ', '_') AS safe FROM nation")
@@ -346,10 +399,8 @@ def _table(sep: str, quote: bool, grammar: str):
         name = F.concat(F.lit('"'), "n_name", F.lit('"')) if quote else F.col("n_name")
         line = F.concat_ws(sep, "n_nationkey", name, "n_regionkey")
         docs = n.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("t"))
-        nodes = registry.nodes(docs, "t", grammar, "n_regionkey")
-        cells = xpath_frames.string_values(xpath_frames.select(nodes, "/table/row/cell"), nodes)
-        row = F.array_sort(F.collect_list(F.struct("pre", "text")))
-        return cells.groupBy("doc_id", "parent").agg(row.alias("c")).select(F.col("c")[0]["text"].cast("int").alias("n_nationkey"), F.col("c")[1]["text"].alias("n_name"), F.col("c")[2]["text"].cast("int").alias("n_regionkey"))
+        rows = trees.parsed(docs, "t", grammar, "n_regionkey").each(lambda doc: ([c.text() for c in r.children] for r in doc.children[0].children), "n_nationkey string, n_name string, n_regionkey string")
+        return rows.select(F.col("n_nationkey").cast("int"), "n_name", F.col("n_regionkey").cast("int"))
 
     return run
 
@@ -361,28 +412,32 @@ for _name, _sep, _quote, _grammar in (("ixml_csv", ",", True, "ixml:data/csv"),
 
 @query("SELECT page_id AS doc_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages")
 def ixml_url(spark, sf_dir):
-    nodes = registry.nodes(_t(spark, sf_dir, "pages"), "url", "ixml:data/url", "page_id")
-    texts = nodes.filter("kind = 'text'").groupBy("doc_id").agg(*[F.coalesce(F.max(F.when(F.col("path") == f"/url/{p}", F.col("value"))), F.lit("")).alias(p) for p in ("scheme", "host", "path")])
-    return texts
+    return trees.parsed(_t(spark, sf_dir, "pages"), "url", "ixml:data/url", "page_id").each(lambda doc: [_parts(doc.children[0], "scheme", "host", "path")], "scheme string, host string, path string")
+
+
+def _parts(n, *names: str) -> tuple[str, ...]:
+    """The texts of an element's children by name."""
+    found = {c.name: c.text() for c in n.children if c.kind == "element"}
+    return tuple(found.get(name, "") for name in names)
 
 
 @query("SELECT o_orderkey AS doc_id, split_part(o_orderpriority, '-', 1) AS level, split_part(o_orderpriority, '-', 2) || '!' AS name FROM orders")
 def ixml_insertion_attr(spark, sf_dir):
     grammar = "p = @level, -'-', name. level = ['0'-'9']+. name = ~[]+, +'!'."
-    nodes = registry.nodes(_t(spark, sf_dir, "orders"), "o_orderpriority", grammar, "o_orderkey")
-    return nodes.groupBy("doc_id").agg(F.max(F.when(F.col("kind") == "attribute", F.col("value"))).alias("level"), F.max(F.when(F.col("kind") == "text", F.col("value"))).alias("name"))
+    found = trees.parsed(_t(spark, sf_dir, "orders"), "o_orderpriority", grammar, "o_orderkey")
+    return found.each(lambda doc: [(doc.children[0].attr("level").text(), doc.children[0].children[0].text())], "level string, name string")
 
 
 @query("SELECT p_partkey AS doc_id, NOT starts_with(p_name, 'part 1') AS parsed FROM part")
 def ixml_not_lookahead(spark, sf_dir):
-    nodes = registry.nodes(_t(spark, sf_dir, "part"), "p_name", "n = !'part 1', ~[]*.", "p_partkey")
-    return nodes.filter("parent = -1").select("doc_id", (F.col("name") == "n").alias("parsed"))
+    return trees.parsed(_t(spark, sf_dir, "part"), "p_name", "n = !'part 1', ~[]*.", "p_partkey").each(lambda doc: [(doc.children[0].name == "n",)], "parsed boolean")
+
 
 
 @query("SELECT page_id AS doc_id, NOT regexp_matches(url, '^[a-z0-9:/._-]*$') AS failed FROM pages")
 def ixml_failed(spark, sf_dir):
-    nodes = registry.nodes(_t(spark, sf_dir, "pages"), "url", "u = ['a'-'z'; '0'-'9'; ':/._-']*.", "page_id")
-    return nodes.filter("parent = -1").select("doc_id", (F.col("name") == "ixml").alias("failed"))
+    return trees.parsed(_t(spark, sf_dir, "pages"), "url", "u = ['a'-'z'; '0'-'9'; ':/._-']*.", "page_id").each(lambda doc: [(doc.children[0].name == "ixml",)], "failed boolean")
+
 
 
 @query("SELECT CAST(r_regionkey AS BIGINT) AS doc_id, 'B' AS cheapest, 'ambiguous' AS state FROM region")
@@ -405,7 +460,8 @@ def tokenize_brace(spark, sf_dir):
 
 @query(f"SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 'nation{{n_nationkey=' || n_nationkey || ' n_name=' || {_VALUE} || 'n_regionkey=' || n_regionkey || '}}' AS text FROM nation")
 def brace_roundtrip(spark, sf_dir):
-    return writers.render(readers.nodes(_nation_brace(spark, sf_dir), "t", kind="brace"), "brace", compact=True)
+    return trees.of(_nation_brace(spark, sf_dir), "t", kind="brace").render("brace", compact=True)
+
 
 
 # -- stylesheets and schemas
@@ -416,7 +472,7 @@ _SHEET = "xsl:stylesheet(version = 1.0 xmlns:xsl = http://www.w3.org/1999/XSL/Tr
 @query("""SELECT CAST(c_nationkey AS BIGINT) AS doc_id, string_agg(c_custkey || ';', '' ORDER BY CAST(floor(c_acctbal) AS BIGINT) DESC, c_custkey) AS text FROM customer GROUP BY 1""")
 def xslt_foreach_sort(spark, sf_dir):
     sheet = _SHEET.format("xsl:template(match = /nation) { out { xsl:for-each(select = customer) { xsl:sort(select = bal data-type = number order = descending) xsl:sort(select = @id data-type = number) xsl:value-of(select = @id) ';' } } }")
-    return writers.to_text(pipeline.transform(_customers(spark, sf_dir), sheet))
+    return _customer_trees(spark, sf_dir).transform(sheet).render("text")
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, n_name || ' in ' || r_name AS text FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -424,13 +480,13 @@ def xslt_lookup_join(spark, sf_dir):
     regions = _t(spark, sf_dir, "region").orderBy("r_regionkey").collect()  # the second document: five rows
     other = "regions {" + " ".join(f"r(k = {r.r_regionkey}) = '{r.r_name}'" for r in regions) + "}"
     sheet = _SHEET.format("xsl:template(match = /nation) { out { xsl:variable(name = k select = n_regionkey) xsl:value-of(select = n_name) ' in ' xsl:value-of(select = \"document('r')/regions/r[@k=$k]\") } }")
-    return writers.to_text(pipeline.transform(readers.nodes(_nation_brace(spark, sf_dir), "t", kind="brace"), sheet, documents={"r": other}))
+    return trees.of(_nation_brace(spark, sf_dir), "t", kind="brace").transform(sheet, documents={"r": other}).render("text")
 
 
 @query("SELECT doc_id, string_agg(seg || '=' || n || ';', '' ORDER BY seg) AS text FROM (SELECT CAST(c_nationkey AS BIGINT) AS doc_id, c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY ALL) GROUP BY 1")
 def xslt_group(spark, sf_dir):
     sheet = _SHEET.format("xsl:key(name = s match = customer use = @seg) xsl:template(match = /nation) { out { xsl:for-each(select = \"customer[generate-id() = generate-id(key('s', @seg)[1])]\") { xsl:sort(select = @seg) xsl:value-of(select = @seg) '=' xsl:value-of(select = \"count(key('s', @seg))\") ';' } } }")
-    return writers.to_text(pipeline.transform(_customers(spark, sf_dir), sheet))
+    return _customer_trees(spark, sf_dir).transform(sheet).render("text")
 
 
 _SCHEMA = "xs:schema(xmlns:xs = http://www.w3.org/2001/XMLSchema) {{ xs:element(name = _) {{ xs:complexType {{ xs:sequence {{ {} }} }} }} {} }}"
@@ -439,11 +495,11 @@ _SCHEMA = "xs:schema(xmlns:xs = http://www.w3.org/2001/XMLSchema) {{ xs:element(
 @query("SELECT event_id AS doc_id, CAST(json_extract_string(props, '$.k') AS BIGINT) BETWEEN 10 AND 50 AS valid FROM events")
 def validate_int(spark, sf_dir):
     schema = _SCHEMA.format("xs:element(name = k type = K)", "xs:simpleType(name = K) { xs:restriction(base = xs:int) { xs:minInclusive(value = 10) xs:maxInclusive(value = 50) } }")
-    return pipeline.validate(readers.nodes(_t(spark, sf_dir, "events"), "props", "event_id", kind="json"), schema).select("doc_id", "valid")
+    return replace(_events(spark, sf_dir), kept=()).validate(schema).select("doc_id", "valid")
 
 
 @query("SELECT o_orderkey AS doc_id, o_orderstatus IN ('F', 'O') AS valid FROM orders")
 def validate_enum(spark, sf_dir):
     schema = _SCHEMA.format("xs:element(name = s type = K)", "xs:simpleType(name = K) { xs:restriction(base = xs:string) { xs:enumeration(value = F) xs:enumeration(value = O) } }")
     o = _t(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.struct(F.col("o_orderstatus").alias("s"))).alias("t"))
-    return pipeline.validate(readers.nodes(o, "t", "o_orderkey", kind="json"), schema).select("doc_id", "valid")
+    return trees.of(o, "t", "o_orderkey", kind="json").validate(schema).select("doc_id", "valid")

@@ -30,7 +30,7 @@ def content_type(text: Column) -> Column:
     )
 
 
-def forced(text: Column, kind: str) -> Column:
+def unfit(text: Column, kind: str) -> Column:
     """A message if a text can't be taken as ``kind``: text, ixml and clines take anything, html takes xml too."""
     found = content_type(text)
     if kind in ("text", "ixml", "clines"):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..model import FIELDS, NODES, Node, document, shred, text
 from . import brace, json_tree, markup
-from .detect import content_type, without_bom
+from .detect import content_type, unfit, without_bom
 
 _ARROW = pa.schema([(f, pa.int64() if f == "doc_id" else pa.int32() if f in ("pre", "post", "parent", "level", "ord") else pa.string()) for f in FIELDS])
 #: Nodes that one output batch holds.
@@ -63,16 +63,41 @@ def tree_rows(df: DataFrame, make: Callable[[dict], Node], doc_id: str = "doc_id
     return df.mapInArrow(run, NODES)
 
 
-def nodes(df: DataFrame, content: Column | str, doc_id: Column | str = "doc_id", kind: str | None = None, trim: bool | None = None, merge: bool = True, root: str | None = None) -> DataFrame:
+def texts(df: DataFrame, content: Column | str, doc_id: Column | str = "doc_id", kind: str | None = None, forced: bool = False, keep: Iterable[str] = ()) -> DataFrame:
+    """(doc_id, raw, type) and the columns ``keep`` of the texts that aren't null, without a byte order mark; with ``forced``, problem says why one can't be of that kind."""
+    content = F.col(content) if isinstance(content, str) else content
+    doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    columns = [doc_id.cast("long").alias("doc_id"), without_bom(content).alias("raw"), (F.lit(kind) if kind else content_type(content)).alias("type")]
+    if forced and kind:
+        columns.append(unfit(content, kind).alias("problem"))
+    return df.select(*columns, *[F.col(f"`{c}`") for c in keep]).filter("raw is not null")
+
+
+def maker(trim: bool | None = None, merge: bool = True, root: str | None = None) -> Callable[[dict], Node]:
+    """What makes the tree of a row of ``texts``; a ValueError if the row has a problem."""
+
+    def make(row: dict) -> Node:
+        if problem := row.get("problem"):
+            raise ValueError(problem)
+        return parse(row["raw"], row["type"], trim, merge, root)
+
+    return make
+
+
+def nodes(df: DataFrame, content: Column | str, doc_id: Column | str = "doc_id", kind: str | None = None, trim: bool | None = None, merge: bool = True, root: str | None = None, forced: bool = False) -> DataFrame:
     """Rows of NODES of a column of texts.
 
-    ``kind``: one of detect.TYPES, or None to detect each text's. A text that can't be parsed gives one row of kind error
-    with the message; a null text gives no rows. Parsing needs no shuffle.
+    ``kind``: one of detect.TYPES, or None to detect each text's; with ``forced`` a text that looks like another kind isn't
+    parsed. A text that can't be parsed gives one row of kind error with the message; a null text gives no rows. Parsing needs no shuffle.
     """
+    return tree_rows(texts(df, content, doc_id, kind, forced), maker(trim, merge, root))
+
+
+def split_lines(df: DataFrame, content: Column | str, doc_id: Column | str = "doc_id") -> DataFrame:
+    """(doc_id, line_no, line): each line of a column of texts, numbered from 0."""
     content = F.col(content) if isinstance(content, str) else content
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    slim = df.select(doc_id.cast("long").alias("doc_id"), without_bom(content).alias("raw"), (F.lit(kind) if kind else content_type(content)).alias("type")).filter("raw is not null")
-    return tree_rows(slim, lambda row: parse(row["raw"], row["type"], trim, merge, root))
+    return df.select(doc_id.cast("long").alias("doc_id"), F.posexplode(F.split(content, "\n")).alias("line_no", "line"))
 
 
 def docs(df: DataFrame, content: Column | str, doc_id: Column | str = "doc_id", source: str | None = None) -> DataFrame:
@@ -82,15 +107,24 @@ def docs(df: DataFrame, content: Column | str, doc_id: Column | str = "doc_id",
     return df.select(doc_id.cast("long").alias("doc_id"), F.lit(source).alias("source"), content_type(content).alias("content_type"), F.octet_length(content).cast("long").alias("size_source"), content.alias("raw"))
 
 
+def _placed(*parts: Column) -> Column:
+    """An id from a place, the same in each run however files are split."""
+    return F.xxhash64(*parts)
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files as docs; ids are given out as they are read."""
-    df = spark.read.text(path, wholetext=True).withColumn("source", F.input_file_name()).withColumn("doc_id", F.monotonically_increasing_id())
-    return df.select("doc_id", "source", content_type(F.col("value")).alias("content_type"), F.octet_length("value").cast("long").alias("size_source"), F.col("value").alias("raw"))
+    """Whole files as docs; ids are hashes of their paths. Files in UTF-16 get a message in place of a type."""
+    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+    mark = F.hex(F.substring("content", 1, 2))
+    wide = mark.isin("FEFF", "FFFE")
+    df = raw.select(_placed(F.col("path")).alias("doc_id"), F.col("path").alias("source"), F.length("content").cast("long").alias("size_source"), F.when(~wide, F.decode("content", "UTF-8")).alias("raw"), wide.alias("wide"))
+    return df.select("doc_id", "source", F.when(F.col("wide"), "utf-16 is not supported").otherwise(content_type(F.col("raw"))).alias("content_type"), "size_source", "raw")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Each line of text files as a document."""
-    return docs(spark.read.text(path).withColumn("doc_id", F.monotonically_increasing_id()), "value")
+    """Each line of text files as a document; ids are hashes of the file's path, the place of the block in it and the line's number in its task, so reading the same files again gives the same ids."""
+    df = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    return docs(df.withColumn("doc_id", _placed(F.col("file_path"), F.col("file_block_start"), F.monotonically_increasing_id() & ((1 << 33) - 1))), "value")
 
 
 def literal(spark: SparkSession, *contents: str) -> DataFrame:
