@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from ..model import Node, document, qualify
 from .front import Grammar, Term
 
+#: Texts up to so many characters have their trees remembered, so many of them: columns of short texts repeat.
+REMEMBERED = (200, 2000)
 NAMESPACE = "http://invisiblexml.org/NS"
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 200_000))  # parses nest as deep as lists are long
 
@@ -36,6 +38,7 @@ class Machine:
         self.grammar = grammar
         self.alternatives: list[tuple[str, tuple[Term, ...]]] = []
         self.of: dict[str, list[int]] = {}
+        self.seen: dict[tuple[str, bool], Node] = {}
         for name, rule in grammar.rules.items():
             self.of[name] = []
             for a in rule.alternatives:
@@ -124,7 +127,14 @@ class Machine:
         Of an ambiguous text the root says so in an attribute; with ``every`` all parses stand under AMBIGUOUS, which has an
         attribute ``cut`` if a rule has over 1000 ways over a span and the others were left out.
         """
-        return _Builder(self, text, every).document()
+        key = (text, every)
+        found = self.seen.pop(key, None) or _Builder(self, text, every).document()
+        if len(text) <= REMEMBERED[0]:
+            self.seen[key] = found
+            if len(self.seen) > REMEMBERED[1]:
+                del self.seen[next(iter(self.seen))]
+            return _copy(found)
+        return found
 
 
 class _Builder:
@@ -273,7 +283,7 @@ class _Builder:
 
 
 def _copy(n: Node) -> Node:
-    c = Node(n.kind, n.name, n.prefix, n.value)
+    c = Node(n.kind, n.name, n.prefix, n.value, n.ns_uri)
     for x in [*n.attrs, *n.children]:
         c.add(_copy(x))
     return c

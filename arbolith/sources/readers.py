@@ -124,7 +124,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """Each line of text files as a document; ids are hashes of the file's path, the place of the block in it and the line's number in its task, so reading the same files again gives the same ids."""
     df = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
-    return docs(df.withColumn("doc_id", _placed(F.col("file_path"), F.col("file_block_start"), F.monotonically_increasing_id() & ((1 << 33) - 1))), "value")
+    return docs(df.withColumn("doc_id", _placed(F.col("file_path"), F.col("file_block_start"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))), "value")
 
 
 def literal(spark: SparkSession, *contents: str) -> DataFrame:
