@@ -44,6 +44,42 @@ class Machine:
             for a in rule.alternatives:
                 self.of[name].append(len(self.alternatives))
                 self.alternatives.append((name, a))
+        self.first, self.empty = self._starts()
+        self.ready: dict[tuple[str, str], list[int]] = {}
+
+    def _starts(self) -> tuple[list[list[Term]], list[bool]]:
+        """For each alternative the terminals that it can begin with, and whether it can match nothing, by repeating until nothing changes."""
+        none = {name: False for name in self.of}
+        heads: list[dict[int, Term]] = [{} for _ in self.alternatives]
+        empty = [False] * len(self.alternatives)
+        changed = True
+        while changed:
+            changed = False
+            for k, (name, terms) in enumerate(self.alternatives):
+                before = len(heads[k]), empty[k]
+                for t in terms:
+                    if t.kind == "rule":
+                        for a in self.of[t.value]:
+                            heads[k] |= heads[a]
+                        if not none[t.value]:
+                            break
+                    elif t.kind not in ("insert", "not") and not (t.kind == "text" and not t.value):
+                        heads[k][id(t)] = t
+                        break
+                else:
+                    empty[k] = none[name] = True
+                changed |= before != (len(heads[k]), empty[k])
+        return [list(h.values()) for h in heads], empty
+
+    def begun(self, name: str, char: str) -> list[int]:
+        """The alternatives of a rule that can match nothing or begin with a character."""
+        key = (name, char)
+        if key not in self.ready:
+            if len(self.ready) > 50_000:
+                self.ready.clear()
+            fits = lambda t: bool(char) and (t.value[0] == char if t.kind == "text" else char in t.value)
+            self.ready[key] = [a for a in self.of[name] if self.empty[a] or any(map(fits, self.first[a]))]
+        return self.ready[key]
 
     @staticmethod
     def _ends(t: Term, text: str, i: int) -> int:
@@ -64,7 +100,7 @@ class Machine:
         sets: list[dict] = [{} for _ in range(n + 1)]
         waiting: list[dict[str, list]] = [{} for _ in range(n + 1)]
         done: dict[str, dict[int, set[int]]] = {name: {} for name in self.of}
-        starts = [(a, 0, 0) for a in self.of[self.grammar.start]]
+        starts = [(a, 0, 0) for a in self.begun(self.grammar.start, text[:1])]
         sets[0] = dict.fromkeys(starts)
         far = 0
         for i in range(n + 1):
@@ -97,7 +133,7 @@ class Machine:
                     wait.setdefault(t.value, []).append((a, dot, origin))
                     if t.value not in predicted:
                         predicted.add(t.value)
-                        for b in self.of[t.value]:
+                        for b in self.begun(t.value, text[i : i + 1]):
                             item = (b, 0, i)
                             if item not in here:
                                 here[item] = None
@@ -143,6 +179,7 @@ class _Builder:
         self.done = machine.recognise(text)
         self.memo: dict = {}
         self.open: set = set()
+        self.costly = machine.grammar.costly
         self.ambiguous = self.cut = False
         self.limit = 1000 if every else 2
         self.depths: dict = {}
@@ -173,14 +210,14 @@ class _Builder:
         best, out = 1 << 30, []
         for s in self.begins(t, dot, i, j):
             c, before = self.splits(a, dot - 1, i, s)
-            if before and t.kind == "rule" and self.m.grammar.costly:
+            if before and t.kind == "rule" and self.costly:
                 c += self.cost(t.value, s, j)[0]
             if not before or c > best or c >= 1 << 30:
                 continue
             if c < best:
                 best, out = c, []
             out += [[*rest, (t, s, j)] for rest in before[: self.limit + 1 - len(out)]]
-            if len(out) > self.limit and not self.m.grammar.costly:
+            if len(out) > self.limit and not self.costly:
                 break
         self.keep(key, (best, out))
         self.lowest = min(outer, self.lowest)
@@ -228,7 +265,7 @@ class _Builder:
         if key in self.open:
             return []
         self.open.add(key)
-        ways = self.cost(name, i, j)[1] if self.m.grammar.costly else self.cheapest(name, i, j)[1]
+        ways = self.cost(name, i, j)[1] if self.costly else self.cheapest(name, i, j)[1]
         if len(ways) > 1:
             self.ambiguous = True
         out: list[list[Node]] = []

@@ -10,12 +10,13 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import model
 from .functions import text as T
 from .grammar import registry
 from .operators import measure, mutate
-from .plans import pipeline, trees, xpath_frames
+from .plans import pipeline, trees, xpath, xpath_frames, xpath_tree, xslt
 from .plans.trees import Trees
-from .sinks import writers
+from .sinks import coloured, writers
 from .sources import detect, readers
 from .streaming import lines as streams
 
@@ -141,7 +142,7 @@ def json_dup_names(spark, sf_dir):
     n = _t(spark, sf_dir, "nation")
     items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(F.lit('"n":"'), x["n_name"], F.lit('"'))), ",")
     docs = n.groupBy("n_regionkey").agg(F.concat(F.lit("{"), items, F.lit("}")).alias("t"))
-    nodes = readers.nodes(docs, "t", "n_regionkey", kind="json")
+    nodes = readers.stored(readers.nodes(docs, "t", "n_regionkey", kind="json"), _scratch(spark))
     return xpath_frames.string_values(measure.sibling_index(nodes).filter("name = 'n'").select(*nodes.columns, "same_name", "index"), nodes).select("doc_id", F.col("text").alias("value"), "same_name", _long("index").alias("index"))
 
 
@@ -503,3 +504,204 @@ def validate_enum(spark, sf_dir):
     schema = _SCHEMA.format("xs:element(name = s type = K)", "xs:simpleType(name = K) { xs:restriction(base = xs:string) { xs:enumeration(value = F) xs:enumeration(value = O) } }")
     o = _t(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.struct(F.col("o_orderstatus").alias("s"))).alias("t"))
     return trees.of(o, "t", "o_orderkey", kind="json").validate(schema).select("doc_id", "valid")
+
+
+# -- what sources, sinks and functions give on their own
+
+
+@query("SELECT 'brace' AS content_type, CAST(strlen(r_name) + 10 AS BIGINT) AS size_source, r_name AS name FROM region")
+def load_files(spark, sf_dir):
+    """A file for each region, read whole."""
+    at = _scratch(spark)
+    _t(spark, sf_dir, "region").select("r_regionkey", F.concat(F.lit("r{n='"), "r_name", F.lit("'  }")).alias("value")).write.partitionBy("r_regionkey").text(at)
+    docs = readers.files(spark, f"{at}/*/*.txt")
+    return trees.of(docs, "raw", keep=["content_type", "size_source"]).first("/r/n").select("content_type", "size_source", F.col("value").alias("name"))
+
+
+@query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
+def read_lines(spark, sf_dir):
+    """Lines of text files, each a document."""
+    at = _scratch(spark)
+    _t(spark, sf_dir, "events").select(F.col("props").alias("value")).write.text(at)
+    found = trees.of(readers.lines(spark, at), "raw").first("/_/k")
+    return found.groupBy(measure.c_integer(F.col("value")).alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT * FROM (VALUES (0, 'json', '{"a":[1,2]}'), (1, 'brace', 'b=2'), (2, 'xml', '<c d="e"/>'), (3, 'html', '<html></html>')) v(doc_id, content_type, raw)""")
+def literal_docs(spark, sf_dir):
+    return readers.literal(spark, '{"a":[1,2]}', "b=2", '<c d="e"/>', "<html></html>").select(F.col("doc_id").cast("int"), "content_type", "raw")
+
+
+@query("SELECT 0 AS doc_id, 'brace' AS content_type, CAST(0 AS BIGINT) AS size_source")
+def empty_doc(spark, sf_dir):
+    return readers.empty(spark).select(F.col("doc_id").cast("int"), "content_type", "size_source")
+
+
+def _parts_as(kind: str, **options):
+    return lambda spark, sf_dir: trees.of(_t(spark, sf_dir, "part"), "p_name", "p_partkey", kind="text", **options).render(kind, **({"declaration": False} if kind == "xml" else {}))
+
+
+QUERIES["text_kind"], SQL["text_kind"] = _parts_as("text"), "SELECT p_partkey AS doc_id, p_name AS text FROM part"
+QUERIES["implicit_root"], SQL["implicit_root"] = _parts_as("xml", root="name"), "SELECT p_partkey AS doc_id, '<name>' || p_name || '</name>' AS text FROM part"
+
+
+@query("SELECT p_partkey AS doc_id, p_name AS value FROM part")
+def trim_xml(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("<p>\n   "), "p_name", F.lit("\n  </p>")).alias("t"))
+    return trees.of(p, "t", "p_partkey", kind="xml").values("/p")
+
+
+@query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 'error' ELSE 'element' END AS kind FROM orders")
+def forced_type(spark, sf_dir):
+    """Texts that look like another kind than the one asked for aren't parsed."""
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", F.expr("if(o_orderkey % 3 = 0, 'a=1', '<a>1</a>')").alias("t"))
+    return trees.of(o, "t", "o_orderkey", kind="xml", forced=True).each(lambda doc: [(doc.children[0].kind,)], "kind string")
+
+
+@query("SELECT CAST(c_nationkey AS BIGINT) AS doc_id, string_agg('<id>' || c_custkey || '</id>', '' ORDER BY c_custkey) AS text FROM customer GROUP BY 1")
+def select_attributes(spark, sf_dir):
+    return _customer_trees(spark, sf_dir).select("//@id", "document").render("xml", declaration=False)
+
+
+@query(f"SELECT CAST(c_nationkey AS BIGINT) AS doc_id, {_BAL} AS bal FROM customer WHERE c_mktsegment = 'BUILDING'")
+def relative_path(spark, sf_dir):
+    """A relative path from the rows of another one."""
+    nodes = readers.stored(_customers(spark, sf_dir), _scratch(spark))
+    bal = xpath_frames.select(nodes, "bal", xpath_frames.select(nodes, "/nation/customer[@seg='BUILDING']"))
+    return xpath_frames.string_values(bal, nodes).select("doc_id", F.col("text").cast("long").alias("bal"))
+
+
+@query("SELECT doc_id, id, CASE WHEN n > 1 THEN 'TooMany' END AS error FROM (SELECT CAST(c_nationkey AS BIGINT) AS doc_id, c_custkey AS id, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)")
+def single_match(spark, sf_dir):
+    return measure.single(_customers(spark, sf_dir), "/nation/customer/@id").select("doc_id", F.col("value").cast("long").alias("id"), "error")
+
+
+@query("SELECT p_partkey AS doc_id, p_name || ' < ' || p_size AS text FROM part")
+def entity_named(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("p{'"), "p_name", F.lit(" '&lt;' "), "p_size", F.lit("'}")).alias("t"))
+    return trees.of(p, "t", "p_partkey", kind="brace", merge=False).substitute_entity("lt").render("text")
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, '<nation><n>' || n_nationkey || '</n></nation><extra k="1">x<y></y></extra>' AS text FROM nation""")
+def add_built_tree(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation").select(_long("n_nationkey").alias("doc_id"), F.concat(F.lit("nation{n="), "n_nationkey", F.lit("}")).alias("t"))
+    extra = model.document(model.element("extra", model.text("x"), model.element("y"), k="1"))
+    return trees.of(n, "t", kind="brace").add(extra).render("html")
+
+
+_PRETTY = f"'nation {{' || chr(10) || '    n_nationkey = ' || n_nationkey || chr(10) || '    n_name      = ' || rtrim({_VALUE}) || chr(10) || '    n_regionkey = ' || n_regionkey || chr(10) || '}}' || chr(10)"
+
+
+@query(f"SELECT CAST(n_nationkey AS BIGINT) AS doc_id, {_PRETTY} AS text FROM nation")
+def brace_pretty(spark, sf_dir):
+    return trees.of(_nation_brace(spark, sf_dir), "t", kind="brace").render("brace")
+
+
+@query(f"SELECT CAST(n_nationkey AS BIGINT) AS doc_id, {_PRETTY} AS text, CAST(7 AS BIGINT) AS named FROM nation")
+def brace_coloured(spark, sf_dir):
+    """The same in colours for HTML: without its marks, the text is that of ``brace_pretty``."""
+    show = writers.renderer("brace")
+    painted = trees.of(_nation_brace(spark, sf_dir), "t", kind="brace").each(lambda doc: [(coloured.paint(show(doc), "html"),)], "painted string")
+    plain = F.regexp_replace("painted", "<[^>]*>", "")
+    return painted.select("doc_id", plain.alias("text"), F.regexp_count("painted", F.lit('class="')).cast("long").alias("named"))
+
+
+@query("SELECT doc_id, CASE WHEN n = 1 THEN 3 ELSE n + 1 END AS quotes FROM (SELECT doc_id, coalesce(list_max(list_transform(regexp_extract_all(text, '''+'), lambda x: len(x))), 0) AS n FROM documents)")
+def quotes_around(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", T.quotes_needed(F.col("text")).alias("quotes"))
+
+
+@query("""SELECT doc_id, length(b) - length(replace(b, chr(10), '')) + 1 AS line, length(regexp_extract(b, '[^\n]*$')) + 1 AS col FROM (SELECT doc_id, substr(text, 1, CAST(length(text) // 2 AS INT)) AS b FROM documents)""")
+def line_and_column(spark, sf_dir):
+    at = F.expr("cast(char_length(text) div 2 as int)")
+    return _t(spark, sf_dir, "documents").select("doc_id", T.line_of(F.col("text"), at).alias("line"), T.column_of(F.col("text"), at).alias("col"))
+
+
+@query("SELECT word, regexp_full_match(word, '-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?') AS number, word IN ('true', 'false', 'null') AS keyword, regexp_full_match(word, '[A-Za-z_][A-Za-z0-9_.:#-]*') AS name, regexp_full_match(substr(word, 1, 1), '\p{Lu}') AS upper FROM (SELECT DISTINCT unnest([n_name, CAST(n_nationkey AS VARCHAR), '0' || n_nationkey, n_nationkey || '.5e3', 'true', 'a:b', '-1']) AS word FROM nation)")
+def kinds_of_words(spark, sf_dir):
+    n = F.col("n_nationkey").cast("string")
+    words = _t(spark, sf_dir, "nation").select(F.explode(F.array("n_name", n, F.concat(F.lit("0"), n), F.concat(n, F.lit(".5e3")), F.lit("true"), F.lit("a:b"), F.lit("-1"))).alias("word")).distinct()
+    w = F.col("word")
+    return words.select("word", T.is_json_number(w).alias("number"), T.is_json_keyword(w).alias("keyword"), T.is_name(w).alias("name"), T.in_category(F.substring(w, 1, 1), "Lu").alias("upper"))
+
+
+@query("""SELECT * FROM (VALUES ('amp', '&'), ('lt', '<'), ('gt', '>'), ('quot', '"'), ('apos', ''''), ('nbsp', chr(160)), ('#65', 'A'), ('#x1F600', chr(128512)), ('nothing', NULL)) v(name, char)""")
+def entity_chars(spark, sf_dir):
+    names = spark.createDataFrame([(x,) for x in ("amp", "lt", "gt", "quot", "apos", "nbsp", "#65", "#x1F600", "nothing")], "name string")
+    return names.select("name", T.entity_char(F.col("name")).alias("char"))
+
+
+@query("""SELECT p_partkey AS doc_id, replace(p_name, ' ', '-' || chr(9232) || '-') || '-' || chr(9232) AS escaped, replace(p_name, ' ', '--') || '-' AS back, '''' || p_name || '''' AS quoted, p_name || chr(10) || '  x' AS trimmed FROM part""")
+def text_functions(spark, sf_dir):
+    name = F.col("p_name")
+    comment = F.concat(F.replace(name, F.lit(" "), F.lit("--")), F.lit("-"))
+    indented = F.concat(F.lit("\n    "), name, F.lit("\n      x\n    "))
+    escaped = T.escape_comment(comment)
+    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), escaped.alias("escaped"), T.unescape_comment(escaped).alias("back"), T.quote_compact(name).alias("quoted"), T.trim_quote(indented).alias("trimmed"))
+
+
+# -- more of grammars, stylesheets and schemas
+
+
+@query("SELECT p_partkey AS doc_id, 'B' AS cheapest FROM part")
+def ixml_cost_long(spark, sf_dir):
+    """The only cheap parse splits a text of over 80 characters at its start; 80 other splits come before it."""
+    p = _t(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("x"), F.rpad("p_name", 80, "y")).alias("t"))
+    found = trees.parsed(p, "t", "S = A, B. A = ~[]*. B = 'x', ~[]* | C. C =< ~[]*.", "p_partkey")
+    return found.each(lambda doc: [("C" if any(n.name == "C" for n in doc.walk()) else "B",)], "cheapest string")
+
+
+@query("SELECT n_nationkey AS doc_id, CAST(length(n_name) + 1 AS BIGINT) AS parses FROM nation")
+def ixml_all_parses(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation").select(_long("n_nationkey").alias("doc_id"), "n_name")
+    found = trees.parsed(n, "n_name", "S = A, B. A = ~[]*. B = ~[]*.", every=True).each(lambda doc: [(sum(c.name == "S" for c in doc.children[0].children),)], "parses long")
+    return found.select(F.col("doc_id").cast("int"), "parses")
+
+
+@query("SELECT o_orderkey AS doc_id, CAST(o_orderkey AS VARCHAR) || o_custkey AS kept, CAST(3 + length(o_orderstatus) AS BIGINT) AS skipped FROM orders")
+def ixml_recover(spark, sf_dir):
+    """Numbers with other characters among them, parsed without as few characters as may be."""
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("!"), "o_orderkey", F.lit("?"), "o_orderstatus", "o_custkey", F.lit("!")).alias("t"))
+    found = trees.parsed(o, "t", "n = ['0'-'9']+.", "o_orderkey", recover=True)
+    return found.each(lambda doc: [(doc.children[0].text(), int(doc.children[0].attr("skipped").text()))], "kept string, skipped long")
+
+
+@query("SELECT s_suppkey AS doc_id, CAST(s_suppkey % 60 AS VARCHAR) AS minute, s_name AS command, CAST(s_nationkey AS VARCHAR) AS value FROM supplier")
+def ixml_crontab(spark, sf_dir):
+    s = _t(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("# suppliers\nNATION = "), "s_nationkey", F.lit("\n"), F.col("s_suppkey") % 60, F.lit(" 4 * * 1 "), "s_name").alias("t"))
+    return trees.parsed(s, "t", "ixml:conf/crontab", "s_suppkey").each(lambda doc: [tuple(xpath_tree.string(xpath_tree.evaluate(e, xpath_tree.Context(doc))) for e in _CRON)], "minute string, command string, value string")
+
+
+_CRON = [xpath.parse(x) for x in ("/crontab/line/minute", "/crontab/line/command", "/crontab/variable[name='NATION']/value")]
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region FROM nation")
+def ixml_yaml(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation").select(_long("n_nationkey").alias("doc_id"), F.concat(F.lit("nation:\n  name: '"), "n_name", F.lit("'\n  in:\n    - part: a\n      key: "), "n_regionkey", F.lit("\n    - b\nend: 1\n")).alias("t"))
+    found = [xpath.parse(x) for x in ("/_/obj[@key='nation']/kv[@key='name']", "/_/obj/obj[@key='in']/list/li[1]/kv[@key='key']")]
+    return trees.parsed(n, "t", "ixml:conf/yamlsubset").each(lambda doc: [tuple(xpath_tree.string(xpath_tree.evaluate(e, xpath_tree.Context(doc))) for e in found)], "name string, region string")
+
+
+@query("SELECT o_orderkey AS doc_id, lpad(CAST(o_orderkey % 31 AS VARCHAR), 2, '0') AS month, CASE WHEN o_orderkey % 2 = 0 THEN '-' ELSE '' END || lpad(CAST(o_custkey % 40 AS VARCHAR), 2, '0') AS air, 'rain' AS weather FROM orders")
+def ixml_metar(spark, sf_dir):
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    t = F.concat(F.lit("METAR ESSA "), two(F.col("o_orderkey") % 31), F.lit("1620Z 12012MPS 9999 -RA "), F.when(F.col("o_orderkey") % 2 == 0, "M").otherwise(""), two(F.col("o_custkey") % 40), F.lit("/05 Q1020="))
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", t.alias("t"))
+    found = [xpath.parse(f"/weather_report/{x}") for x in ("time_of_observation/month", "temperature/air_c", "weather/observation/type-info")]
+    return trees.parsed(o, "t", "ixml:measurement/metar", "o_orderkey").each(lambda doc: [tuple(xpath_tree.string(xpath_tree.evaluate(e, xpath_tree.Context(doc))) for e in found)], "month string, air string, weather string")
+
+
+@query("SELECT CAST(c_nationkey AS BIGINT) AS doc_id, string_agg(c_custkey || ':' || replace(replace(format('{:,}', CAST(floor(c_acctbal) AS BIGINT)), ',', '.'), '-', '~') || ';', '' ORDER BY c_custkey) || count(*) AS text FROM customer GROUP BY 1")
+def xslt_import_format(spark, sf_dir):
+    """A stylesheet that imports another, with a decimal format of its own and a parameter that is an expression."""
+    base = _SHEET.format("xsl:template(match = customer) { xsl:value-of(select = @id) }")
+    sheet = _SHEET.format("xsl:import(href = base) xsl:decimal-format(name = d grouping-separator = '.' decimal-separator = ',' minus-sign = '~') xsl:param(name = n) xsl:template(match = /nation) { out { xsl:apply-templates(select = customer) xsl:value-of(select = $n) } } xsl:template(match = customer) { xsl:apply-imports ':' xsl:value-of(select = \"format-number(bal, '#.##0', 'd')\") ';' }")
+    return _customer_trees(spark, sf_dir).transform(sheet, params={"n": xslt.Expression("count(/nation/customer)")}, documents={"base": base}).render("text")
+
+
+@query("SELECT o_orderkey AS doc_id, o_orderkey % 3 <> 0 AS valid FROM orders")
+def validate_key(spark, sf_dir):
+    """Keys of a schema: every third document has a key twice."""
+    schema = "xs:schema(xmlns:xs = http://www.w3.org/2001/XMLSchema) { xs:element(name = r) { xs:complexType { xs:sequence { xs:element(name = s maxOccurs = unbounded type = xs:int) } } xs:key(name = k) { xs:selector(xpath = s) xs:field(xpath = '.') } } }"
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("r{s=1 s=2 s="), F.when(F.col("o_orderkey") % 3 == 0, 2).otherwise(3), F.lit("}")).alias("t"))
+    return trees.of(o, "t", "o_orderkey", kind="brace").validate(schema).select("doc_id", "valid")

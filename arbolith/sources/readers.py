@@ -93,6 +93,12 @@ def nodes(df: DataFrame, content: Column | str, doc_id: Column | str = "doc_id",
     return tree_rows(texts(df, content, doc_id, kind, forced), maker(trim, merge, root))
 
 
+def stored(nodes: DataFrame, path: str) -> DataFrame:
+    """A table of nodes written once: plans that use one many times don't parse its texts again each time. ``path``: a new folder that driver and executors share."""
+    nodes.write.parquet(path)
+    return nodes.sparkSession.read.schema(nodes.schema).parquet(path)
+
+
 def split_lines(df: DataFrame, content: Column | str, doc_id: Column | str = "doc_id") -> DataFrame:
     """(doc_id, line_no, line): each line of a column of texts, numbered from 0."""
     content = F.col(content) if isinstance(content, str) else content
