@@ -315,4 +315,4 @@ def op9(docs: DataFrame) -> DataFrame:
     sized = docs.withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
     stored = store(sized, keep=["doc_id", "n_bytes"])
     digested = stored.withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
-    return probe(digested).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return probe(digested).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "seconds_num", "seconds_den", "seek_offsets")

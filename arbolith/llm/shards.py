@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets in which rows are numbered. Their counts are all that is gathered, so it is bounded by this number.
+#: Buckets in which rows are numbered, by default. Their counts are all that is gathered, so it is bounded by this number; a
+#: bucket is sorted with spilling, so ten thousand million rows, five million a bucket, are still fine.
 BUCKETS = 2048
 #: Feistel rounds, and the most walks along a cycle. An out-of-range value is met at most once on a cycle and there are
 #: fewer than sqrt(n) of them, so for n up to 4096 this many walks always suffice; beyond, 64 misses in a row have a
@@ -13,13 +14,13 @@ BUCKETS = 2048
 ROUNDS, WALKS = 6, 64
 
 
-def number_rows(df: DataFrame, key: list[str], order: list[str], name: str = "row_number") -> DataFrame:
+def number_rows(df: DataFrame, key: list[str], order: list[str], name: str = "row_number", buckets: int = BUCKETS) -> DataFrame:
     """Adds ``name``: gapless global row numbers from 0, and ``n_rows``, the number of rows.
 
     Rows are numbered in hashed buckets of ``key``, in ``order`` within a bucket. The numbers depend on the rows alone, not
     on partitions or retries. Only one count a bucket is gathered. Equal rows get different numbers; null keys count as a value.
     """
-    bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int"))
+    bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
     counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     ahead = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
@@ -46,11 +47,12 @@ def _rounds(x: str, seed: int) -> str:
 
 
 def permuted(number: str, n_rows: str, seed: int) -> Column:
-    """Where row ``number`` of ``n_rows`` goes: a permutation of 0 .. n_rows - 1."""
-    return F.expr(f"aggregate(sequence(1, {WALKS}), {_rounds(number, seed)}, (x, i) -> if(x < {n_rows}, x, {_rounds('x', seed)}))")
+    """Where row ``number`` of ``n_rows`` goes: a permutation of 0 .. n_rows - 1. A walk that isn't over after WALKS steps is an error."""
+    over = f"if(x < {n_rows}, x, cast(raise_error('a walk along a cycle did not end') as bigint))"
+    return F.expr(f"aggregate(sequence(1, {WALKS}), {_rounds(number, seed)}, (x, i) -> if(x < {n_rows}, x, {_rounds('x', seed)}), x -> {over})")
 
 
-def assign(df: DataFrame, shards: int = 8, seed: int = 20240229, key: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+def assign(df: DataFrame, shards: int = 8, seed: int = 20240229, key: list[str] | None = None, order: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Adds ``shard`` (0 .. shards - 1) and ``slot`` (gapless from 0 in each shard) to every row; shard sizes differ by one row at most.
 
     The global row number goes through a Feistel network over a domain a * b, the least with a = ceil(sqrt(n)), and walks
@@ -60,7 +62,7 @@ def assign(df: DataFrame, shards: int = 8, seed: int = 20240229, key: list[str]
     """
     key = key or ["doc_id"]
     df = df.drop("shard", "slot", "row_number", "n_rows")
-    n = number_rows(df, key, order or key)
+    n = number_rows(df, key, order or key, buckets=buckets)
     sized = n.withColumn("_a", F.ceil(F.sqrt(F.col("n_rows").cast("double"))).cast("long"))
     sized = sized.withColumn("_b", F.expr("(n_rows + _a - 1) div _a"))
     placed = sized.withColumn("_p", permuted("row_number", "n_rows", seed))
@@ -77,6 +79,6 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def op6(docs: DataFrame) -> DataFrame:
-    """All documents in shards 0 to 7 by the law ``rows``."""
-    placed = assign(measured(docs), 8, order=["doc_id", "size", "text_crc32"])
+    """All documents in shards 0 to 7 by the law ``rows``. Rows of one id are numbered in different buckets, but for equal texts."""
+    placed = assign(measured(docs), 8, key=["doc_id", "size", "text_crc32"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +23,13 @@ LIMIT = 1024
 #: The pattern by which byte-level pre-tokenizers split, and the blocks whose letters, numbers and spaces
 #: have been the same in all versions of Unicode since 9.0. Texts with other characters go to the library whole.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-OTHER = re.compile("[^\x00-ͷЀ-ԧḀ-῿ -⁯₠-₽←-⏳ぁ-ゖ゠-ヿ一-鿌가-힣]")
+OTHER = re.compile("[^\x00-ͷЀ-ԧḀ-῿ -⁯₠-₽←-⏳ぁ-ゖ゠-ヿ、-〃〈-】！-／：-＠一-鿌가-힣]")
 #: A place where every byte-level tokenizer ends a piece, whatever stands around it: no part of the pattern goes on from a
 #: character that is not white space to one that is, and what follows is split as if the text began there.
 STABLE = re.compile(r"(?<=\S) (?=\S)")
+#: More such places, for texts with few spaces: between letters, numbers and other characters. None is behind an apostrophe, which
+#: can begin a part with letters; both characters have to be of the blocks above.
+CLASS_ENDS = regex.compile(r"(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
 
 
 class Counter:
@@ -48,7 +52,10 @@ class Counter:
             self.tokenizer.post_processor = None
         self.split = Splitter(BYTE_LEVEL_PATTERN)
         self.special = re.compile("|".join(re.escape(t.content) for t in sorted(added, key=lambda t: -len(t.content)))) if added else None
+        self.longest = max((len(t.content) for t in added), default=0)
         self.known: dict[str, int] = {}
+        #: How often no common boundary was found and an overlap was widened.
+        self.widened = 0
 
     def _encoded(self, text: str):
         return self.tokenizer.encode(text, add_special_tokens=False)
@@ -94,15 +101,23 @@ class Counter:
             lo, hi = (mid + 1, hi) if start + offsets[mid][1] <= place else (lo, mid)
         return lo
 
+    def _in_special(self, text: str, place: int) -> bool:
+        """Whether a special token of the text goes across ``place``."""
+        if not self.special:
+            return False
+        return any(m.start() < place < m.end() for m in self.special.finditer(text, max(0, place - self.longest), place + self.longest))
+
     def _boundary(self, text, start, left, begin, right, end, least):
         """A stable place in the overlap, and the number of the left chunk's tokens before it."""
-        places = [m.start() for m in STABLE.finditer(text, begin, end)]
-        for place in places[len(places) // 2 :] + places[: len(places) // 2]:
-            if place <= least or place <= begin:
-                continue
-            a, b = self._first(left, start, place), self._first(right, begin, place)
-            if a < len(left) and b < len(right) and start + left[a][0] >= place and begin + right[b][0] >= place:
-                return place, a
+        for kind in (STABLE, CLASS_ENDS):
+            places = [m.start() for m in kind.finditer(text, begin, end)]
+            for place in places[len(places) // 2 :] + places[: len(places) // 2]:
+                if place <= least or place <= begin or OTHER.search(text, place - 1, place + 1) or self._in_special(text, place):
+                    continue
+                a, b = self._first(left, start, place), self._first(right, begin, place)
+                if a < len(left) and b < len(right) and start + left[a][0] >= place and begin + right[b][0] >= place:
+                    return place, a
+        self.widened += 1
         return None
 
     def _learn(self, matches: set[str]) -> None:
