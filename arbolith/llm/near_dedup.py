@@ -165,9 +165,9 @@ def _small(placed: DataFrame) -> DataFrame:
 
 
 def first_parts(placed: DataFrame) -> DataFrame:
-    """(leaf, id): leaves, and random parts of about half a leaf of larger nodes."""
+    """(leaf, id): leaves, and random parts of about half a leaf of every third larger node; what they miss is left to ``across``."""
     salt = f"pmod(xxhash64(id, node, 'salt'), cast(ceil(n / {LEAF // 2}) as long))"
-    cut = placed.filter(F.col("n") > LEAF).select(F.expr(f"xxhash64(node, 'part', {salt})").alias("leaf"), "id")
+    cut = placed.filter(f"n > {LEAF} and pmod(xxhash64(node, 'cut'), 3) = 0").select(F.expr(f"xxhash64(node, 'part', {salt})").alias("leaf"), "id")
     return _small(placed).unionByName(cut)
 
 
@@ -268,10 +268,8 @@ def _root(parent: dict | list, i):
 
 
 def forest(leaf: dict[str, list]) -> list[tuple[int, int]]:
-    """Promising pairs that join a leaf's documents, the likeliest first, and for each document the likeliest other one."""
-    ids, like = leaf["id"], _likeness(leaf["tokens"])
-    np.fill_diagonal(like, 0)
-    top = {(min(i, j), max(i, j)) for i, j in enumerate(like.argmax(axis=1).tolist()) if like[i, j] >= PROMISING}
+    """Promising pairs that join a leaf's documents, the likeliest first."""
+    ids, like, top = leaf["id"], _likeness(leaf["tokens"]), set()
     a, b = np.nonzero(np.triu(like >= PROMISING, 1))
     parent = list(range(len(ids)))
     for k in np.argsort(-like[a, b], kind="stable").tolist():

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import HOT, Scratch, slices
 
 #: A chunk ends behind white space where the rolling hash of the last WINDOW bytes is low: every WORDS words on average. The
 #: hash sees nothing else, so chunks of a passage are the same in any document after its first few words.
@@ -23,6 +23,8 @@ LONGEST = 2048
 #: A run of repeated chunks is taken out if it has MANY_WORDS, or LEAST_WORDS with LEAST_SOLID bytes in chunks of SOLID bytes
 #: at least: short chunks of common words also repeat by chance, but not so many in a row.
 LEAST_WORDS, LEAST_SOLID, SOLID, MANY_WORDS = 16, 64, 16, 32
+#: Keys to which a hot digest is dealt.
+SALTS = 64
 _GEAR = np.random.default_rng(20240607).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _LOW, _LOWER = np.uint32((1 << 16) // WORDS), np.uint32((1 << 16) // CHARACTERS)
@@ -67,7 +69,7 @@ def cut(raw: np.ndarray) -> np.ndarray:
 def _rows(text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Digests of a text's chunks, their packed places, and whether each repeats an earlier one of the text.
 
-    A place has start, bytes (12 bits) and words (8 bits); its last 12 bits are not used. Words are counted by their white
+    A place has start, bytes (12 bits), words (8 bits) and in its last bit whether the chunk repeats an earlier one. Words are counted by their white
     space, or by bytes where that makes more of them.
     """
     data = (text or "").encode()
@@ -80,13 +82,13 @@ def _rows(text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
     places = starts << 32 | (ends - starts) << 20 | count << 12
     seen: set[int] = set()
     again = np.array([d in seen or seen.add(d) is not None for d in digests], bool)
-    return digests, places, again
+    return digests, places | again, again
 
 
 def _chunked(batches: Iterator[pa.RecordBatch], first_only: bool) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 256):
         digests: list[int] = []
-        ids, tags, places, agains = [], [], [], []
+        ids, tags, places = [], [], []
         for k, tag, text in zip(*(batch.column(c).to_pylist() for c in ("_id", "_tag", "text")), strict=True):
             d, p, again = _rows(text)
             if first_only:
@@ -97,13 +99,12 @@ def _chunked(batches: Iterator[pa.RecordBatch], first_only: bool) -> Iterator[pa
                 ids.append(np.full(len(d), k, np.int64))
                 tags.append(np.full(len(d), tag, np.int64))
                 places.append(p)
-                agains.append(again)
         columns = [pa.array(digests, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *ids]))]
         if first_only:
             yield pa.RecordBatch.from_arrays(columns, ["digest", "_id"])
         else:
             columns += [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (tags, places)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([np.zeros(0, bool), *agains]))], ["digest", "_id", "_tag", "place", "again"])
+            yield pa.RecordBatch.from_arrays(columns, ["digest", "_id", "_tag", "place"])
 
 
 def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,8 +138,8 @@ def deduplicate(df: DataFrame, text: str = "text", id_col: str = "doc_id", spans
     keep theirs; null ids come after all others. A null or empty text stays as it is, an empty table stays empty. Of a text
     that is all repeated, an empty text remains. Digests are 64 bits wide; a chance match is too short for a run.
 
-    Each chunk's digest is counted with partial aggregation, so a chunk that a third of all documents share is one row a task;
-    the join back to the places can be split where such a digest is large. Places come back to their text by the id and 64
+    Each chunk's digest is counted with partial aggregation, so a chunk that a third of all documents share is one row a task.
+    Where a digest is hot, its owner is dealt to SALTS keys, and so are its places. Places come back to their text by the id and 64
     bits of the whole text, as rows of a null or repeated id differ; copies under one id share theirs, so no list is longer
     than a text has chunks.
     """
@@ -146,12 +147,20 @@ def deduplicate(df: DataFrame, text: str = "text", id_col: str = "doc_id", spans
     kept = [c for c in df.columns if c != spans]
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.col(text).alias("text"))
     rows = rows.withColumn("_tag", F.xxhash64(F.coalesce("text", F.lit(""))))
+    scratch = Scratch(spark)
     repeated = (
         rows.mapInArrow(_first, "digest long, _id long").groupBy("digest")
-        .agg(F.min("_id").alias("owner"), F.max("_id").alias("last")).filter("owner < last").select("digest", "owner")
+        .agg(F.min("_id").alias("owner"), F.max("_id").alias("last"), F.count("*").alias("n")).filter("owner < last").select("digest", "owner", "n")
     )
-    every = rows.mapInArrow(_every, "digest long, _id long, _tag long, place long, again boolean")
-    found = every.join(repeated, "digest", "left").filter("again or _id > owner").select("_id", "_tag", "place")
+    repeated = scratch.written(repeated)
+    is_hot = F.col("n") > max(1000, (repeated.agg(F.sum("n")).first()[0] or 0) // HOT)
+    hot = F.broadcast(repeated.filter(is_hot).select("digest", F.lit(True).alias("_hot")))  # fewer than HOT rows
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))
+    key = F.when(F.col("_salt") >= 0, F.xxhash64("digest", "_salt")).otherwise(F.col("digest")).alias("_key")
+    owners = repeated.withColumn("_salt", F.explode(salts)).select(key, "owner")
+    every = rows.mapInArrow(_every, "digest long, _id long, _tag long, place long").join(hot, "digest", "left")
+    every = every.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("_id", "_tag"), F.lit(SALTS)).cast("int")).otherwise(-1)).select(key, "_id", "_tag", "place")
+    found = every.join(owners, "_key", "left").filter("place & 1 = 1 or _id > owner").select("_id", "_tag", "place")
     gathered = found.groupBy("_id", "_tag").agg(F.collect_set("place").alias("_places"))
     whole = df.select(*[F.col(f"`{c}`") for c in kept]).withColumn("_id", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)))
     whole = whole.withColumn("_tag", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
