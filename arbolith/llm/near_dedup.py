@@ -39,6 +39,8 @@ BLOCK, PARTNERS = 256, 512
 LIKELY = 0.63
 #: The same for the forest that is tried first.
 PROMISING = 0.7
+#: Names of rows, of four numbers each, that may be broadcast.
+BROADCAST_ROWS = 500_000
 NUMERATOR, DENOMINATOR = 75, 100
 _RNG = np.random.default_rng(20240613)
 _A = _RNG.integers(1, 1 << 32, TOKENS, dtype=np.uint32) | np.uint32(1)
@@ -122,6 +124,18 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingles(t, words).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["id", "full"])
 
 
+def full_sets(scratch: Scratch, rows: DataFrame, one: DataFrame) -> DataFrame:
+    """(id, full), written: the full set of each node in ``one`` (id, doc_id, tag, copies), which names a row of its text in ``rows`` (doc_id, tag, text).
+
+    Up to BROADCAST_ROWS of them are broadcast, so that no text is shuffled; beyond, it is a shuffled join, for which Spark drops
+    most other rows by a Bloom filter before the shuffle. Only rows that are repeated whole under one id give a set many times.
+    """
+    one = scratch.written(one)
+    named = F.broadcast(one) if one.count() <= BROADCAST_ROWS else one.filter("copies > 0")
+    found = rows.join(named, ["doc_id", "tag"]).select("id", "text").mapInArrow(_full_sets, "id long, full binary")
+    return scratch.written(found if one.filter("copies > 1").isEmpty() else found.dropDuplicates(["id"]))
+
+
 def alike(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two sorted sets have the similarity."""
     if NUMERATOR * max(len(x), len(y)) > DENOMINATOR * min(len(x), len(y)):
@@ -349,18 +363,18 @@ def classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", trees: in
     nodes = written(profile.filter("id is not null").select("id", "tokens", "keys").dropDuplicates(["id"]))
     placed = _sized(scratch, nodes.select("id", F.explode("keys").alias("node")))
     small = written(_small(placed).groupBy("id").agg(F.collect_list("leaf").alias("small")))
-    # a row of each node that is ever compared; rows repeated whole under one id are the only ones to sort out by text
-    wanted = placed.select("id").distinct()
     rows_of = profile.filter("id is not null").groupBy("id", "doc_id", "tag").agg(F.count("*").alias("copies"))
-    one = rows_of.groupBy("id").agg(F.min(F.struct("doc_id", "tag", "copies")).alias("r")).join(wanted, "id").select("id", "r.*")
-    picked = rows.join(one, ["doc_id", "tag"]).select("id", "text", "copies")
-    picked = picked.filter("copies = 1").drop("copies").unionByName(picked.filter("copies > 1").drop("copies").dropDuplicates(["id"]))
-    full = written(picked.mapInArrow(_full_sets, "id long, full binary"))
+    one = rows_of.groupBy("id").agg(F.min(F.struct("doc_id", "tag", "copies")).alias("r")).join(placed.select("id").distinct(), "id")
+    one = written(one.select("id", "r.*"))
     parts = first_parts(placed).join(nodes.select("id", "tokens"), "id")
     first = written(_leafwise(parts, _forests, "a long, b long").distinct())
+    tried = written(first.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    full = full_sets(scratch, rows, one.join(tried, "id"))
     groups = written(components(confirmed(first, full)).select(F.col("node").alias("id"), "component"))
     meeting = across(scratch, nodes, placed, groups).join(nodes.select("id", "tokens"), "id").join(small, "id", "left")
     close = written(_leafwise(meeting.select(*_MEETING), _promising, "leaf long, id long, component long, side int, tokens binary, small array<bigint>"))
+    left = close.select("id").distinct().join(tried, "id", "left_anti")
+    full = full.unionByName(full_sets(scratch, rows, one.join(left, "id")))
     more = _leafwise(close.join(full, "id"), _joining, "a long, b long").distinct()
     # what the first links join is joined by a link from each to its least
     stars = groups.select(F.col("id").alias("a"), F.col("component").alias("b"))
