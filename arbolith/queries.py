@@ -617,7 +617,7 @@ def line_and_column(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", T.line_of(F.col("text"), at).alias("line"), T.column_of(F.col("text"), at).alias("col"))
 
 
-@query("SELECT word, regexp_full_match(word, '-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?') AS number, word IN ('true', 'false', 'null') AS keyword, regexp_full_match(word, '[A-Za-z_][A-Za-z0-9_.:#-]*') AS name, regexp_full_match(substr(word, 1, 1), '\p{Lu}') AS upper FROM (SELECT DISTINCT unnest([n_name, CAST(n_nationkey AS VARCHAR), '0' || n_nationkey, n_nationkey || '.5e3', 'true', 'a:b', '-1']) AS word FROM nation)")
+@query("SELECT word, regexp_full_match(word, '-?(0|[1-9][0-9]*)(\\.[0-9]+)?([eE][+-]?[0-9]+)?') AS number, word IN ('true', 'false', 'null') AS keyword, regexp_full_match(word, '[A-Za-z_][A-Za-z0-9_.:#-]*') AS name, regexp_full_match(substr(word, 1, 1), '\\p{Lu}') AS upper FROM (SELECT DISTINCT unnest([n_name, CAST(n_nationkey AS VARCHAR), '0' || n_nationkey, n_nationkey || '.5e3', 'true', 'a:b', '-1']) AS word FROM nation)")
 def kinds_of_words(spark, sf_dir):
     n = F.col("n_nationkey").cast("string")
     words = _t(spark, sf_dir, "nation").select(F.explode(F.array("n_name", n, F.concat(F.lit("0"), n), F.concat(n, F.lit(".5e3")), F.lit("true"), F.lit("a:b"), F.lit("-1"))).alias("word")).distinct()

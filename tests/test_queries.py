@@ -11,7 +11,7 @@ import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ("detect_type_pages", "jsonl_select_k", "json_tree_shred", "row_to_brace", "row_to_clines", "html_links", "html_element_counts", "xpath_position", "xpath_union", "delete_xpath", "select_reverse", "entity_replace_tree", "annotate_offsets", "unquote_c", "get_int_octal_hex", "ixml_csv", "tokenize_brace", "xslt_group", "validate_enum", "lines_stream")
+CHECKED = ("detect_type_pages", "jsonl_select_k", "json_tree_shred", "row_to_brace", "row_to_clines", "html_links", "html_element_counts", "xpath_position", "xpath_union", "delete_xpath", "select_reverse", "entity_replace_tree", "annotate_offsets", "unquote_c", "get_int_octal_hex", "ixml_csv", "tokenize_brace", "xslt_group", "validate_enum", "lines_stream", "load_files", "read_lines", "literal_docs", "forced_type", "select_attributes", "relative_path", "single_match", "entity_named", "add_built_tree", "brace_coloured", "kinds_of_words", "text_functions", "ixml_cost_long", "ixml_recover", "ixml_yaml", "ixml_metar", "xslt_import_format", "validate_key")
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -28,5 +28,13 @@ def test_query_gives_what_its_sql_gives(spark, name):
     assert sorted(map(str, (tuple(r[c] for c in columns) for r in df.collect()))) == sorted(map(str, (tuple(r[i] for i in at) for r in want.fetchall())))
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["jsonl_select_k", "delete_xpath", "replace_xpath", "add_root", "add_snippet", "set_attribute", "select_reverse", "entity_replace", "entity_delete", "char_entity", "entity_replace_tree", "html_delete_script", "html_title", "xpath_string_functions", "validate_int", "json_roundtrip"])
+def test_changes_parse_a_text_once(spark, name):
+    """One Arrow stage, and no shuffle of what it gives."""
+    plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+
+
 def test_every_sql_has_its_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
