@@ -1,7 +1,8 @@
-"""Substring deduplication: content-defined chunks by a gear rolling hash, deduplicated by digest."""
+"""Substring deduplication: content-defined chunks by a gear rolling hash, deduplicated by digest; windows of words say which runs are long."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +21,39 @@ WINDOW, WORDS = 16, 5
 SPACELESS, CHARACTERS, WORD_BYTES = 32, 12, 12
 #: Without such a place for so many bytes a chunk is cut at the next character.
 LONGEST = 2048
-#: A run of repeated chunks is taken out if it has MANY_WORDS, or LEAST_WORDS with LEAST_SOLID bytes in chunks of SOLID bytes
-#: at least: short chunks of common words also repeat by chance, but not so many in a row.
+#: A run of repeated chunks is taken out if it meets a repeated window: SPAN words in a row. Of any AMONG windows in a row the one
+#: of least hash is looked up, so a passage of SPAN + AMONG - 1 = 51 words is met in any document, and under SPAN words none.
+SPAN, AMONG = 34, 18
+#: Windows hashed at once.
+AT_ONCE = 1 << 14
+#: Text without white space has no such windows; there a run is taken out if it has MANY_WORDS, or LEAST_WORDS with LEAST_SOLID bytes
+#: in chunks of SOLID bytes at least: short chunks also repeat by chance, but not so many in a row.
 LEAST_WORDS, LEAST_SOLID, SOLID, MANY_WORDS = 16, 64, 16, 32
 #: Keys to which a hot digest is dealt.
 SALTS = 64
 _GEAR = np.random.default_rng(20240607).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Odd base of the hashes of windows.
+_BASE = 0x9E3779B97F4A7C15
+_BYTES = 32, 12, 12
+#: Without such a place for so many bytes a chunk is cut at the next character.
+LONGEST = 2048
+#: A run of repeated chunks is taken out if it meets a repeated window: SPAN words in a row. Of any AMONG windows in a row the one
+#: of least hash is looked up, so a passage of SPAN + AMONG - 1 = 51 words is met in any document, and under SPAN words none.
+SPAN, AMONG = 34, 18
+#: Windows hashed at once.
+AT_ONCE = 1 << 14
+#: Text without white space has no such windows; there a run is taken out if it has MANY_WORDS, or LEAST_WORDS with LEAST_SOLID bytes
+#: in chunks of SOLID bytes at least: short chunks also repeat by chance, but not so many in a row.
+LEAST_WORDS, LEAST_SOLID, SOLID, MANY_WORDS = 16, 64, 16, 32
+#: Keys to which a hot digest is dealt.
+SALTS = 64
+_GEAR = np.random.default_rng(20240607).integers(0, 1 << 32, 256, dtype=np.uint32)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Odd multipliers of the hashes of words and windows, and the inverse of the second modulo 2 ** 64.
+_BY_BYTE, _BY_WORD = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
+_BACK = np.uint64(pow(_BY_WORD, -1, 1 << 64))
+_BYTES = np.random.default_rng(20240608).integers(0, 1 << 64, 256, dtype=np.uint64)
 _LOW, _LOWER = np.uint32((1 << 16) // WORDS), np.uint32((1 << 16) // CHARACTERS)
 
 
@@ -66,22 +93,76 @@ def cut(raw: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
+@functools.cache
+def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BASE and of its inverse modulo 2 ** 64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        x = np.full(length, base, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+def _sliding(choose: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
+    """Of each n values in a row the least or greatest."""
+    step = 1
+    while 2 * step <= n:
+        x, step = choose(x[:-step], x[step:]), 2 * step
+    return choose(x[: step - n], x[n - step :]) if step < n else x
+
+
+def _hashed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of byte ranges, which come in order and close to each other."""
+    low, n = int(starts[0]), int(ends[-1] - starts[0])
+    powers, back = _powers(max(1 << 12, 1 << n.bit_length()))
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTES[raw[low : low + n]] * powers[:n], out=total[1:])
+    at = starts - low
+    x = (total[ends - low] - total[at]) * back[at]
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(29)
+
+
+def windows(raw: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests, starts and ends of the windows of UTF-8 bytes that are looked up; none where there are under SPAN + AMONG - 1 words."""
+    none = np.zeros(0, np.int64)
+    if len(raw) < 2 * (SPAN + AMONG) - 3:
+        return none, none, none
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    edges = np.concatenate([none if space[0] else [0], edges, none if space[-1] else [len(raw)]])
+    starts, ends = edges[::2], edges[1::2]
+    if len(starts) < SPAN + AMONG - 1:
+        return none, none, none
+    starts, ends = starts[: 1 - SPAN], ends[SPAN - 1 :]
+    hashes = np.concatenate([_hashed(raw, starts[i : i + AT_ONCE], ends[i : i + AT_ONCE]) for i in range(0, len(starts), AT_ONCE)])
+    least = np.zeros(len(hashes) + AMONG - 1, np.uint64)
+    least[AMONG - 1 : 1 - AMONG] = _sliding(np.minimum, hashes, AMONG)
+    at = np.flatnonzero(_sliding(np.maximum, least, AMONG) == hashes)  # the least of a group that has it
+    return hashes[at].view(np.int64), starts[at], ends[at]
+
+
 def _rows(text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Digests of a text's chunks, their packed places, and whether each repeats an earlier one of the text.
+    """Digests of a text's chunks and windows, their packed places, and whether each repeats an earlier one of the text.
 
-    A place has start, bytes (12 bits), words (8 bits) and in its last bit whether the chunk repeats an earlier one. Words are counted by their white
-    space, or by bytes where that makes more of them.
+    The upper 32 bits of a place are its start, its last bit says whether it repeats an earlier one of the text, the one before whether it is a window.
+    A window has its bytes between (30 bits). A chunk has its bytes (12 bits) and its words, by WORD_BYTES (8 bits), where these outnumber its white space.
     """
     data = (text or "").encode()
     raw = np.frombuffer(data, np.uint8)
     ends = cut(raw)
     starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
     digests = [xxhash.xxh64_intdigest(data[a:b]) - (1 << 63) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-    words = np.concatenate([[0], np.cumsum(_SPACE[raw])])
-    count = np.minimum(255, np.maximum(words[ends] - words[starts], (ends - starts) // WORD_BYTES)) if len(ends) else ends
-    places = starts << 32 | (ends - starts) << 20 | count << 12
-    seen: set[int] = set()
-    again = np.array([d in seen or seen.add(d) is not None for d in digests], bool)
+    space = _SPACE[raw]
+    spaces = np.concatenate([[0], np.cumsum(space)])
+    by_bytes = (ends - starts) // WORD_BYTES
+    count = np.where(by_bytes > spaces[ends] - spaces[starts], np.minimum(255, by_bytes), 0) if len(ends) else ends
+    met, first, last = windows(raw, space)
+    digests += met.tolist()
+    places = np.concatenate([starts << 32 | (ends - starts) << 20 | count << 12, first << 32 | (last - first) << 2 | 2])
+    held: dict[int, int] = {}  # to the end of the first, as windows overlap
+    ranges = zip(digests, np.concatenate([starts, first]).tolist(), np.concatenate([ends, last]).tolist(), strict=True)
+    again = np.array([held.setdefault(d, b) <= a for d, a, b in ranges], bool)
     return digests, places | again, again
 
 
@@ -116,17 +197,21 @@ def _every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def runs(places: list[int]) -> list[tuple[int, int]]:
-    """Byte ranges to take out, from the packed places of a text's repeated chunks."""
-    out, start, end, words, solid = [], -1, -1, 0, 0
+    """Byte ranges to take out, from the packed places of a text's repeated chunks and windows."""
+    out, start, end, words, solid, met = [], -1, -1, 0, 0, False
     for p in [*sorted(set(places)), None]:
-        at = p >> 32 if p is not None else -2
-        if at != end:
-            if words >= MANY_WORDS or (words >= LEAST_WORDS and solid >= LEAST_SOLID):
+        at = p >> 32 if p is not None else 1 << 40
+        if at > end:
+            if met or words >= MANY_WORDS or (words >= LEAST_WORDS and solid >= LEAST_SOLID):
                 out.append((start, end))
-            start, words, solid = at, 0, 0
-        if p is not None:
-            n = p >> 20 & 0xFFF
-            end, words, solid = at + n, words + (p >> 12 & 0xFF), solid + n * (n >= SOLID)
+            start, end, words, solid, met = at, at, 0, 0, False
+        if p is None:
+            break
+        if p & 2:
+            end, met = max(end, at + (p >> 2 & 0x3FFFFFFF)), True
+        else:
+            n, by_bytes = p >> 20 & 0xFFF, p >> 12 & 0xFF
+            end, words, solid = max(end, at + n), words + by_bytes, solid + n * (n >= SOLID and by_bytes > 0)
     return out
 
 
@@ -136,7 +221,8 @@ def deduplicate(df: DataFrame, text: str = "text", id_col: str = "doc_id", spans
     Adds ``spans``: array of (start, end), byte offsets into the original text; a column of that name is replaced.
     The document of lowest id keeps its chunks. Rows of the same id count as one document for each other, so repeated rows
     keep theirs; null ids come after all others. A null or empty text stays as it is, an empty table stays empty. Of a text
-    that is all repeated, an empty text remains. Digests are 64 bits wide; a chance match is too short for a run.
+    that is all repeated, an empty text remains. Passages under SPAN words stay; of SPAN + AMONG - 1 words and more none does. Digests are
+    64 bits wide; a chance match of a chunk is too short for a run, and among a million million windows one in ten million meets another's digest.
 
     Each chunk's digest is counted with partial aggregation, so a chunk that a third of all documents share is one row a task.
     Where a digest is hot, its owner is dealt to SALTS keys, and so are its places. Places come back to their text by the id and 64
