@@ -20,4 +20,29 @@ QUERIES = {
     "op10_quality": lambda spark, sf_dir: quality.op10(documents(spark, sf_dir)),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Every two documents that share a shingle are compared on their full sets; components are what recursion reaches.
+_NEAR = r"""
+WITH RECURSIVE
+split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+listed AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END AS s
+  FROM split),
+shingles AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(s) AS s FROM listed)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * shared.n >= 75 * (p.n + q.n - shared.n)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT reached.doc_id, ways.b FROM reached JOIN ways ON ways.a = reached.other)
+SELECT r.doc_id, CAST(coalesce(any_value(sizes.n), 0) AS BIGINT) AS n_shingles, min(r.other) AS component_id, r.doc_id = min(r.other) AS kept
+FROM reached r LEFT JOIN sizes ON sizes.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_minhash_near_dedup": _NEAR}

@@ -8,11 +8,12 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arbolith.llm import bpe, fingerprints, mpeg, near_dedup, packing, pii, quality, shards, substrings, token_counts
+from arbolith.llm import bpe, fingerprints, mpeg, near_dedup, packing, pii, quality, queries, shards, substrings, token_counts
 from arbolith.session import ship
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -359,6 +360,15 @@ def test_peeling_recovers_the_digests(spark):
     assert {(x.k, x.n) for x in found} == {(1, 1), (40, 1), (50, -1), (60, -1)}
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_op3_gives_what_its_sql_gives(spark):
+    con = duckdb.connect()
+    con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op3_minhash_near_dedup"])
+    got = queries.QUERIES["op3_minhash_near_dedup"](spark, "/root/testdata/sf0.001").select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 # -- substrings
 
 
