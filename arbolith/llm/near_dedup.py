@@ -7,13 +7,15 @@
 3. Tree nodes of LEAF documents at most are leaves. Larger ones are first cut at random into small parts. A forest of likely
    pairs in each leaf and part is confirmed on the full sets, which gives components.
 4. A large tree node whose documents now belong to one component needs no more work. Where each document has few partners of
-   other components, all of them are compared, block against block; otherwise the node branches on.
+   other components, all of them are compared, block against block; otherwise the node branches on. A node of HELD documents
+   at most does all this in one task, a larger one level by level over the whole cluster.
 5. In leaves and blocks with several components all likely pairs across components are compared on their full sets, and
    links that join components are kept.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,8 @@ TREES = 10
 LEAF, LEVELS = 64, 8
 #: Documents of a block, and the partners of other components for each document of a tree node up to which blocks are compared.
 BLOCK, PARTNERS = 256, 512
+#: Documents of a tree node that may branch on in one task; their tokens are a megabyte.
+HELD = 4096
 #: Share of equal tokens from which a pair is compared on full sets: over four standard deviations below 0.75.
 LIKELY = 0.63
 #: The same for the forest that is tried first.
@@ -212,31 +216,37 @@ def _labelled(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def across(scratch: Scratch, nodes: DataFrame, placed: DataFrame, groups: DataFrame) -> DataFrame:
-    """(leaf, id, component, side), written: leaves and blocks in which documents of different components meet."""
+    """(leaf, id, component, side, level): leaves, blocks, and nodes to branch on in one task from ``level`` (null for others), in which documents of different components meet."""
     found: list[DataFrame] = []
 
-    def leaves(rows: DataFrame) -> None:
-        marked = _labelled(_small(rows), groups)
-        mixed = marked.groupBy("leaf").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("leaf")
-        found.append(scratch.written(marked.join(mixed, "leaf").withColumn("side", F.lit(0))))
+    def meet(rows: DataFrame, side: str = "0", level: str = "null") -> None:
+        found.append(rows.select("leaf", "id", "component", F.expr(f"int({side})").alias("side"), F.expr(f"int({level})").alias("level")))
 
     for level in range(LEVELS + 1):
-        leaves(placed)
+        marked = _labelled(_small(placed), groups)
+        mixed = marked.groupBy("leaf").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("leaf")
+        meet(scratch.written(marked.join(mixed, "leaf")))
         large = scratch.written(_labelled(placed.filter(F.col("n") > LEAF).select("node", "id"), groups))
         total = large.count()
         if not total:
             break
         sizes = scratch.written(large.groupBy("node", "component").agg(F.count("*").alias("n")))
         partners = "(pow(sum(n), 2) - sum(n * n)) / sum(n)"
-        work = scratch.written(sizes.groupBy("node").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.expr(partners).alias("partners")).filter("kinds > 1"))
-        few = work.filter(F.lit(level == LEVELS) | (F.col("partners") <= PARTNERS)).select("node", "n")
-        many = work.join(few, "node", "left_anti").select("node", "n")
-        if not few.isEmpty():
-            near = scratch.written(joined_on(large, few, ["node"], total).drop("n"))
-            found.append(scratch.written(blocks(scratch, near, sizes.join(few.select("node"), "node", "left_semi"), near.count())))
-        if level == LEVELS or many.isEmpty():
+        work = sizes.groupBy("node").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.expr(partners).alias("partners")).filter("kinds > 1")
+        way = f"if(n <= {HELD}, 'held', if({level == LEVELS} or partners <= {PARTNERS}, 'blocks', 'branches'))"
+        work = scratch.written(work.select("node", "n", F.expr(way).alias("way")))
+        ways = dict(work.groupBy("way").agg(F.sum("n")).collect())
+        if not ways:
+            break
+        large = scratch.written(joined_on(large, work, ["node"], total).drop("n"))
+        if "held" in ways:
+            meet(large.filter("way = 'held'").withColumnRenamed("node", "leaf"), level=str(level))
+        if "blocks" in ways:
+            few = work.filter("way = 'blocks'").select("node")
+            meet(scratch.written(blocks(scratch, large.filter("way = 'blocks'").drop("way"), sizes.join(few, "node", "left_semi"), ways["blocks"])), "side")
+        if "branches" not in ways:
             break
-        on = joined_on(large, many, ["node"], total).select("id", "node").join(nodes.select("id", "tokens"), "id")
+        on = large.filter("way = 'branches'").select("id", "node").join(nodes.select("id", "tokens"), "id")
         placed = _sized(scratch, on.select("id", F.explode(F.expr(_children("node"))).alias("node")))
     out = found[0]
     for f in found[1:]:
@@ -306,6 +316,40 @@ def candidates(leaf: dict[str, list]) -> list[tuple[int, int]]:
     return [(i, j) for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True) if min(small[i] & small[j], default=own) == own]
 
 
+def _named(node: int, *more: int) -> int:
+    """A node below ``node``, of 64 bits."""
+    return xxhash.xxh64_intdigest(struct.pack(f"<q{len(more)}q", node, *more)) - (1 << 63)
+
+
+def branched(held: dict[str, list]) -> Iterator[dict[str, list]]:
+    """Leaves and pairs of blocks of a node's documents, by the rules of ``across``."""
+    tokens = np.frombuffer(b"".join(held["tokens"]), np.uint8).reshape(-1, TOKENS)
+    group = np.array(held["component"])
+
+    def meeting(leaf: int, at: np.ndarray, side: list[int]) -> dict[str, list]:
+        return {c: [held[c][i] for i in at.tolist()] for c in ("id", "component", "tokens", "small")} | {"leaf": [leaf] * len(at), "side": side}
+
+    todo = [(held["leaf"][0], np.argsort(group, kind="stable"), held["level"][0])]
+    while todo:
+        node, at, level = todo.pop()
+        n, kinds = len(at), np.unique(group[at], return_counts=True)[1]
+        if len(kinds) < 2:
+            continue
+        if n <= LEAF:
+            yield meeting(node, at, [0] * n)
+        elif level == LEVELS or (n * n - (kinds * kinds).sum()) / n <= PARTNERS:
+            cut = [at[k : k + BLOCK] for k in range(0, n, BLOCK)]
+            for i, x in enumerate(cut):
+                yield meeting(_named(node, i, i), x, [0] * len(x))
+                for j, y in enumerate(cut[i + 1 :], i + 1):
+                    yield meeting(_named(node, i, j), np.concatenate([x, y]), [1] * len(x) + [2] * len(y))
+        else:
+            for c in {_named(node, k) % TOKENS for k in ((1, 2) if _named(node, 7) % 3 == 0 else (1,))}:
+                order = at[np.argsort(tokens[at, c], kind="stable")]
+                for part in np.split(order, np.flatnonzero(np.diff(tokens[order, c])) + 1):
+                    todo.append((_named(node, c, int(tokens[part[0], c])), part, level + 1))
+
+
 def _table(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -321,11 +365,12 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _MEETING = {"leaf": pa.int64(), "id": pa.int64(), "component": pa.int64(), "side": pa.int32(), "tokens": pa.binary(), "small": pa.list_(pa.int64())}
+_HELD = (*_MEETING, "level")
 
 
 def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of a leaf that take part in its candidates."""
-    for leaf in _grouped(batches):
+    """The rows of a leaf that take part in its candidates; nodes to branch on give their leaves and blocks first."""
+    for leaf in (part for group in _grouped(batches) for part in ([group] if group["level"][0] is None else branched(group))):
         if wanted := sorted({i for pair in candidates(leaf) for i in pair}):
             yield pa.RecordBatch.from_arrays([pa.array([leaf[c][i] for i in wanted], t) for c, t in _MEETING.items()], list(_MEETING))
 
@@ -372,7 +417,7 @@ def classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", trees: in
     full = full_sets(scratch, rows, one.join(tried, "id"))
     groups = written(components(confirmed(first, full)).select(F.col("node").alias("id"), "component"))
     meeting = across(scratch, nodes, placed, groups).join(nodes.select("id", "tokens"), "id").join(small, "id", "left")
-    close = written(_leafwise(meeting.select(*_MEETING), _promising, "leaf long, id long, component long, side int, tokens binary, small array<bigint>"))
+    close = written(_leafwise(meeting.select(*_HELD), _promising, "leaf long, id long, component long, side int, tokens binary, small array<bigint>"))
     left = close.select("id").distinct().join(tried, "id", "left_anti")
     full = full.unionByName(full_sets(scratch, rows, one.join(left, "id")))
     more = _leafwise(close.join(full, "id"), _joining, "a long, b long").distinct()

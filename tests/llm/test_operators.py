@@ -290,6 +290,48 @@ def test_sparse_links_in_a_large_node(table, monkeypatch):
     assert got == {i: i if i < 600 else i - 600 for i in range(660)}
 
 
+def shared_passage(n: int) -> tuple[list[str], dict[int, int]]:
+    """``n`` texts that share a passage and don't link, then one in ten again with another end, which links; the components."""
+    passage = prose(5, 120)
+    texts = [f"{passage} " + " ".join(f"own{i}x{j}" for j in range(30)) for i in range(n)]
+    texts += [texts[i].rsplit(" ", 6)[0] + " " + " ".join(f"tail{i}x{j}" for j in range(6)) for i in range(0, n, 10)]
+    return texts, {i: i if i < n else 10 * (i - n) for i in range(len(texts))}
+
+
+def test_large_mixed_nodes_are_counted_once(table, monkeypatch):
+    """Texts that share a passage: their tree nodes branch on in a task each; tables are joined with their nodes' sizes once, not again at each level."""
+    texts, want = shared_passage(1300)
+    calls, sized = [], near_dedup._sized
+    monkeypatch.setattr(near_dedup, "_sized", lambda *a: calls.append(1) or sized(*a))
+    got = {r.doc_id: r.component_id for r in near_dedup.link(table(texts)).collect()}
+    assert got == want and len(calls) == 1
+
+
+def test_nodes_too_large_for_a_task_branch_level_by_level(table, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HELD", 0)
+    monkeypatch.setattr(near_dedup, "LEVELS", 1)
+    monkeypatch.setattr(near_dedup, "PARTNERS", 100)
+    texts, want = shared_passage(400)
+    got = {r.doc_id: r.component_id for r in near_dedup.link(table(texts)).collect()}
+    assert got == want
+
+
+def test_held_nodes_lose_no_link():
+    """One node in memory, of unlike texts with a common passage and one large component: close pairs meet in a leaf or a pair of blocks, which stay small."""
+    words = near_dedup.Words()
+    texts, _ = shared_passage(1300)
+    texts += [edited(texts[0], i, 0.01) for i in range(300)]
+    n, tokens = len(texts), [near_dedup.minwise(near_dedup.shingles(t, words)).tobytes() for t in texts]
+    met: set[tuple[int, int]] = set()
+    for at in range(near_dedup.TREES):
+        held = {"leaf": [at] * n, "id": list(range(n)), "component": [0 if i >= 1430 else i for i in range(n)], "tokens": tokens, "small": [None] * n, "level": [0] * n}
+        for part in near_dedup.branched(held):
+            assert len(part["id"]) <= 2 * near_dedup.BLOCK
+            met |= {tuple(sorted((part["id"][i], part["id"][j]))) for i, j in near_dedup.candidates(part)}
+    assert all((10 * k, 1300 + k) in met for k in range(1, 130))
+    assert any(a == 1300 and b >= 1430 for a, b in met)
+
+
 def test_odd_tables_through_the_pipeline(spark, tmp_path):
     """Null ids and texts, repeated rows, unlike texts of one id, an extra column of a clashing name, an empty table: values, stage by stage."""
     import corpus_pipeline
