@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, fingerprints, mpeg, near_dedup, packing, pii, quality, shards, substrings, token_counts
+from . import bpe, decontamination, fingerprints, mpeg, near_dedup, packing, pii, quality, shards, substrings, token_counts
 from .common import documents
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_pii": lambda spark, sf_dir: pii.op8(documents(spark, sf_dir)),
     "op9_mpeg_audio": lambda spark, sf_dir: mpeg.op9(documents(spark, sf_dir)),
     "op10_quality": lambda spark, sf_dir: quality.op10(documents(spark, sf_dir)),
+    "op11_decontamination": lambda spark, sf_dir: decontamination.op11(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
 }
 
 #: Every two documents that share a shingle are compared on their full sets; components are what recursion reaches.
@@ -45,4 +46,26 @@ SELECT r.doc_id, CAST(coalesce(any_value(sizes.n), 0) AS BIGINT) AS n_shingles,
 FROM reached r LEFT JOIN sizes ON sizes.doc_id = r.doc_id GROUP BY r.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_minhash_near_dedup": _NEAR}
+#: Every window of items, and as many words of a document from every place, as joined words.
+_LEAKS = r"""
+WITH
+split AS (
+  SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, unnest(list_transform(range(1, greatest(len(w) - 8, 2)), lambda i: array_to_string(w[i:i + 9], ' '))) AS g
+  FROM items WHERE len(w) > 0),
+grams AS (
+  SELECT r, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: {'i': i, 'g': array_to_string(w[i:i + k - 1], ' ')})) AS x
+  FROM split, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k),
+found AS (SELECT r, x.i AS i, k, item_id FROM grams JOIN windows USING (k) WHERE x.g = g),
+hits AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM found) GROUP BY r),
+met AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(met.n, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, hits.n IS NOT NULL AS contaminated
+FROM split LEFT JOIN hits USING (r) LEFT JOIN met USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_minhash_near_dedup": _NEAR, "op11_decontamination": _LEAKS}
