@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontamination, fingerprints, mpeg, near_dedup, packing, pii, quality, shards, spelling, substrings, token_counts
+from . import bpe, conversations, decontamination, fingerprints, mpeg, near_dedup, packing, pii, quality, shards, spelling, substrings, token_counts
 from .common import documents
 
 QUERIES = {
@@ -20,6 +20,7 @@ QUERIES = {
     "op10_quality": lambda spark, sf_dir: quality.op10(documents(spark, sf_dir)),
     "op11_decontamination": lambda spark, sf_dir: decontamination.op11(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
     "op12_spelling_variants": lambda spark, sf_dir: spelling.op12(documents(spark, sf_dir)),
+    "op13_conversation_repair": lambda spark, sf_dir: conversations.op13(spark.read.parquet(f"{sf_dir}/conversations.parquet")),
 }
 
 #: Every two documents that share a shingle are compared on their full sets; components are what recursion reaches.
