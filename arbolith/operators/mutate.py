@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..model import FIELDS, NODES, Node, char_of, document, shred
 from ..plans import xpath as X
-from ..plans import xpath_frames
+from ..plans import containment, xpath_frames
 from ..sources import brace
 
 #: Added to the numbers of nodes that come from elsewhere, so that they stand behind a document's own.
@@ -35,9 +35,9 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def _without(nodes: DataFrame, tops: DataFrame, tops_too: bool = True) -> DataFrame:
-    t = tops.select(F.col("doc_id").alias("t_doc"), F.col("pre").alias("t_pre"), F.col("post").alias("t_post"))
-    inside = (F.col("pre") >= F.col("t_pre")) & (F.col("post") <= F.col("t_post")) if tops_too else (F.col("pre") > F.col("t_pre")) & (F.col("post") < F.col("t_post"))
-    return nodes.join(t, (F.col("doc_id") == F.col("t_doc")) & inside, "left_anti")
+    t = tops.select("doc_id", (F.col("pre") + (0 if tops_too else 1)).alias("t_first"), (F.col("pre") + xpath_frames.size()).alias("t_last"))
+    inside = containment.pairs(nodes.select("doc_id", "pre"), F.col("pre"), t, F.col("t_first"), F.col("t_last"), ["doc_id"])
+    return nodes.join(inside, ["doc_id", "pre"], "left_anti")
 
 
 def _first(found: DataFrame) -> DataFrame:
@@ -59,8 +59,8 @@ def select(nodes: DataFrame, xpath: str, order: str = "reverse") -> DataFrame:
     Documents without a match vanish.
     """
     found = xpath_frames.select(nodes, xpath)
-    tops = found.select(F.col("doc_id").alias("t_doc"), F.col("pre").alias("t_pre"), F.col("post").alias("t_post"), F.col("level").alias("t_level"), F.col("path").alias("t_path"))
-    owned = nodes.join(tops, (F.col("doc_id") == F.col("t_doc")) & (F.col("pre") >= F.col("t_pre")) & (F.col("post") <= F.col("t_post")))
+    tops = found.select("doc_id", F.col("pre").alias("t_pre"), (F.col("pre") + xpath_frames.size()).alias("t_last"), F.col("level").alias("t_level"), F.col("path").alias("t_path"))
+    owned = containment.pairs(nodes, F.col("pre"), tops, F.col("t_pre"), F.col("t_last"), ["doc_id"])
     nearest = owned.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "pre").orderBy(F.desc("t_pre")))).filter("_n = 1")
     top, attr = F.col("pre") == F.col("t_pre"), (F.col("pre") == F.col("t_pre")) & (F.col("kind") == "attribute")
     base = F.length(F.regexp_replace("t_path", "/[^/]*$", ""))

@@ -1,7 +1,7 @@
 """XPath 1.0 over tables of nodes: expressions become filters, joins and aggregates that Catalyst plans.
 
-Every join has doc_id among its keys, so documents stay apart and Spark hashes or sorts instead of looping. A path from
-the root by child steps is a filter on ``path``, and //name a filter on kind and name: no join at all.
+Every join has doc_id among its keys, and those along axes of ranges blocks of numbers too (``containment``), so Spark hashes or sorts instead of looping and
+one large document is many tasks' work. A path from the root by child steps is a filter on ``path``, and //name a filter on kind and name: no join at all.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import FIELDS
+from . import containment
 from . import xpath as X
 from .xpath import REVERSE, Binary, Call, Filter, Literal, Negative, Number, Path, Step, XPathError
 
@@ -35,7 +36,7 @@ def string(value: Column, kind: str) -> Column:
 
 def size(prefix: str = "") -> Column:
     """Number of nodes below a node, from its numbers alone."""
-    return F.col(f"{prefix}post") - F.col(f"{prefix}pre") + F.col(f"{prefix}level")
+    return F.col(f"{prefix}post").cast("long") - F.col(f"{prefix}pre") + F.col(f"{prefix}level")
 
 
 def test(step: Step) -> Column:
@@ -59,8 +60,12 @@ def test(step: Step) -> Column:
     return main if local == "*" else main & F.col("prefix").isNull()
 
 
+#: Axes along which nodes are met by their numbers lying in a range.
+_RANGES = ("descendant", "descendant-or-self", "ancestor", "ancestor-or-self", "following", "preceding")
+
+
 def _join(axis: str) -> Column:
-    """Between a context node (c_) and a node of the table."""
+    """Between a context node (c_) and a node of the table, but for axes of _RANGES."""
     c, n = (lambda x: F.col(f"c_{x}")), F.col
     return {
         "child": n("parent") == c("pre"),
@@ -68,12 +73,6 @@ def _join(axis: str) -> Column:
         "namespace": n("parent") == c("pre"),
         "parent": n("pre") == c("parent"),
         "self": n("pre") == c("pre"),
-        "descendant": (n("pre") > c("pre")) & (n("post") < c("post")),
-        "descendant-or-self": (n("pre") >= c("pre")) & (n("post") <= c("post")),
-        "ancestor": (n("pre") < c("pre")) & (n("post") > c("post")),
-        "ancestor-or-self": (n("pre") <= c("pre")) & (n("post") >= c("post")),
-        "following": (n("pre") > c("pre")) & (n("post") > c("post")),
-        "preceding": (n("pre") < c("pre")) & (n("post") < c("post")),
         "following-sibling": (n("parent") == c("parent")) & (n("ord") > c("ord")),
         "preceding-sibling": (n("parent") == c("parent")) & (n("ord") < c("ord")),
     }[axis]
@@ -81,10 +80,11 @@ def _join(axis: str) -> Column:
 
 def string_values(targets: DataFrame, nodes: DataFrame) -> DataFrame:
     """Adds ``text``: the string value of each target row, which has the columns of NODES."""
-    texts = nodes.filter("kind in ('text', 'cdata')").select(F.col("doc_id").alias("t_doc"), F.col("pre").alias("t_pre"), F.col("post").alias("t_post"), F.col("value").alias("t_value"))
-    elements = targets.filter("kind in ('element', 'document')").select("doc_id", "pre", "post").distinct()
-    on = (F.col("doc_id") == F.col("t_doc")) & (F.col("t_pre") > F.col("pre")) & (F.col("t_post") < F.col("post"))
-    joined = elements.join(texts, on).groupBy("doc_id", "pre").agg(F.array_sort(F.collect_list(F.struct("t_pre", "t_value"))).alias("p"))
+    texts = nodes.filter("kind in ('text', 'cdata')").select("doc_id", F.col("pre").alias("t_pre"), F.col("value").alias("t_value"))
+    owners = targets.filter("kind in ('element', 'document')").select("doc_id", "pre", (F.col("pre") + size()).alias("_end"), "kind").distinct()
+    below = containment.pairs(texts, F.col("t_pre"), owners.filter("kind = 'element'"), F.col("pre") + 1, F.col("_end"), ["doc_id"])
+    whole = owners.filter("kind = 'document'").join(texts, "doc_id").select(below.columns)
+    joined = below.unionByName(whole).groupBy("doc_id", "pre").agg(F.array_sort(F.collect_list(F.struct("t_pre", "t_value"))).alias("p"))
     found = joined.select("doc_id", "pre", F.array_join(F.transform("p", lambda x: x["t_value"]), "").alias("_text"))
     return targets.join(found, ["doc_id", "pre"], "left").withColumn("text", F.coalesce("_text", "value", F.lit(""))).drop("_text")
 
@@ -115,9 +115,21 @@ class Frames:
 
     def root(self) -> DataFrame:
         """A row for each document above its top-level nodes."""
+        return self._rooted(self.nodes.select("doc_id").distinct())
+
+    def _rooted(self, docs: DataFrame) -> DataFrame:
         values = {"pre": -1, "post": 2**31 - 1, "parent": -2, "level": -1, "ord": 0, "kind": "document", "prefix": None, "name": None, "ns_uri": None, "value": None, "path": ""}
         types = dict(self.nodes.dtypes)
-        return self.nodes.select("doc_id").distinct().select("doc_id", *[F.lit(v).cast(types[k]).alias(k) for k, v in values.items()])
+        return docs.select("doc_id", *[F.lit(v).cast(types[k]).alias(k) for k, v in values.items()])
+
+    def once(self, e: object) -> DataFrame:
+        """(doc_id, value) of an expression, once a document."""
+        rows = self.root()
+        if self.is_nodes(e):
+            rows, value = self._string(e, rows)
+            return rows.select("doc_id", value.alias("value"))
+        rows, v = self.value(e, rows)
+        return rows.select("doc_id", v.column.alias("value"))
 
     # -- paths
 
@@ -163,16 +175,48 @@ class Frames:
             now = self._step(now, s)
         return now
 
+    def _ranged(self, now: DataFrame, s: Step) -> DataFrame:
+        """Nodes that an axis of _RANGES gives, with ``_o`` and ``c_pre``."""
+        pool = self.nodes.filter(test(s))
+        inner, far = s.axis.startswith("descendant"), s.axis in ("following", "preceding")
+        own = s.axis.endswith("-or-self")
+        roots = now.filter("kind = 'document'")
+        now = now.filter("kind != 'document'").withColumn("_end", F.col("pre") + size())
+        if far and not s.predicates:  # of all contexts, that which has most behind or before it has all
+            now = now.groupBy("doc_id", "_o").agg(*([F.min("_end").alias("_end"), F.lit(-9).alias("pre"), F.lit(0).alias("post")] if s.axis == "following" else [F.max_by("post", "pre").alias("post"), F.max("pre").alias("pre"), F.lit(0).alias("_end")]))
+        context = now.select("doc_id", "_o", F.col("pre").alias("c_pre"), F.col("_end").alias("c_end"), F.col("post").alias("c_post") if far else F.lit(0).alias("c_post"))
+        if inner:
+            found = containment.pairs(pool, F.col("pre"), context, F.col("c_pre") + (0 if own else 1), F.col("c_end"), ["doc_id"])
+            below = pool.join(roots.select("doc_id", "_o", F.col("pre").alias("c_pre")), "doc_id")
+            if own and s.test == "node()":
+                below = below.unionByName(roots.select(*FIELDS, "_o", F.col("pre").alias("c_pre")))
+            return found.select(*FIELDS, "_o", "c_pre").unionByName(below.select(*FIELDS, "_o", "c_pre"))
+        if s.axis == "following":
+            ends = self.nodes.groupBy("doc_id").agg(F.max("pre").alias("c_last"))
+            return containment.pairs(pool, F.col("pre"), context.join(ends, "doc_id"), F.col("c_end") + 1, F.col("c_last"), ["doc_id"]).select(*FIELDS, "_o", "c_pre")
+        if s.axis == "preceding":
+            found = containment.pairs(pool, F.col("pre"), context, F.lit(0), F.col("c_pre") - 1, ["doc_id"])
+            return found.filter("post < c_post").select(*FIELDS, "_o", "c_pre")
+        found = containment.pairs(context, F.col("c_pre"), pool, F.col("pre") + (0 if own else 1), F.col("pre") + size(), ["doc_id"]).select(*FIELDS, "_o", "c_pre")
+        if s.test == "node()":
+            above = self.root().join(now.select("doc_id", "_o", F.col("pre").alias("c_pre")), "doc_id")
+            found = found.unionByName(above.select(*FIELDS, "_o", "c_pre"))
+            if own:
+                found = found.unionByName(roots.select(*FIELDS, "_o", F.col("pre").alias("c_pre")))
+        return found
+
     def _step(self, now: DataFrame, s: Step) -> DataFrame:
         context = now.select(*[F.col(x).alias(f"c_{x}") for x in ("doc_id", "pre", "post", "parent", "ord", "kind")], "_o")
         if s.axis in ("self",):
             found = now.withColumn("c_pre", F.col("pre")).filter(test(s) if s.test != "node()" else F.lit(True))
+        elif s.axis in _RANGES:
+            found = self._ranged(now, s)
         else:
             on = (F.col("doc_id") == F.col("c_doc_id")) & _join(s.axis)
             if s.axis in ("following-sibling", "preceding-sibling"):
                 on = on & ~F.col("c_kind").isin("attribute", "namespace")
             pool = self.nodes.filter(test(s))
-            if s.axis in ("parent", "ancestor", "ancestor-or-self", "descendant-or-self") and s.test == "node()":
+            if s.axis == "parent" and s.test == "node()":
                 pool = pool.unionByName(self.root())
             found = pool.join(context, on).select(*FIELDS, "_o", "c_pre")
         for p in s.predicates:
@@ -396,11 +440,4 @@ def select(nodes: DataFrame, xpath: str, context: DataFrame | None = None) -> Da
 
 def evaluate(nodes: DataFrame, xpath: str) -> DataFrame:
     """(doc_id, value) of an expression that gives a number, string or boolean, once a document."""
-    frames = Frames(nodes)
-    e = X.parse(xpath)
-    rows = frames.root()
-    if frames.is_nodes(e):
-        rows, value = frames._string(e, rows)
-        return rows.select("doc_id", value.alias("value"))
-    rows, v = frames.value(e, rows)
-    return rows.select("doc_id", v.column.alias("value"))
+    return Frames(nodes).once(X.parse(xpath))

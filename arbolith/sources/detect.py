@@ -16,7 +16,7 @@ def without_bom(text: Column) -> Column:
 def content_type(text: Column) -> Column:
     """xml, html, json or brace; null stays null. Comments before the first tag are skipped; an open one means xml."""
     s = F.regexp_replace(without_bom(text), f"(?s)^({_WS}<!--.*?-->)+", "")
-    start = F.lower(F.regexp_replace(F.substring(s, 1, 512), f"^{_WS}", ""))
+    start = F.lower(F.substring(F.ltrim(s, F.lit(" \t\r\n")), 1, 512))  # what stands first, however much white space is before it
     return (
         F.when(text.isNull(), F.lit(None))
         .when(F.regexp_like(without_bom(text), F.lit(rf"^{_WS}<\?xml")), "xml")
