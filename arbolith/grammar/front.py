@@ -163,8 +163,8 @@ class _Reader:
                 self.space()
             else:
                 raise self.fail("invalid character set")
-            if not (self.eat(";") or self.eat(",")) and self.peek() != "]":
-                raise self.fail("expected ; or ]")
+            if not (self.eat(";") or self.eat("|") or self.eat(",")) and self.peek() != "]":
+                raise self.fail("expected ;, | or ]")
         return Set(tuple(ranges), tuple(categories), negated)
 
     def helper(self, alternatives: list[tuple[Term, ...]]) -> Term:

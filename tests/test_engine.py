@@ -323,11 +323,19 @@ def test_bad_documents_become_error_rows(spark):
         ("ixml:data/scsv", "a;;c", "table{tr{td=a td td=c}}"),
         ("ixml:data/tsv", "a b\tc\n1\t2", "table{tr{td='a b'td=c}tr{td=1 td=2}}"),
         ("ixml:conf/crontab", "# nightly\nSHELL = /bin/sh\n5 4 * Jan 0 run --all", "crontab{comment=' nightly'variable{name=SHELL value=/bin/sh}line{minute=5 hour=4 day_of_month=* month_of_year=Jan day_of_week=0 command='run --all'}}"),
+        ("ixml:conf/crontab", "@daily  tidy up\n*/5,7-9 0 1 * Mon-Fri  run\n\nMAILTO=\n", "crontab{line{every=daily command='tidy up'}line{minute='*/5,7-9'hour=0 day_of_month=1 month_of_year=* day_of_week=Mon-Fri command=run}variable{name=MAILTO}}"),
+        ("x = ~[#a | #d]*.", "ab", "x=ab"),
+        ("x = ['a'-'c' | Nd; '-']+.", "b7-", "x=b7-"),
+        (
+            "ixml:measurement/metar",
+            "SPECI KJFK 121251Z 18004KT 150V220 1 1/2SM R04R/P6000VM0600U FG VV002 12/M01 A2992 RETS BECMG FM1300 9999 NSC RMK AO2",
+            "weather_report{report_type=SPECI icao_airport_code=KJFK time_of_observation{month=12 time{hour=12 minute=51}time_zone=Z}wind{wind_direction{degrees=180 speed{value=04 unit=KT}}}wind{wind_variation{from_degrees=150 to_degrees=220}}visibility{miles='1 1/2'}runway_visual_range{runway=04R range=6000 below=less range=0600 status=rising}weather{observation{type=FG type-info=fog}}clouds{observation{cloud_cover=VV cloud_base=002}}temperature{air_c=12 dewpoint_c=-01}air_pressure{pressure_hg=2992}recent_weather{chrct=TS chrct-info=thunderstorms}trend{view_becoming{at=FM1300 meters=9999 clouds{observation{cloud_cover=NSC}}}}remark=AO2}",
+        ),
         ("ixml:conf/yamlsubset", "port:\n  name: Vik\n  piers:\n    - north\n    - south\ndepth: 12\n", "_{obj(key=port){kv(key=name)=Vik obj(key=piers){list(A=''){li=north li=south}}}kv(key=depth)=12}"),
         (
             "ixml:measurement/metar",
             "METAR ESSA 041620Z AUTO VRB12G25KT 9999 -SHRA OVC050CB M04/07 Q1020 NOSIG=",
-            "weather_report{report_type=METAR icao_airport_code=ESSA time_of_observation{month=04 time{hour=16 minute=20}time_zone=Z}observation_type=AUTOMATIC wind{wind_direction{variable=VRB speed{value=12 gusty=25 unit=KT}}}visibility{meters=9999}weather{observation{intensity=light chrct=SH chrct-info='shower(s) of'type=RA type-info=rain}}clouds{observation{cloud_cover=OVC cloud_base=050 cloud_type=CB}}temperature{air_c=-04 dewpoint_c=07}air_pressure{pressure_hpa=1020}trend=NOSIG}",
+            "weather_report{report_type=METAR icao_airport_code=ESSA time_of_observation{month=04 time{hour=16 minute=20}time_zone=Z}observation_type=AUTOMATIC wind{wind_direction{variable=VRB speed{value=12 gusty=25 unit=KT}}}visibility{meters=9999}weather{observation{intensity=light chrct=SH chrct-info=showers type=RA type-info=rain}}clouds{observation{cloud_cover=OVC cloud_base=050 cloud_type=CB}}temperature{air_c=-04 dewpoint_c=07}air_pressure{pressure_hpa=1020}trend=NOSIG}",
         ),
     ],
 )
