@@ -323,7 +323,7 @@ def test_bad_documents_become_error_rows(spark):
         ("ixml:data/scsv", "a;;c", "table{tr{td=a td td=c}}"),
         ("ixml:data/tsv", "a b\tc\n1\t2", "table{tr{td='a b'td=c}tr{td=1 td=2}}"),
         ("ixml:conf/crontab", "# nightly\nSHELL = /bin/sh\n5 4 * Jan 0 run --all", "crontab{comment=' nightly'variable{name=SHELL value=/bin/sh}line{minute=5 hour=4 day_of_month=* month_of_year=Jan day_of_week=0 command='run --all'}}"),
-        ("ixml:conf/crontab", "@daily  tidy up\n*/5,7-9 0 1 * Mon-Fri  run\n\nMAILTO=\n", "crontab{line{every=daily command='tidy up'}line{minute='*/5,7-9'hour=0 day_of_month=1 month_of_year=* day_of_week=Mon-Fri command=run}variable{name=MAILTO}}"),
+        ("ixml:conf/crontab", "@daily  tidy up\n*/5,7-9 0 1 * Mon-Fri  run\n\nMAILTO=\n", "crontab{line{every=daily command='tidy up'}line{minute=*/5,7-9 hour=0 day_of_month=1 month_of_year=* day_of_week=Mon-Fri command=run}variable{name=MAILTO}}"),
         ("x = ~[#a | #d]*.", "ab", "x=ab"),
         ("x = ['a'-'c' | Nd; '-']+.", "b7-", "x=b7-"),
         (
