@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions.numbering import gapless
 from .model import FIELDS, NODES
 from .operators import measure, mutate
-from .plans import summary, xpath_frames
+from .plans import summary, twig, xpath_frames
 from .queries import QUERIES, SQL, _nation_json, _scratch, _t, query
 from .sinks import writers
 from .sources import readers
@@ -128,6 +128,20 @@ for _name, _path, _sql in (
     SQL[_name] = _sql
 
 
+for _name, _path, _sql in (
+    ("twig_branches", "/customer[@seg='BUILDING' and order[@st='F']/prio=1]/order/@id", SQL["stored_branches"]),
+    ("twig_not", "//customer[bal > 0 and not(order/@st='P')]/order[prio < 3]/@id", f"SELECT c_custkey AS doc_id, CAST(o_orderkey AS VARCHAR) AS value {_CO} WHERE {_BAL} > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND CAST(left(o_orderpriority, 1) AS INT) < 3"),
+):
+    QUERIES[_name] = lambda spark, sf_dir, path=_path: twig.match(_account_store(spark, sf_dir).pruned(path), path, _scratch(spark)).select("doc_id", "value")
+    SQL[_name] = _sql
+
+
+@query(_LINES.format("l_returnflag = 'N' AND o_orderstatus = 'O' AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A') AND l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"))
+def twig_huge(spark, sf_dir):
+    """In one document of all orders, whose root lies in all buckets."""
+    return twig.match(_ledger(spark, sf_dir), "/orders[F]/O[A and not(R)]/N/text()", _scratch(spark)).select(F.col("value").alias("line"))
+
+
 # -- changes on tables of nodes, shown as path lines
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arbolith.functions.numbering import carried, gapless
 from arbolith.model import FIELDS
-from arbolith.plans import containment, summary, xpath_frames
+from arbolith.plans import containment, summary, twig, xpath_frames
 from arbolith.session import ship
 from arbolith.sources import readers
 
@@ -115,3 +115,41 @@ def test_numbers_of_paths_follow_their_order(both):
     rows = sorted(both[1].paths.collect(), key=lambda r: r.path_id)
     assert [r.path_id for r in rows] == list(range(len(rows))) and [(r.path, r.kind) for r in rows] == sorted((r.path, r.kind) for r in rows)
     assert both[1].nodes.columns == ["path_id", *FIELDS]
+
+
+PATTERNS = [
+    "/shop/book[title and price]/@id", "//book[price > 10]/title", "//book[not(price)]/@id", "//book[@lang='en' or note]//title", "//*[title = 'A']/price/text()", "//book[title/b]", "//book[note/title = 'C' and not(@lang)]/note",
+    "//book[title != 'A']/@id", "/shop[cd]/book[2 < price]", "//shop[book[not(note)]]//title[b or . = 'x']", "//book//title",
+]
+
+
+def test_branches_matched_in_one_pass(both, spark, tmp_path):
+    """Also with buckets of four numbers, so that most nodes go beyond theirs."""
+    nodes, _ = both
+    for i, path in enumerate(PATTERNS):
+        if ". = 'x'" in path:
+            with pytest.raises(twig.XPathError):
+                twig.compiled(path)
+            continue
+        want = sorted((r.doc_id, r.pre) for r in xpath_frames.select(nodes, path).collect())
+        plain = twig.match(nodes, path, split=False)
+        assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        assert sorted((r.doc_id, r.pre) for r in plain.collect()) == want, path
+        assert sorted((r.doc_id, r.pre) for r in twig.match(nodes, path, f"file://{tmp_path}/{i}", width=4, split=True).collect()) == want, path
+
+
+def test_patterns_on_random_trees(spark, tmp_path):
+    r = random.Random(9)
+
+    def tree(depth: int) -> str:
+        n = r.choice("abc")
+        inner = "".join(tree(depth - 1) for _ in range(r.randrange(4))) if depth else ""
+        return f"<{n}" + (f" k='{r.randrange(3)}'" if r.random() < 0.5 else "") + f">{r.choice(['', '1', '7'])}{inner}</{n}>"
+
+    rows = [(i, f"<a>{tree(5)}{tree(4)}</a>") for i in range(12)]
+    nodes = readers.stored(readers.nodes(spark.createDataFrame(rows, "doc_id long, t string"), "t", kind="xml"), f"file://{tmp_path}/nodes")
+    for i, path in enumerate(["//a[b//c and @k=1]//b", "//a[not(.//b[c])]/c/@k", "//b[a/@k or c > 3]/a//c"]):
+        path = path.replace(".//b", "b")
+        want = sorted((x.doc_id, x.pre) for x in xpath_frames.select(nodes, path).collect())
+        for width in (3, 17, 1000):
+            assert sorted((x.doc_id, x.pre) for x in twig.match(nodes, path, f"file://{tmp_path}/{i}-{width}", width=width).collect()) == want, (path, width)
