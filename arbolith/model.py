@@ -94,9 +94,9 @@ def char_of(entity: str | None) -> str | None:
     return html5.get(entity + ";")
 
 
-def qualify(doc: Node) -> None:
-    """Fills ns_uri from the declarations in scope."""
-    stack = [(doc, {"xml": "http://www.w3.org/XML/1998/namespace"})]
+def qualify(doc: Node, scope: dict[str, str] | None = None) -> None:
+    """Fills ns_uri from the declarations in scope; ``scope``: those around the document."""
+    stack = [(doc, {"xml": "http://www.w3.org/XML/1998/namespace"} | (scope or {}))]
     while stack:
         node, scope = stack.pop()
         own = {a.name or "": a.value or "" for a in node.attrs if a.kind == "namespace"}

@@ -126,6 +126,54 @@ def _member(owner: Node, key: str, r: _Reader, top: Node) -> Node | None:
     return None
 
 
+def fill(r: _Reader, doc: Node, stack: list[tuple[Node, str]], opening: Node | None, opened: list[Node] | None = None) -> None:
+    """Reads what is in the containers of ``stack``, innermost last, after entering ``opening`` if there is one, until the outermost ends.
+
+    With ``opened`` the text may end before that, behind a member; containers that are entered are added to it.
+    """
+    first = opened is not None and r.space() != ","  # behind an opening bracket
+    while True:
+        if opening is not None:
+            kind = r.space()
+            r.i += 1
+            if kind == "[":
+                opening.add(Node("attribute", "A"))
+            stack.append((opening, "]" if kind == "[" else "}"))
+            if opened is not None:
+                opened.append(opening)
+            opening, first = None, True
+        node, close = stack[-1]
+        c = r.space()
+        if not c and opened is not None:
+            return
+        if c == close:
+            r.i += 1
+            stack.pop()
+            if not stack:
+                return
+            first = False
+            continue
+        if not first:
+            if c != ",":
+                raise r.fail("expected a comma or the end of the json container")
+            r.i += 1
+            c = r.space()
+        first = False
+        if close == "]":
+            if c in ("{", "["):
+                opening = node.add(Node("element", "_"))
+            else:
+                _set(node.add(Node("element", "_")), *r.scalar())
+            continue
+        if c != '"':
+            raise r.fail("expected a json key")
+        key = r.string()
+        if r.space() != ":":
+            raise r.fail("expected a colon")
+        r.i += 1
+        opening = _member(node, key, r, doc)
+
+
 def parse(source: str, root: str | None = None) -> Node:
     """The tree of a JSON text. ``root`` names the element of an anonymous top-level value. Any depth."""
     r = _Reader(source.removeprefix("﻿"))
@@ -135,44 +183,7 @@ def parse(source: str, root: str | None = None) -> Node:
     if c not in ("{", "["):
         _set(top, *r.scalar())
     else:
-        stack: list[tuple[Node, str]] = []
-        opening: Node | None = top
-        while True:
-            if opening is not None:
-                kind = r.space()
-                r.i += 1
-                if kind == "[":
-                    opening.add(Node("attribute", "A"))
-                stack.append((opening, "]" if kind == "[" else "}"))
-                opening, first = None, True
-            node, close = stack[-1]
-            c = r.space()
-            if c == close:
-                r.i += 1
-                stack.pop()
-                if not stack:
-                    break
-                first = False
-                continue
-            if not first:
-                if c != ",":
-                    raise r.fail("expected a comma or the end of the json container")
-                r.i += 1
-                c = r.space()
-            first = False
-            if close == "]":
-                if c in ("{", "["):
-                    opening = node.add(Node("element", "_"))
-                else:
-                    _set(node.add(Node("element", "_")), *r.scalar())
-                continue
-            if c != '"':
-                raise r.fail("expected a json key")
-            key = r.string()
-            if r.space() != ":":
-                raise r.fail("expected a colon")
-            r.i += 1
-            opening = _member(node, key, r, doc)
+        fill(r, doc, [], top)
     if r.space():
         raise r.fail("something follows the json value")
     qualify(doc)

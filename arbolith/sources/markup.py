@@ -28,27 +28,31 @@ def fix_comment(text: str) -> str:
     return text[:-1] if text.endswith("-" + HYPHEN_MARK) else text
 
 
+def trim_children(n: Node, alone: bool = True) -> None:
+    """Trims the texts and comments right below a node; ``alone``: whether it has no other children."""
+    kept = []
+    for c in n.children:
+        if c.kind == "comment":
+            c.value = trim(c.value or "", brace=False).strip(" \n")
+        elif c.kind == "text":
+            if not (c.value or "").strip(" \t\r\n"):
+                continue
+            c.value = trim(c.value, brace=False)
+            if "\n" not in c.value and alone and len(n.children) == 1:
+                c.value = c.value.strip(" \t\r\n")
+        kept.append(c)
+    n.children = kept
+
+
 def trim_tree(doc: Node) -> None:
     """Drops text of white space alone and takes incidental indentation off the rest; text of script and style stays."""
     for n in list(doc.walk()):
-        kept = []
-        for c in n.children:
-            if c.kind == "comment":
-                c.value = trim(c.value or "", brace=False).strip(" \n")
-            elif c.kind == "text":
-                if not (c.value or "").strip(" \t\r\n"):
-                    continue
-                c.value = trim(c.value, brace=False)
-                if "\n" not in c.value and len(n.children) == 1:
-                    c.value = c.value.strip(" \t\r\n")
-            kept.append(c)
-        n.children = kept
+        trim_children(n)
 
 
-def parse_xml(source: str, trimmed: bool = True) -> Node:
-    """Well-formed XML; CDATA becomes text, references to entities that aren't declared stay nodes. Nothing is fetched."""
-    doc = document()
-    at = [doc]
+def expat_for(at: list[Node], opened: list[Node] | None = None) -> expat.XMLParserType:
+    """A parser that builds nodes below the last of ``at``, which holds the open ones, a document first; elements are added to ``opened``."""
+    doc = at[0]
     p = expat.ParserCreate()
     p.buffer_text = True
     p.ordered_attributes = True
@@ -65,6 +69,8 @@ def parse_xml(source: str, trimmed: bool = True) -> Node:
                 a, _, b = k.rpartition(":")
                 node.add(Node("attribute", b, a or None, v))
         at.append(node)
+        if opened is not None:
+            opened.append(node)
 
     def end(name: str) -> None:
         at.pop()
@@ -92,6 +98,13 @@ def parse_xml(source: str, trimmed: bool = True) -> Node:
     p.StartDoctypeDeclHandler = lambda name, system, public, inner: doc.add(Node("doctype", "DOCTYPE", value=name + (f' PUBLIC "{public}"' if public else " SYSTEM" if system else "") + (f' "{system}"' if system else "")))
     p.SkippedEntityHandler = skipped
     p.DefaultHandlerExpand = default
+    return p
+
+
+def parse_xml(source: str, trimmed: bool = True) -> Node:
+    """Well-formed XML; CDATA becomes text, references to entities that aren't declared stay nodes. Nothing is fetched."""
+    doc = document()
+    p = expat_for([doc])
     try:
         p.Parse(source.removeprefix("﻿").lstrip() if source[:1] in "﻿ \t\r\n" else source, True)
     except expat.ExpatError as e:
