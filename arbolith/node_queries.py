@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .functions import tables
 from .functions.numbering import gapless
 from .model import FIELDS, NODES
 from .operators import measure, mutate
@@ -227,3 +228,39 @@ def huge_xml(spark, sf_dir):
     notes = kept.filter("path = '/orders/order/note' and kind = 'element'").select("parent", "pre")
     texts = kept.filter("path = '/orders/order/note' and kind = 'text'").select(F.col("parent").alias("pre"), F.col("value").alias("note"))
     return ids.join(notes, "parent").join(texts, "pre").select("id", "note")
+
+
+@query("""WITH l AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS line_no, strlen(props) + 1 AS size, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT line_no, CAST(coalesce(sum(size) OVER (ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", k FROM l""")
+def line_numbers(spark, sf_dir):
+    """Lines of one text file with their numbers and places."""
+    where = _scratch(spark)
+    _t(spark, sf_dir, "events").orderBy("event_id").coalesce(1).select("props").write.text(where)
+    lines = readers.lines(spark, where, offsets=True)
+    return lines.select("line_no", "offset", F.get_json_object("raw", "$.k").cast("long").alias("k"))
+
+
+# -- table functions
+
+
+def _sql(text: str):
+    def run(spark, sf_dir):
+        tables.register(spark)
+        for t in ("pages", "nation"):
+            if t in text:
+                _t(spark, sf_dir, t).createOrReplaceTempView(f"arbolith_{t}")
+        return spark.sql(text)
+
+    return run
+
+
+for _name, _spark, _sql_text in (
+    ("udtf_nodes", "SELECT page_id AS doc_id, count_if(n.name = 'a' AND n.kind = 'element') AS links, count_if(n.kind = 'comment') AS comments FROM arbolith_pages, LATERAL tree_nodes(html, 'html') n GROUP BY page_id",
+     "SELECT page_id AS doc_id, CAST(len(regexp_extract_all(html, '<a[ >]')) AS BIGINT) AS links, CAST(1 AS BIGINT) AS comments FROM pages"),
+    ("udtf_tokens", "SELECT n_nationkey AS doc_id, t.i, t.text FROM arbolith_nation, LATERAL brace_tokens(concat('n{k=', n_nationkey, '}')) t WHERE t.kind NOT LIKE '%space%'",
+     "SELECT n_nationkey AS doc_id, unnest([0, 1, 2, 3, 4, 5]) AS i, unnest(['n', '{', 'k', '=', CAST(n_nationkey AS VARCHAR), '}']) AS text FROM nation"),
+    ("udtf_grammar", "SELECT page_id AS doc_id, u.scheme, u.host FROM arbolith_pages, LATERAL grammar_rows(url, 'ixml:data/url', '/url', scheme => 'scheme', host => 'host') u",
+     "SELECT page_id AS doc_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages"),
+):
+    QUERIES[_name] = _sql(_spark)
+    SQL[_name] = _sql_text

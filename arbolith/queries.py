@@ -527,14 +527,23 @@ def read_lines(spark, sf_dir):
     return found.groupBy(measure.c_integer(F.col("value")).alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT * FROM (VALUES (0, 'json', '{"a":[1,2]}'), (1, 'brace', 'b=2'), (2, 'xml', '<c d="e"/>'), (3, 'html', '<html></html>')) v(doc_id, content_type, raw)""")
+@query("""WITH d AS (SELECT 0 AS doc_id, 'json' AS content_type, '{"a":[1,2]}' AS raw UNION ALL SELECT 1, 'brace', 'b=2' UNION ALL SELECT 2, 'xml', '<c d="e"/>' UNION ALL SELECT 3, 'html', '<html></html>'),
+t AS (SELECT type, sum(n) AS n FROM (%s UNION ALL %s) GROUP BY 1)
+SELECT doc_id, content_type, raw, CAST(coalesce(n, 0) AS BIGINT) AS alike FROM d LEFT JOIN t ON type = content_type""" % (_DETECT.format(c="html", t="pages"), _DETECT.format(c="text", t="documents")))
 def literal_docs(spark, sf_dir):
-    return readers.literal(spark, '{"a":[1,2]}', "b=2", '<c d="e"/>', "<html></html>").select(F.col("doc_id").cast("int"), "content_type", "raw")
+    """Documents given as texts, and how many of the pages and documents are of their types."""
+    given = readers.literal(spark, '{"a":[1,2]}', "b=2", '<c d="e"/>', "<html></html>")
+    texts = _t(spark, sf_dir, "pages").select("html").unionByName(_t(spark, sf_dir, "documents").select(F.col("text").alias("html")))
+    types = texts.groupBy(detect.content_type(F.col("html")).alias("content_type")).agg(F.count("*").alias("n"))
+    return given.join(types, "content_type", "left").select(F.col("doc_id").cast("int"), "content_type", "raw", F.coalesce("n", F.lit(0)).alias("alike"))
 
 
-@query("SELECT 0 AS doc_id, 'brace' AS content_type, CAST(0 AS BIGINT) AS size_source")
+@query("SELECT 0 AS doc_id, 'brace' AS content_type, CAST(0 AS BIGINT) AS size_source, (SELECT count(*) FROM documents WHERE strlen(text) > 0) AS larger")
 def empty_doc(spark, sf_dir):
-    return readers.empty(spark).select(F.col("doc_id").cast("int"), "content_type", "size_source")
+    """A document without content, and how many of the documents have more."""
+    sizes = readers.docs(_t(spark, sf_dir, "documents"), "text").groupBy("size_source").agg(F.count("*").alias("n")).withColumnRenamed("size_source", "size")
+    found = readers.empty(spark).join(sizes, F.col("size") > F.col("size_source"), "left").groupBy("doc_id", "content_type", "size_source").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("larger"))
+    return found.select(F.col("doc_id").cast("int"), "content_type", "size_source", "larger")
 
 
 def _parts_as(kind: str, **options):
@@ -625,10 +634,13 @@ def kinds_of_words(spark, sf_dir):
     return words.select("word", T.is_json_number(w).alias("number"), T.is_json_keyword(w).alias("keyword"), T.is_name(w).alias("name"), T.in_category(F.substring(w, 1, 1), "Lu").alias("upper"))
 
 
-@query("""SELECT * FROM (VALUES ('amp', '&'), ('lt', '<'), ('gt', '>'), ('quot', '"'), ('apos', ''''), ('nbsp', chr(160)), ('#65', 'A'), ('#x1F600', chr(128512)), ('nothing', NULL)) v(name, char)""")
+@query("""SELECT p_partkey AS doc_id, name, CASE p_partkey % 4 WHEN 0 THEN chr(CAST(33 + p_size AS INT)) WHEN 1 THEN chr(CAST(192 + p_size AS INT)) WHEN 2 THEN '"' END AS char
+FROM (SELECT *, CASE p_partkey % 4 WHEN 0 THEN '#' || (33 + p_size) WHEN 1 THEN '#x' || lower(hex(192 + p_size)) WHEN 2 THEN 'quot' ELSE 'nothing' || p_size END AS name FROM part)""")
 def entity_chars(spark, sf_dir):
-    names = spark.createDataFrame([(x,) for x in ("amp", "lt", "gt", "quot", "apos", "nbsp", "#65", "#x1F600", "nothing")], "name string")
-    return names.select("name", T.entity_char(F.col("name")).alias("char"))
+    """Characters by decimal and hexadecimal numbers and by name."""
+    by = F.col("p_partkey") % 4
+    name = F.when(by == 0, F.concat(F.lit("#"), 33 + F.col("p_size"))).when(by == 1, F.concat(F.lit("#x"), F.lower(F.hex(192 + F.col("p_size"))))).when(by == 2, "quot").otherwise(F.concat(F.lit("nothing"), "p_size"))
+    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), name.alias("name"), T.entity_char(name).alias("char"))
 
 
 @query("""SELECT p_partkey AS doc_id, replace(p_name, ' ', '-' || chr(9232) || '-') || '-' || chr(9232) AS escaped, replace(p_name, ' ', '--') || '-' AS back, '''' || p_name || '''' AS quoted, p_name || chr(10) || '  x' AS trimmed FROM part""")

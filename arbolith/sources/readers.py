@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import FIELDS, NODES, Node, document, shred, text
@@ -127,10 +127,26 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return df.select("doc_id", "source", F.when(F.col("wide"), "utf-16 is not supported").otherwise(content_type(F.col("raw"))).alias("content_type"), "size_source", "raw")
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Each line of text files as a document; ids are hashes of the file's path, the place of the block in it and the line's number in its task, so reading the same files again gives the same ids."""
-    df = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
-    return docs(df.withColumn("doc_id", _placed(F.col("file_path"), F.col("file_block_start"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))), "value")
+def lines(spark: SparkSession, path: str, offsets: bool = False) -> DataFrame:
+    """Each line of text files as a document: docs with ``line_no``, the line's number in its file from 0; with ``offsets`` also ``offset``, its first byte there.
+
+    Ids are hashes of the file's path and the line's number. Spark may split files anywhere: each block's lines are counted, and sums over the blocks before it move its
+    numbers, so they are the same for all sizes of blocks. Only with ``offsets`` lines are shuffled, by their blocks.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    size = F.octet_length("value").cast("long") + 1
+    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = raw.groupBy("source", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    sums = blocks.select("source", "block", "first", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("n", "bytes")])
+    placed = raw.join(sums, ["source", "block"]).withColumn("line_no", F.col("at") - F.col("first") + F.col("n0"))
+    if offsets:
+        inside = Window.partitionBy("source", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+        placed = placed.withColumn("offset", F.col("bytes0") + F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    line = F.when(F.col("value").endswith("\r"), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    return placed.select(
+        _placed(F.col("source"), F.col("line_no")).alias("doc_id"), "source", content_type(line).alias("content_type"), F.octet_length(line).cast("long").alias("size_source"), line.alias("raw"),
+        "line_no", *(["offset"] if offsets else []),
+    )
 
 
 def literal(spark: SparkSession, *contents: str) -> DataFrame:
