@@ -11,7 +11,7 @@ from .model import FIELDS, NODES
 from .operators import measure, mutate
 from .plans import summary, twig, xpath_frames
 from .queries import QUERIES, SQL, _nation_json, _scratch, _t, query
-from .sinks import writers
+from .sinks import streamed, writers
 from .sources import chunked, readers
 
 # -- one document of all orders
@@ -264,3 +264,17 @@ for _name, _spark, _sql_text in (
 ):
     QUERIES[_name] = _sql(_spark)
     SQL[_name] = _sql_text
+
+
+@query("""WITH l AS (SELECT o_orderkey, o_orderstatus, l_returnflag, l_orderkey || ':' || l_linenumber AS t FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+e AS (SELECT l_returnflag AS tag, count(*) AS n, sum(strlen(t) + 7) AS size FROM l GROUP BY 1
+  UNION ALL SELECT o_orderstatus, count(*), sum(strlen(CAST(o_orderkey AS VARCHAR)) + 13) FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM l) GROUP BY 1
+  UNION ALL SELECT '', count(*), sum(strlen(CAST(o_orderkey AS VARCHAR)) + 10) FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM l))
+SELECT tag, CAST(n AS BIGINT) AS n, (SELECT CAST(17 + sum(size) AS BIGINT) FROM e) AS total FROM e WHERE n > 0""")
+def huge_written(spark, sf_dir):
+    """The document of all orders as XML, in parts that many tasks write: how many elements of each name end in it, by tag, or with no content, and its length."""
+    where = _scratch(spark)
+    streamed.xml(_ledger(spark, sf_dir), declaration=False, size=1 << 14).write.parquet(where)
+    parts = spark.read.parquet(where)
+    tags = parts.select(F.explode(F.expr("regexp_extract_all(text, '</([A-Z])>|/>', 1)")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    return tags.crossJoin(F.broadcast(parts.agg(F.sum(F.length("text")).alias("total")))).select("tag", "n", "total")

@@ -8,7 +8,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from arbolith.functions import tables
 from arbolith.session import ship
+from arbolith.sinks import streamed, writers
 from arbolith.sources import chunked, readers
 
 
@@ -64,3 +66,51 @@ def test_what_is_wrong_is_said(spark, tmp_path, kind, text, message):
     (tmp_path / "0.txt").write_text(text)
     rows = chunked.read(spark, f"file://{tmp_path}/0.txt", kind, f"file://{tmp_path}/work", size=1).filter("kind = 'error'").collect()
     assert rows and message in rows[0].value
+
+
+def test_documents_are_written_in_parts(spark, tmp_path):
+    """Parts of a few characters, put together, are the whole text, with all that XML has."""
+    texts = [(i, t) for i, t in enumerate([*files(3)["xml"], "<a k='1' l='&nbsp;x&lt;\"'><b/>&copy;<!-- a - - b---><c><![CDATA[]]></c></a>", "<r/>", "<r>&amp;&#13;</r>"])]
+    df = spark.createDataFrame([*texts, (9, "p{'Dear '&name;', '&#65;}"), (10, "a(k=('x'&y;'<'))"), (11, "x y z=1 //c--d-\n !DOCTYPE=q")], "doc_id long, t string")
+    nodes = readers.stored(readers.nodes(df, "t", merge=False), f"file://{tmp_path}/nodes")
+    want = {r.doc_id: r.text for r in writers.render(nodes, "xml").collect()}
+    found: dict[int, list] = {}
+    for r in streamed.xml(nodes, size=7).collect():
+        found.setdefault(r.doc_id, []).append((r.place, r.text))
+    assert {i: "".join(t for _, t in sorted(x)) for i, x in found.items()} == want
+    assert max(len(x) for x in found.values()) > 50
+
+
+@pytest.mark.parametrize("size", ["20b", "77b", "1g"])
+def test_line_numbers_do_not_depend_on_splits(spark, tmp_path, size):
+    text = "".join(f"line {i} é\n" for i in range(60)) + "\r\n\nlast"
+    for n in ("a", "b"):
+        (tmp_path / f"{n}.txt").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        rows = readers.lines(spark, f"file://{tmp_path}/*.txt", offsets=True).collect()
+        plain = readers.lines(spark, f"file://{tmp_path}/*.txt").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want, at = [], 0
+    for i, line in enumerate(text.split("\n")):
+        want.append((i, at, line.rstrip("\r")))
+        at += len(line.encode()) + 1
+    for n in ("a", "b"):
+        assert sorted((r.line_no, r.offset, r.raw) for r in rows if r.source.endswith(f"{n}.txt")) == want
+    assert len({r.doc_id for r in rows}) == len(rows) == 2 * len(want) and {(r.doc_id, r.line_no) for r in plain} == {(r.doc_id, r.line_no) for r in rows}
+
+
+def test_table_functions_of_sql(spark):
+    tables.register(spark)
+    spark.createDataFrame([(1, "a{b=1}"), (2, "{"), (3, None)], "k long, t string").createOrReplaceTempView("some_texts")
+    rows = spark.sql("SELECT k, n.path, n.kind FROM some_texts, LATERAL tree_nodes(t, 'brace') n").collect()
+    assert sorted(map(tuple, rows)) == [(1, "/a", "element"), (1, "/a/b", "element"), (1, "/a/b", "text"), (2, "", "error")]
+    assert [r.text for r in spark.sql("SELECT n.text FROM some_texts, LATERAL brace_tokens(t) n WHERE k = 1 ORDER BY n.i").collect()] == ["a", "{", "b", "=", "1", "}"]
+    found = spark.sql("SELECT * FROM grammar_rows('a,1\nb,2', 'ixml:data/csv', '/table/tr', name => 'td[1]', n => 'td[2]')")
+    assert found.columns == ["name", "n"] and [tuple(r) for r in found.collect()] == [("a", "1"), ("b", "2")]
+    for bad in ("tree_nodes('a', 'pdf')", "grammar_rows('a', 'ixml:data/csv', '/table[')", "grammar_rows('a', 'S = .', concat('/', uuid()))"):
+        with pytest.raises(Exception, match="unknown type|xpath|constant"):
+            spark.sql(f"SELECT * FROM {bad}").collect()
