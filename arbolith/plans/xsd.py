@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass, field
 from decimal import Decimal, InvalidOperation
 
+import regex
+
 from ..model import Node, qualify
 from . import xpath as X
 from . import xpath_tree as T
@@ -56,6 +59,11 @@ def _local(name: str | None) -> str | None:
     return name.rpartition(":")[2] if name else None
 
 
+def _instance(n: Node, name: str) -> str | None:
+    """An attribute of the namespace for instances of schemas."""
+    return next((a.text() for a in n.attrs if a.kind == "attribute" and a.name == name and (a.prefix == "xsi" or a.ns_uri == "http://www.w3.org/2001/XMLSchema-instance")), None)
+
+
 def _parts(n: Node) -> list[Node]:
     return [c for c in n.children if c.kind == "element" and c.name != "annotation"]
 
@@ -82,6 +90,8 @@ def compile(doc: Node) -> Schema:
             for name in (_get(n, a) or "").split():
                 if not elsewhere and (local := _local(name)) not in s.types and local not in PATTERNS and local not in BOUNDS and local not in ANY_TEXT:
                     raise SchemaError(f"unknown type {name}")
+        if n.kind == "element" and n.name == "pattern":
+            _pattern(_get(n, "value") or "")
     return s
 
 
@@ -94,11 +104,66 @@ def _by_local_names(path: str) -> str:
     return re.sub(r"(@)?(?:[\w.-]+:)?([A-Za-z_][\w.-]*)", step, path)
 
 
+def _translated(pattern: str) -> str:
+    """A pattern of XML Schema in the syntax of the regex module, whose sets can be subtracted: no anchors, names of characters, classes."""
+    out, i, depth = [], 0, 0
+    while i < len(pattern):
+        c, two = pattern[i], pattern[i : i + 2]
+        if c == "\\":
+            inner = {"i": r"\p{L}_:", "c": r"\p{L}\p{Nd}_.:\-·"}.get(two[1:].lower())
+            if inner is None:
+                out.append(two)
+            else:
+                out.append(f"[{'^' if two[1:].isupper() else ''}{inner}]")
+            if two[1:] in ("p", "P") and pattern[i + 2 : i + 5] == "{Is":  # blocks
+                end = pattern.index("}", i)
+                out[-1] += "{In" + pattern[i + 5 : end] + "}"
+                i = end + 1
+                continue
+            i += 2
+            continue
+        if c == "[":
+            if depth and out[-1] == "-":
+                out.pop()
+                out.append("--")
+            out.append("[")
+            depth += 1
+        elif c == "]":
+            out.append(c)
+            depth -= 1
+        elif depth == 0 and c in "^$":
+            out.append("\\" + c)
+        elif depth and c in "&|~" and pattern[i + 1 : i + 2] == c:
+            out.append("\\" + c)
+        else:
+            out.append(c)
+        i += 1
+    return "".join(out)
+
+
+@functools.lru_cache(maxsize=512)
+def _pattern(pattern: str) -> regex.Pattern:
+    try:
+        return regex.compile(_translated(pattern), regex.V1)
+    except (regex.error, ValueError) as e:
+        raise SchemaError(f"invalid pattern {pattern}: {e}") from None
+
+
+def _same(a: str, b: str, variety: str) -> bool:
+    if variety == "number":
+        try:
+            return Decimal(a.strip()) == Decimal(b.strip())
+        except InvalidOperation:
+            return a.strip() == b.strip()
+    return a.split() == b.split() if variety == "list" else a == b
+
+
 class _Validator:
     def __init__(self, schema: Schema):
         self.s = schema
         self.errors: list[str] = []
         self.tables: dict[str, set[tuple]] = {}
+        self.ids: set[str] = set()
 
     def fail(self, n: Node, message: str) -> None:
         self.errors.append(f"element {n.qname}: {message}")
@@ -112,6 +177,10 @@ class _Validator:
             ok = re.fullmatch(_INT, collapsed) and (lo is None or int(collapsed) >= lo) and (hi is None or int(collapsed) <= hi)
         else:
             ok = name not in PATTERNS or re.fullmatch(PATTERNS[name], collapsed)
+        if ok and name == "ID":
+            if collapsed in self.ids:
+                return f"the id '{collapsed}' is there twice"
+            self.ids.add(collapsed)
         return None if ok else f"'{value}' is not a valid value of the type xs:{name}"
 
     def simple(self, name: str | None, inline: Node | None, value: str) -> str | None:
@@ -133,18 +202,32 @@ class _Validator:
                 return None
         return None
 
+    def variety(self, name: str | None, inline: Node | None) -> str:
+        """list, union, number or text: how values of a simple type are counted and compared."""
+        node = inline or self.s.types.get(_local(name) or "")
+        if node is None:
+            local = _local(name) or "string"
+            return "list" if local in ("NMTOKENS", "IDREFS", "ENTITIES") else "number" if local in BOUNDS or local in ("decimal", "integer", "double", "float") else "text"
+        for c in _parts(node):
+            if c.name == "restriction":
+                return self.variety(_get(c, "base"), next((x for x in _parts(c) if x.name == "simpleType"), None))
+            if c.name in ("list", "union"):
+                return c.name
+        return "text"
+
     def facets(self, node: Node, value: str) -> str | None:
+        variety = self.variety(_get(node, "base"), next((x for x in _parts(node) if x.name == "simpleType"), None))
         allowed = [_get(f, "value") for f in _parts(node) if f.name == "enumeration"]
-        if allowed and value not in allowed:
+        if allowed and not any(_same(value, a or "", variety) for a in allowed):
             return f"'{value}' is not one of {', '.join(map(str, allowed))}"
         patterns = [_get(f, "value") or "" for f in _parts(node) if f.name == "pattern"]
-        if patterns and not any(re.fullmatch(p.replace(r"\i", "[A-Za-z_:]").replace(r"\c", r"[\w.:-]"), value) for p in patterns):
+        if patterns and not any(_pattern(p).fullmatch(value) for p in patterns):
             return f"'{value}' does not match the pattern {patterns[0]}"
         for f in _parts(node):
             bound = _get(f, "value") or ""
             wrong = False
             if f.name in ("length", "minLength", "maxLength"):
-                n, m = len(value), int(bound)
+                n, m = len(value.split() if variety == "list" else value), int(bound)
                 wrong = n != m if f.name == "length" else n < m if f.name == "minLength" else n > m
             elif f.name in ("minInclusive", "maxInclusive", "minExclusive", "maxExclusive"):
                 try:
@@ -196,8 +279,20 @@ class _Validator:
         if self.s.target and (n.ns_uri or None) != self.space(decl):
             self.fail(n, f"the namespace is {n.ns_uri}, not {self.space(decl)}")
         self.identity(n, decl)
+        if (nil := _instance(n, "nil")) is not None:
+            if _get(decl, "nillable") != "true":
+                self.fail(n, "the element is not nillable")
+            elif nil.strip() in ("true", "1"):
+                if n.children:
+                    self.fail(n, "the element is nil but not empty")
+                return
         inline = next((c for c in _parts(decl) if c.name in ("complexType", "simpleType")), None)
         name = _get(decl, "type")
+        if (given := _instance(n, "type")) is not None:
+            inline, name = None, given.strip()
+            if (local := _local(name) or "") not in self.s.types and local not in PATTERNS and local not in BOUNDS and local not in ANY_TEXT:
+                self.fail(n, f"unknown type {name}")
+                return
         node = inline or self.s.types.get(_local(name) or "")
         if (fixed := _get(decl, "fixed")) is not None and n.text() != fixed:
             self.fail(n, f"the value is fixed to '{fixed}'")

@@ -23,6 +23,8 @@ def quoted(text: str, prefer_double: bool = False) -> str:
     if one == two == 0:
         double = prefer_double
     q, n = ('"', two + 1) if double else ("'", one + 1)
+    if q in (text[0], text[-1]) and (other := '"' if q == "'" else "'") not in (text[0], text[-1]):
+        q, n = other, longest(text, other) + 1  # no newline is needed then
     n = 3 if n == 2 else n
     if text[0] == q or text[-1] == q:
         return f"{q * n}\n{text}\n{q * n}"
@@ -148,7 +150,7 @@ class Printer:
             out = []
             for a in node.attrs:
                 text = self._attr(a, 0, 0)
-                out.append(text if not out or out[-1][-1] in "'\")" else " " + text)
+                out.append(text if not out or out[-1][-1] in "'\")" or re.search("=&[^;]+;\\Z", out[-1]) else " " + text)
             return f"({''.join(out)})"
         names = [("xmlns" + (f":{a.name}" if a.name else "")) if a.kind == "namespace" else a.qname for a in node.attrs if a.value is not None or a.children]
         width = max(map(len, names), default=0)
@@ -164,15 +166,21 @@ class Printer:
         if self.compact or "\n" in v:
             s = "/" * comment_slashes(v)
             if self.compact:
-                return "".join((s + "*" if i == 0 else "*") + f" {line} *{s}" if line else (s + "*" if i == 0 else "*") + f"*{s}" for i, line in enumerate(v.split("\n")))
+                return "".join((s + "*" if i == 0 else "*") + f"{self._apart(line)}*{s}" for i, line in enumerate(v.split("\n")))
             pad = "\n" + " " * (column + len(s) + 2)
             return f"{s}* " + pad.join(v.split("\n")) + f" *{s}"
         return f"// {v}" if v else "//"
 
+    @staticmethod
+    def _apart(line: str) -> str:
+        """A line of a compact comment, behind a space where it would be taken for the comment's own marks."""
+        return f" {line}" if line[:1] in ("*", "/") and line else line
+
     def _special(self, n: Node) -> str:
         mark = "!" if n.kind == "doctype" else "?"
         sep = "=" if self.compact else " = "
-        value = [Node("text", value=n.value)] if n.value else []
+        shown = (n.value or "").replace("\n", " ") if self.compact and n.kind == "doctype" else n.value
+        value = [Node("text", value=shown)] if shown else []
         head = f"{mark}{n.name or 'DOCTYPE'}"
         return head + (sep + self.value(value, len(head) + 3) if value else "")
 
@@ -228,7 +236,8 @@ class Printer:
             """Appends a token, behind a space where the two would run together."""
             if out and token:
                 a, b = out[-1][-1], token[0]
-                if (a not in "'\"(){};/" and b not in "(){}=") or (a in "'\"" and b == a):
+                closed = a in "'\"(){}" or out[-1][0] == "&" or out[-1].startswith(("//", "/*"))  # else a name or value may go on
+                if (not closed and b not in "(){}=") or (a in "'\"" and b == a):
                     out.append(" ")
             out.append(token)
 

@@ -188,7 +188,7 @@ def json_forest(around: list[dict], raw: str, first: bool, trimmed: bool) -> tup
     if not stack and r.space():
         raise r.fail("something follows the json value")
     still = {id(n) for n, _ in stack} | {id(spine[0])}
-    if any(n.attrs for n in spine) or names != [n.qname for n in spine] or around and spine[0].children or first and stack and len(spine[0].children) > 1:
+    if any(n.attrs for n in spine) or names != [n.qname for n in spine] or around and spine[0].children or first and stack and spine[0].children[-1] is not top:
         raise r.fail("an attribute or name comes too late for a container of this size")
     return spine, {id(n) for n in [*spine, *opened] if id(n) not in still}, opened
 

@@ -101,6 +101,8 @@ def _member(owner: Node, key: str, r: _Reader, top: Node) -> Node | None:
     if c in "{[" and c:
         return owner.add(_named(key))
     value, was_string = r.scalar()
+    if (mark := _INDEX.sub("", key)) in ("|", "//", "_//", "&"):
+        key = mark
     if key == "_" and was_string and NAME.match(value):
         prefix, _, owner.name = value.rpartition(":")
         owner.prefix = prefix or None
@@ -109,7 +111,10 @@ def _member(owner: Node, key: str, r: _Reader, top: Node) -> Node | None:
     elif key == "//":
         owner.add(Node("comment", value=value))
     elif key == "_//":
-        top.add(Node("comment", value=value))
+        # before the owner until that has a name or content; behind it, the last one comes first
+        at = top.children.index(owner) if owner in top.children else len(top.children)
+        fresh = owner.qname == "_" and not owner.children and not owner.attrs
+        top.children.insert(at if fresh else at + 1, Node("comment", value=value, parent=top))
     elif key == "&" and value[:1] == "&":
         owner.add(Node("entity", value[1:].rstrip(";")))
     elif key == "!DOCTYPE":

@@ -21,6 +21,16 @@ SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 HEAD_ONLY = frozenset(("title", "meta", "link", "base", "script", "style"))
 
 
+_DECLARATION = re.compile(r"<!--.*?-->|<\?.*?\?>|<!(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|%[^;\s]+;", re.DOTALL)
+
+
+def _spaced(declaration: str) -> str:
+    """A declaration with one space for each run of white space outside quotes."""
+    if declaration[:4] == "<!--":
+        return declaration
+    return "".join(x if x[0] in "\"'" else re.sub(r"\s+", " ", x) for x in re.findall(r"\"[^\"]*\"|'[^']*'|[^\"']+|[\"']", declaration))
+
+
 def fix_comment(text: str) -> str:
     """Takes the marks between hyphens out of a comment."""
     while f"-{HYPHEN_MARK}-" in text:
@@ -88,21 +98,36 @@ def expat_for(at: list[Node], opened: list[Node] | None = None) -> expat.XMLPars
         if not parameter:
             at[-1].add(Node("entity", name))
 
+    subset: list[str] | None = None  # what stands in a document type's brackets, while it is being read
+
     def default(value: str) -> None:
-        if re.fullmatch(r"&[^;#]+;", value):
+        if subset is not None:
+            subset.append(value)
+        elif re.fullmatch(r"&[^;#]+;", value):
             at[-1].add(Node("entity", value[1:-1]))
 
+    def start_type(name: str, system: str | None, public: str | None, inner: int) -> None:
+        nonlocal subset
+        subset = []
+        doc.add(Node("doctype", "DOCTYPE", value=name + (f' PUBLIC "{public}"' if public else " SYSTEM" if system else "") + (f' "{system}"' if system else "")))
+
+    def end_type() -> None:
+        nonlocal subset
+        if found := [_spaced(x) for x in _DECLARATION.findall("".join(subset or []))]:
+            doc.children[-1].value += " [\n" + "\n".join(found) + "\n]"
+        subset = None
+
     p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler = start, end, data
-    p.CommentHandler = lambda v: at[-1].add(Node("comment", value=fix_comment(v)))
-    p.ProcessingInstructionHandler = lambda n, v: at[-1].add(Node("pi", n, value=v))
-    p.StartDoctypeDeclHandler = lambda name, system, public, inner: doc.add(Node("doctype", "DOCTYPE", value=name + (f' PUBLIC "{public}"' if public else " SYSTEM" if system else "") + (f' "{system}"' if system else "")))
+    p.CommentHandler = lambda v: at[-1].add(Node("comment", value=fix_comment(v))) if subset is None else subset.append(f"<!--{v}-->")
+    p.ProcessingInstructionHandler = lambda n, v: at[-1].add(Node("pi", n, value=v)) if subset is None else subset.append(f"<?{n} {v}?>")
+    p.StartDoctypeDeclHandler, p.EndDoctypeDeclHandler = start_type, end_type
     p.SkippedEntityHandler = skipped
-    p.DefaultHandlerExpand = default
+    p.DefaultHandler = default  # which also keeps declared entities from being put in place of their references
     return p
 
 
 def parse_xml(source: str, trimmed: bool = True) -> Node:
-    """Well-formed XML; CDATA becomes text, references to entities that aren't declared stay nodes. Nothing is fetched."""
+    """Well-formed XML; CDATA becomes text, references to entities stay nodes, but in attributes those that are declared are replaced. Nothing is fetched."""
     doc = document()
     p = expat_for([doc])
     try:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,9 +15,9 @@ from arbolith.model import FIELDS, build, shred
 from arbolith.operators import measure, mutate
 from arbolith.plans import trees, xpath, xpath_frames, xpath_tree, xsd, xslt
 from arbolith.session import ship
-from arbolith.sinks import json_out, markup, writers
+from arbolith.sinks import brace_out, json_out, markup, writers
 from arbolith.sinks.brace_out import Printer, quote_compact
-from arbolith.sources import brace, json_tree, readers
+from arbolith.sources import brace, detect, json_tree, readers
 from arbolith.sources.brace import ParseError
 from arbolith.sources.markup import parse_html, parse_xml
 
@@ -72,7 +74,7 @@ def test_printing(text, compact, pretty):
 
 def test_comments_of_many_lines():
     doc = brace.parse("crate{/*two\nlines*/ n=1}")
-    assert PRETTY(doc) == "crate {\n    /* two\n       lines */\n    n = 1\n}\n" and COMPACT(doc) == "crate{/* two */* lines */n=1}"
+    assert PRETTY(doc) == "crate {\n    /* two\n       lines */\n    n = 1\n}\n" and COMPACT(doc) == "crate{/*two*/*lines*/n=1}"
 
 
 def test_compact_quotes():
@@ -167,10 +169,10 @@ def test_xpath_errors():
     [
         (lambda n: mutate.select(n, "//b"), ["b=four b(x=3)=3 b(x=2)=two b(x=1)=one", "b=9 b=5 b=4"]),
         (lambda n: mutate.select(n, "//@x", "document"), ["x=1 x=2 x=3", ""]),
-        (lambda n: mutate.delete(n, "//c | //@id"), ["a{b(x=1)=one b(x=2)=two /* hi */&foo;'tail'b=four}", "a{b=4 b=5 &foo;&#65;}"]),
-        (lambda n: mutate.replace_argument(n, "//c=x=y"), ["a(id=1){b(x=1)=one b(x=2)=two c=x=y /* hi */&foo;'tail'b=four}", "a{b=4 b=5 c=x=y &foo;&#65;}"]),
-        (lambda n: mutate.replace_entity(n, "foo", "F"), ["a(id=1){b(x=1)=one b(x=2)=two c{b(x=3)=3 d{e=5 e=7}}/* hi */'Ftail'b=four}", "a{b=4 b=5 c{b=9}'F'&#65;}"]),
-        (lambda n: mutate.substitute_entity(mutate.delete_entity(n, "foo")), ["a(id=1){b(x=1)=one b(x=2)=two c{b(x=3)=3 d{e=5 e=7}}/* hi */'tail'b=four}", "a{b=4 b=5 c{b=9}'A'}"]),
+        (lambda n: mutate.delete(n, "//c | //@id"), ["a{b(x=1)=one b(x=2)=two /*hi*/&foo;'tail'b=four}", "a{b=4 b=5 &foo;&#65;}"]),
+        (lambda n: mutate.replace_argument(n, "//c=x=y"), ["a(id=1){b(x=1)=one b(x=2)=two c=x=y /*hi*/&foo;'tail'b=four}", "a{b=4 b=5 c=x=y &foo;&#65;}"]),
+        (lambda n: mutate.replace_entity(n, "foo", "F"), ["a(id=1){b(x=1)=one b(x=2)=two c{b(x=3)=3 d{e=5 e=7}}/*hi*/'Ftail'b=four}", "a{b=4 b=5 c{b=9}'F'&#65;}"]),
+        (lambda n: mutate.substitute_entity(mutate.delete_entity(n, "foo")), ["a(id=1){b(x=1)=one b(x=2)=two c{b(x=3)=3 d{e=5 e=7}}/*hi*/'tail'b=four}", "a{b=4 b=5 c{b=9}'A'}"]),
         (lambda n: mutate.add_root(mutate.add(mutate.select(n, "/a/c"), "z{y}"), "top"), ["top{c{b(x=3)=3 d{e=5 e=7}}z{y}}", "top{c{b=9}z{y}}"]),
         (lambda n: mutate.set_attribute(mutate.select(n, "//d | //c"), "//*", "v", "1"), ["d(v=1){e(v=1)=5 e(v=1)=7}c(v=1){b(x=3 v=1)=3}", "c(v=1){b(v=1)=9}"]),
     ],
@@ -475,3 +477,75 @@ def test_the_cheapest_parse_is_sought_among_all():
         assert not any(c.name == "C" for c in b.children), n
     cut = registry.parse_text("S = A, A, A, A. A = ~[]*.", "y" * 18, every=True).children[0]
     assert cut.name == "AMBIGUOUS" and cut.attr("cut") is not None
+
+
+@pytest.mark.parametrize(
+    ("source", "compact"),
+    [
+        ("a { /* one */* two */ }", "a{/*one*/*two*/}"),
+        ("a {b // x\n c}", "a{b /*x*/c}"),
+        ("a(k=&nbsp; l=m; n=o)=p/ q", "a(k=&nbsp;l=m; n=o)=p/ q"),
+        ("a=&nbsp; b='c'", "a=&nbsp;b=c"),
+    ],
+)
+def test_compact_form_of_comments_and_entities(source, compact):
+    doc = brace.parse(source)
+    assert COMPACT(doc) == compact and COMPACT(brace.parse(compact)) == compact
+
+
+def test_quotes_of_the_other_kind_where_one_stands_at_an_end():
+    for text in ("'how\"d'", "'a", "a'", "'\"", "\"'", "''a\"\"b''"):
+        shown = brace_out.quoted(text)
+        assert brace.unquote(shown) == text
+    assert brace_out.quoted("'how\"d'") == '"""\'how"d\'"""'
+
+
+def test_document_types_keep_their_subsets():
+    doc = parse_xml('<!DOCTYPE t [<!ENTITY  name   "N  M">\n<!--x  y--><!ELEMENT t ANY>]>\n<t k="&name;">a&name;b&other;</t>')
+    assert doc.children[0].value == 't [\n<!ENTITY name "N  M">\n<!--x  y-->\n<!ELEMENT t ANY>\n]'
+    assert [(c.kind, c.name or c.value) for c in doc.children[1].children] == [("text", "a"), ("entity", "name"), ("text", "b"), ("entity", "other")]
+    assert markup.xml(doc, False).startswith('<!DOCTYPE t [\n<!ENTITY name "N  M">')
+    assert parse_xml("<!DOCTYPE t []><t/>").children[0].value == "t" and parse_xml('<!DOCTYPE t SYSTEM "u"><t/>').children[0].value == 't SYSTEM "u"'
+
+
+def test_comments_in_json_have_keys_of_their_own():
+    doc = parse_xml("<!--lead--><a><!--x--><b/>t<!--y--><c/>u</a><!--p--><!--q-->")
+    text = json_out.render(doc)
+    assert text == '{"_//[0]":"lead","_":"a","//[0]":"x","b":{},"|[0]":"t","//[1]":"y","c":{},"|[1]":"u","_//[1]":"q","_//[2]":"p"}'
+    assert COMPACT(json_tree.parse(text)) == COMPACT(doc) and len(json.loads(text)) == 10
+
+
+@pytest.mark.parametrize(
+    ("facets", "value", "fine"),
+    [
+        ("xs:pattern(value = '\\p{L}+')", "åb", True),
+        ("xs:pattern(value = '[a-z-[aeiou]]+')", "bcd", True),
+        ("xs:pattern(value = '[a-z-[aeiou]]+')", "bad", False),
+        ("xs:pattern(value = '^a$')", "a", False),
+        ("xs:pattern(value = '\\i\\c*')", "x-1", True),
+        ("xs:length(value = 2)", "10 20", True),
+        ("xs:maxLength(value = 1)", "10 20", False),
+        ("xs:enumeration(value = '1 2')", "1  2", True),
+    ],
+)
+def test_facets_of_a_schema(facets, value, fine):
+    base = "xs:restriction(base = L)" if "ength" in facets or "enum" in facets else "xs:restriction(base = xs:string)"
+    schema = xsd.compile(brace.parse("xs:schema(xmlns:xs = http://www.w3.org/2001/XMLSchema) { xs:simpleType(name = L) { xs:list(itemType = xs:int) } xs:element(name = r) { xs:simpleType { " + base + " { " + facets + " } } } }"))
+    doc = parse_xml(f"<r>{value}</r>")
+    assert (xsd.validate(schema, doc) == []) is fine
+
+
+def test_instances_of_a_schema():
+    schema = xsd.compile(brace.parse("xs:schema(xmlns:xs = http://www.w3.org/2001/XMLSchema) { xs:element(name = r) { xs:complexType { xs:sequence { xs:element(name = n maxOccurs = unbounded nillable = true type = N) xs:element(name = i minOccurs = 0 maxOccurs = unbounded type = xs:ID) } } } xs:simpleType(name = N) { xs:restriction(base = xs:int) { xs:enumeration(value = 1) xs:enumeration(value = 20) } } }"))
+    xsi = "xmlns:xsi='http://www.w3.org/2001/XMLSchema-instance'"
+    good = (f"<r {xsi}><n>01</n><n xsi:nil='true'/><n xsi:type='xs:string'>any</n><i>a</i><i>b</i></r>", "<r><n> 20 </n></r>")
+    bad = (f"<r {xsi}><n xsi:nil='true'>1</n></r>", f"<r {xsi}><n>1</n><i xsi:nil='true'/></r>", "<r><n>1</n><i>a</i><i>a</i></r>", f"<r {xsi}><n xsi:type='nowhere'>1</n></r>", "<r><n>2</n></r>")
+    assert all(xsd.validate(schema, parse_xml(t)) == [] for t in good) and all(xsd.validate(schema, parse_xml(t)) for t in bad)
+    with pytest.raises(xsd.SchemaError):
+        xsd.compile(brace.parse("xs:schema(xmlns:xs = http://www.w3.org/2001/XMLSchema) { xs:element(name = r) { xs:simpleType { xs:restriction(base = xs:string) { xs:pattern(value = '[a') } } } }"))
+
+
+def test_white_space_before_content_may_be_long(spark):
+    texts = {"html": "<html></html>", "json": '{"a":1}', "xml": "<a/>", "brace": "a=b"}
+    df = spark.createDataFrame([(k, " \n" * 600 + t) for k, t in texts.items()], "k string, t string")
+    assert all(r.k == r.found for r in df.select("k", detect.content_type(df.t).alias("found")).collect())
