@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from .functions import tables
 from .functions.numbering import gapless
+from .grammar import regular
 from .model import FIELDS, NODES
 from .operators import measure, mutate
-from .plans import summary, twig, xpath_frames
+from .plans import lookup, summary, twig, xpath_frames
 from .queries import QUERIES, SQL, _nation_json, _scratch, _t, query
 from .sinks import streamed, writers
 from .sources import chunked, readers
@@ -240,6 +241,41 @@ def line_numbers(spark, sf_dir):
     return lines.select("line_no", "offset", F.get_json_object("raw", "$.k").cast("long").alias("k"))
 
 
+@query("""SELECT d.doc_id, CAST(d.doc_id % 300 AS VARCHAR) AS key, (SELECT min_by(p.url, p.page_id) FROM pages p WHERE p.page_id % 200 = d.doc_id % 300) AS value FROM documents d""")
+def document_lookup(spark, sf_dir):
+    """Documents that refer to pages by a number, and the address of the first page that has it."""
+    texts = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("<d lang='"), "lang", F.lit("'><ref>"), F.col("doc_id") % 300, F.lit("</ref></d>")).alias("t"))
+    pages = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.concat(F.lit("<page no='"), F.col("page_id") % 200, F.lit("'><url>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</url></page>")).alias("t"))
+    left, right = (readers.stored(readers.nodes(x, "t", kind="xml"), _scratch(spark)) for x in (texts, pages))
+    return lookup.lookup(left, "/d/ref", right, "/page", "@no", "url").select("doc_id", "key", "value")
+
+
+# -- regular grammars, as expressions
+
+_LOG = "line = level, -' ', message. level = ['A'-'Z']+. message = ~[#a]+."
+_RECORD = "row = key, -',', name, -',', region. key = ['0'-'9']+. name = ~[',']*. region = ['0'-'9']+."
+
+
+@query(SQL["ixml_url"])
+def regular_url(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
+    return regular.fields(pages, "url", "ixml:data/url", ("scheme", "host", "path"))
+
+
+@query("SELECT level, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM (SELECT upper(event_type) AS level, props FROM events) WHERE regexp_matches(level, '^[A-Z]+$') GROUP BY 1")
+def regular_log(spark, sf_dir):
+    """Log lines, counted by their levels."""
+    lines = _t(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.concat(F.upper("event_type"), F.lit(" "), "props").alias("line"))
+    found = regular.fields(lines, "line", _LOG, ("level", "message")).filter("level is not null")
+    return found.groupBy("level").agg(F.count("*").alias("n"), F.sum(F.get_json_object("message", "$.k").cast("long")).alias("total"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name, CAST(c_nationkey AS VARCHAR) AS region FROM customer")
+def regular_records(spark, sf_dir):
+    lines = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat_ws(",", "c_custkey", "c_name", "c_nationkey").alias("line"))
+    return regular.fields(lines, "line", _RECORD, ("key", "name", "region")).drop("doc_id")
+
+
 # -- table functions
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arbolith.functions.numbering import carried, gapless
 from arbolith.model import FIELDS
-from arbolith.plans import containment, summary, twig, xpath_frames
+from arbolith.plans import containment, lookup, summary, twig, xpath_frames
 from arbolith.session import ship
 from arbolith.sources import readers
 
@@ -153,3 +153,15 @@ def test_patterns_on_random_trees(spark, tmp_path):
         want = sorted((x.doc_id, x.pre) for x in xpath_frames.select(nodes, path).collect())
         for width in (3, 17, 1000):
             assert sorted((x.doc_id, x.pre) for x in twig.match(nodes, path, f"file://{tmp_path}/{i}-{width}", width=width).collect()) == want, (path, width)
+
+
+@pytest.mark.parametrize("keys", [lookup.KEYS, 0])
+def test_values_looked_up_in_other_documents(spark, tmp_path, monkeypatch, keys):
+    """The first node with a key counts, whether what is looked up in is broadcast or not."""
+    monkeypatch.setattr(lookup, "KEYS", keys)
+    asked = spark.createDataFrame([(1, "<r><k>a</k><k>b</k></r>"), (2, "<r><k>a</k><k>none</k><k/></r>")], "doc_id long, t string")
+    other = spark.createDataFrame([(5, "<s><x i='a'><v>late</v></x></s>"), (4, "<s><x i='b'/><x i='a'><v>first</v></x><x i='a'><v>second</v></x><x><v>no key</v></x></s>")], "doc_id long, t string")
+    left, right = (readers.stored(readers.nodes(t, "t", kind="xml"), f"file://{tmp_path}/{n}") for n, t in (("l", asked), ("r", other)))
+    found = lookup.lookup(left, "//k", right, "//x", "@i", "v")
+    assert sorted(((r.doc_id, r.key, r.value) for r in found.collect()), key=str) == [(1, "a", "first"), (1, "b", ""), (2, "", None), (2, "a", "first"), (2, "none", None)]
+    assert ("BroadcastHashJoin [key" in found._jdf.queryExecution().executedPlan().toString()) is (keys > 0)
