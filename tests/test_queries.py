@@ -11,7 +11,7 @@ import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ("detect_type_pages", "jsonl_select_k", "json_tree_shred", "row_to_brace", "row_to_clines", "html_links", "html_element_counts", "xpath_position", "xpath_union", "delete_xpath", "select_reverse", "entity_replace_tree", "annotate_offsets", "unquote_c", "get_int_octal_hex", "ixml_csv", "tokenize_brace", "xslt_group", "validate_enum", "lines_stream", "load_files", "read_lines", "literal_docs", "forced_type", "select_attributes", "relative_path", "single_match", "entity_named", "add_built_tree", "brace_coloured", "kinds_of_words", "text_functions", "ixml_cost_long", "ixml_recover", "ixml_yaml", "ixml_metar", "xslt_import_format", "validate_key")
+CHECKED = ("detect_type_pages", "jsonl_select_k", "json_tree_shred", "row_to_brace", "row_to_clines", "html_links", "html_element_counts", "xpath_position", "xpath_union", "delete_xpath", "select_reverse", "entity_replace_tree", "annotate_offsets", "unquote_c", "get_int_octal_hex", "ixml_csv", "tokenize_brace", "xslt_group", "validate_enum", "lines_stream", "load_files", "read_lines", "literal_docs", "forced_type", "select_attributes", "relative_path", "single_match", "entity_named", "add_built_tree", "brace_coloured", "kinds_of_words", "text_functions", "ixml_cost_long", "ixml_recover", "ixml_yaml", "ixml_metar", "xslt_import_format", "validate_key", "huge_following", "stored_branches", "twig_huge", "table_set_attribute", "path_summary", "huge_json", "udtf_nodes", "line_numbers", "document_lookup", "regular_log")
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
