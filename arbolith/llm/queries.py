@@ -142,8 +142,8 @@ damaged AS (
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, encode(role), sha256(length(role) || ':' || role || text)) AS i FROM damaged),
 judged AS (
   SELECT conv, i, turn, role, text, left(role, 1) AS initial,
-    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 2
-      WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 3 ELSE 0 END AS fault,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 2
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault,
     lead(left(role, 1)) OVER (PARTITION BY conv ORDER BY i) AS following
   FROM placed),
 counts AS (
