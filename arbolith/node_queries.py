@@ -10,10 +10,10 @@ from .functions.numbering import gapless
 from .grammar import regular
 from .model import FIELDS, NODES
 from .operators import measure, mutate
-from .plans import lookup, summary, twig, xpath_frames
+from .plans import lookup, schema_frames, summary, twig, xpath_frames, xsd
 from .queries import QUERIES, SQL, _nation_json, _scratch, _t, query
 from .sinks import streamed, writers
-from .sources import chunked, readers
+from .sources import brace, chunked, readers
 
 # -- one document of all orders
 
@@ -276,6 +276,27 @@ def regular_records(spark, sf_dir):
     return regular.fields(lines, "line", _RECORD, ("key", "name", "region")).drop("doc_id")
 
 
+# -- schemas as columns
+
+
+@query(SQL["validate_int"])
+def relational_validate(spark, sf_dir):
+    """Integers between bounds, by expressions on a stored table of nodes."""
+    schema = "xs:schema(xmlns:xs = http://www.w3.org/2001/XMLSchema) { xs:element(name = _) { xs:complexType { xs:sequence { xs:element(name = k type = K) } } } xs:simpleType(name = K) { xs:restriction(base = xs:int) { xs:minInclusive(value = 10) xs:maxInclusive(value = 50) } } }"
+    nodes = readers.stored(readers.nodes(_t(spark, sf_dir, "events"), "props", "event_id", kind="json"), _scratch(spark))
+    wrong = schema_frames.violations(nodes, xsd.compile(brace.parse(schema)), "_").select("doc_id").distinct().withColumn("wrong", F.lit(True))
+    return nodes.filter("pre = 0").join(wrong, "doc_id", "left").select("doc_id", F.col("wrong").isNull().alias("valid"))
+
+
+@query("SELECT c_custkey AS doc_id, CAST(o_orderkey AS VARCHAR) AS k FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def relational_keyref(spark, sf_dir):
+    """Ids of orders in the documents of customers that no document of a line with the flag R has, as keys of two tables."""
+    lines = _t(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("<line of='"), "l_orderkey", F.lit("'/>")).alias("t"))
+    keys = schema_frames.keys(readers.stored(readers.nodes(lines, "t", kind="xml"), _scratch(spark)), "/line", ["@of"])
+    refs = schema_frames.keys(_accounts(spark, sf_dir), "/customer/order", ["@id"])
+    return schema_frames.broken(refs, keys, across=True).select("doc_id", F.col("k0").alias("k"))
+
+
 # -- table functions
 
 
