@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass, field
 
@@ -41,7 +42,8 @@ class Stylesheet:
     globals: list[Node] = field(default_factory=list)
     keys: dict[str, list[tuple[X.Path, object]]] = field(default_factory=dict)
     output: dict[str, str] = field(default_factory=dict)
-    strip: bool = False
+    strip: list[str] = field(default_factory=list)
+    preserve: list[str] = field(default_factory=list)
     sets: dict[str, Node] = field(default_factory=dict)
     decimals: dict[str, dict[str, str]] = field(default_factory=dict)
     #: Prefixes of literal elements, with the prefix and namespace that stand for them in results.
@@ -134,7 +136,9 @@ def compile(doc: Node, others: dict[str, Node] | None = None) -> Stylesheet:
             case "output":
                 sheet.output |= {a.name or "": a.text() for a in n.attrs if a.kind == "attribute"}
             case "strip-space":
-                sheet.strip = True
+                sheet.strip += (_get(n, "elements") or "").split()
+            case "preserve-space":
+                sheet.preserve += (_get(n, "elements") or "").split()
             case "attribute-set":
                 sheet.sets[_get(n, "name") or ""] = n
     sheet.templates.sort(key=lambda t: (t.precedence, t.priority, t.order))
@@ -153,6 +157,9 @@ class Run:
         self.base: dict[str, object] = {}
         self.messages: list[str] = []
         self.depth = 0
+        for n in doc.walk() if sheet.strip else ():
+            if n.kind == "element" and any(x in ("*", n.qname) for x in sheet.strip) and n.qname not in sheet.preserve:
+                n.children = [x for x in n.children if x.kind != "text" or (x.value or "").strip(" \t\r\n")]
         for g in sheet.globals:
             name = _get(g, "name") or ""
             if _xsl(g) == "param" and params and name in params:
@@ -404,10 +411,11 @@ class Run:
                     self.text(T.string(v), out)
             case "number":
                 if (value := _get(n, "value")) is not None:
-                    self.text(T.string(float(int(T.number(T.evaluate(X.parse(value), c)) + 0.5))), out)
-                elif c.node.parent is not None:
-                    same = [x for x in c.node.parent.children if x.kind == c.node.kind and x.qname == c.node.qname]
-                    self.text(str(next(i for i, x in enumerate(same, 1) if x is c.node)), out)
+                    numbers = [int(T.number(T.evaluate(X.parse(value), c)) + 0.5)]
+                else:
+                    numbers = self.counted(c.node, _get(n, "level") or "single", _get(n, "count"), _get(n, "from"))
+                grouping = self.avt(_get(n, "grouping-separator") or "", c), int(self.avt(_get(n, "grouping-size") or "0", c) or 0)
+                self.text(numbered(numbers, self.avt(_get(n, "format") or "1", c), *grouping), out)
             case "message":
                 holder = document()
                 self.body(n.children, c, holder)
@@ -421,6 +429,35 @@ class Run:
             case _:
                 raise StylesheetError(f"xsl:{name} isn't supported")
 
+    def counted(self, node: Node, level: str, count: str | None, start: str | None) -> list[int]:
+        """Places of a node among those that ``count`` selects (by default those of its kind and name), outermost first; nothing above or before a node of ``start`` counts."""
+
+        def selects(n: Node, pattern: str | None) -> bool:
+            if pattern is None:
+                return n.kind == node.kind and n.qname == node.qname
+            return any(self.matches(n, p) for p in _alternatives(X.parse(pattern)))
+
+        if level == "any":
+            total = 0
+            for n in self.doc.walk():
+                total = 0 if start is not None and selects(n, start) else total + selects(n, count)
+                if n is node:
+                    break
+            return [total] if total else []
+        found: list[Node] = []
+        here: Node | None = node
+        while here is not None and here.kind != "document" and not (start is not None and selects(here, start)):
+            if selects(here, count):
+                found.append(here)
+                if level == "single":
+                    break
+            here = here.parent
+        out = []
+        for n in reversed(found):
+            beside = n.parent.children if n.parent is not None else [n]
+            out.append(1 + sum(selects(x, count) for x in itertools.takewhile(lambda x: x is not n, beside)))
+        return out
+
     def copy(self, n: Node, out: Node) -> None:
         if n.kind == "document":
             for x in n.children:
@@ -443,5 +480,39 @@ class Run:
         return out
 
 
+#: Fixed values of Roman numerals.
+_ROMAN = ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"))
+
+
+def _counter(number: int, token: str, separator: str, size: int) -> str:
+    """A number as a format's token shows it: 1, 01, a, A, i or I."""
+    if token in ("a", "A", "i", "I") and number > 0:
+        out = ""
+        if token in "iI":
+            for n, letters in _ROMAN:
+                out += letters * (number // n)
+                number %= n
+        while token in "aA" and number:
+            number, digit = divmod(number - 1, 26)
+            out = chr(97 + digit) + out
+        return out.upper() if token.isupper() else out
+    digits = str(number).rjust(len(token) if token.isdigit() else 1, "0")
+    return re.sub(rf"(?<=\d)(?=(?:\d{{{size}}})+$)", lambda m: separator, digits) if separator and size > 0 else digits
+
+
+def numbered(numbers: list[int], pattern: str, separator: str = "", size: int = 0) -> str:
+    """Numbers by a format such as 1.a: what stands between its tokens stands between the numbers, its last token and separator serve for more."""
+    tokens = re.findall(r"[^\W_]+", pattern)
+    between = re.split(r"[^\W_]+", pattern)
+    if not tokens:
+        tokens, between = ["1"], [pattern, ""]
+    out = between[0]
+    for i, n in enumerate(numbers):
+        if i:
+            out += between[min(i, len(tokens) - 1)] if len(tokens) > 1 else "."
+        out += _counter(n, tokens[min(i, len(tokens) - 1)], separator, size)
+    return out + between[-1]
+
+
 def transform(sheet: Stylesheet, doc: Node, params: dict[str, str] | None = None, documents: dict[str, Node] | None = None) -> Node:
     return Run(sheet, doc, params, documents).result()
