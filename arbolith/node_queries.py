@@ -335,3 +335,11 @@ def huge_written(spark, sf_dir):
     parts = spark.read.parquet(where)
     tags = parts.select(F.explode(F.expr("regexp_extract_all(text, '</([A-Z])>|/>', 1)")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
     return tags.crossJoin(F.broadcast(parts.agg(F.sum(F.length("text")).alias("total")))).select("tag", "n", "total")
+
+
+@query(SQL["json_roundtrip"])
+def written_json(spark, sf_dir):
+    """Documents as JSON in parts, put together again."""
+    nodes = readers.stored(readers.nodes(_t(spark, sf_dir, "events"), "props", "event_id", kind="json"), _scratch(spark))
+    parts = streamed.json(nodes, size=4).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("p"))
+    return parts.select("doc_id", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))

@@ -1,4 +1,4 @@
-"""Documents of any size as XML, written from their nodes in order, without gathering a document.
+"""Documents of any size as XML or JSON, written from their nodes in order, without gathering a document.
 
 Each node gives a piece of text where it opens and one where it closes. Both places follow from its numbers alone: before a node opens, all nodes with lower numbers have opened and
 all of these but the ones around it have closed. So pieces are sorted by ranges of (document, place), and each task writes its range, in parts of bounded size.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .markup import DECLARATION, HYPHEN_MARK
@@ -70,6 +70,79 @@ def xml_pieces(nodes: DataFrame) -> DataFrame:
     return out
 
 
+#: Fixed values of JSON: short escapes.
+_SHORT = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"))
+
+
+def _json_string(value: Column) -> Column:
+    for c, e in _SHORT:
+        value = F.replace(value, F.lit(c), F.lit(e))
+    for n in (*range(8), 11, *range(14, 32)):
+        value = F.replace(value, F.lit(chr(n)), F.lit(f"\\u{n:04x}"))
+    return F.concat(F.lit('"'), value, F.lit('"'))
+
+
+def _scalar(value: Column) -> Column:
+    """Whether a text would read as a number, true, false or null."""
+    return value.isin("true", "false", "null") | F.regexp_like(value, F.lit(r"\A-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\z"))
+
+
+def json_pieces(nodes: DataFrame) -> DataFrame:
+    """(doc_id, place, piece): as ``xml_pieces``, for documents whose top is one element alone; others give no pieces.
+
+    What a node prints depends on its parent and on its place among what that prints, so nodes are grouped by parent once and by parent and key once.
+    """
+    name = F.concat(F.coalesce(F.concat("prefix", F.lit(":")), F.lit("")), "name")
+    kind, value = F.col("kind"), F.coalesce("value", F.lit(""))
+    head = kind.isin("attribute", "namespace")
+    plain = head & (kind == "attribute") & name.isin("A", "S", "_")
+    text = kind.isin("text", "cdata")
+    named = nodes.withColumn("qname", name).filter(~F.col("path").rlike("/@[^/]*/") & ~(F.col("path").rlike("/@[^/]*$") & ~head))  # not what is in attributes
+    below = named.groupBy("doc_id", F.col("parent").alias("pre")).agg(
+        F.count_if(plain & (F.col("qname") == "A")).alias("array"), F.count_if(plain & (F.col("qname") == "S")).alias("marked"), F.max(F.when(plain & (F.col("qname") == "_"), value)).alias("own"),
+        F.count_if(head & ~(plain & F.col("qname").isin("S", "_"))).alias("more"), F.count_if(text).alias("texts"), F.count_if(~head & ~text).alias("others"), F.count_if(plain & (F.col("qname") == "_")).alias("keyed"),
+    )
+    tops = named.filter("parent = -1").groupBy("doc_id").agg(F.count("*").alias("tops"), F.count_if(kind == "element").alias("roots")).filter("tops = 1 and roots = 1").select("doc_id")
+    elements = named.filter(kind == "element").join(below, ["doc_id", "pre"], "left").join(tops, "doc_id", "left_semi")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("array", "marked", "more", "texts", "others", "keyed")}
+    known = elements.withColumns(zero).withColumn("own_key", F.when((F.col("name") == "_") & (F.col("keyed") > 0), F.coalesce("own", F.lit(""))).otherwise(F.col("qname")))
+    owners = known.select("doc_id", F.col("pre").alias("parent"), F.col("array").alias("in_array"))
+    placed = known.join(owners, ["doc_id", "parent"], "left").withColumn("in_array", F.coalesce("in_array", F.lit(1)))
+    shapes = placed.withColumn("titled", (F.col("in_array") > 0) & (F.col("qname") != "_"))
+    shapes = shapes.withColumn("leaf", ~F.col("titled") & (F.col("more") == 0) & (F.col("texts") > 0) & (F.col("others") == 0))
+    about = shapes.select("doc_id", F.col("pre").alias("parent"), (F.col("array") > 0).alias("p_array"), F.col("titled").alias("p_titled"), F.col("leaf").alias("p_leaf"), F.col("name").alias("p_name"), (F.col("marked") > 0).alias("p_marked"))
+    # what each parent prints: all but marks in an object, elements in an array
+    facts = shapes.select("doc_id", "pre", "titled", "leaf", "array", "own_key")
+    inner = named.join(about, ["doc_id", "parent"]).join(facts, ["doc_id", "pre"], "left")
+    mark = F.when(kind == "element", F.concat(F.lit("e"), "own_key")).when(text, "|").when(kind == "comment", "//").when(kind == "entity", "&").when(head, F.concat(F.lit("a"), "kind", "qname"))
+    shown = F.when(F.col("p_array"), kind == "element").otherwise((~plain | (F.col("qname") == "_") & (F.col("p_name") != "_")) & ~kind.isin("pi", "doctype"))
+    printed = inner.withColumn("mark", mark).filter("not p_leaf").filter(shown)
+    same = Window.partitionBy("doc_id", "parent", "mark")
+    counted = printed.withColumns({"alike": F.count("*").over(same), "number": F.row_number().over(same.orderBy("ord")) - 1})
+    firsts = printed.groupBy("doc_id", "parent").agg(F.min("ord").alias("first"))
+    members = counted.join(firsts, ["doc_id", "parent"])
+    comma = F.when(F.col("p_titled") & ~F.col("p_array") | (F.col("ord") > F.col("first")), ",").otherwise("")
+    index = F.when(F.col("alike") > 1, F.concat(F.lit("["), F.col("number").cast("string"), F.lit("]"))).otherwise("")
+    anonymous = (F.col("qname") == "_") & (F.col("own_key") == "_") & (F.col("alike") == 1) & ~F.coalesce(F.col("own_named"), F.lit(False))
+    own_named = shapes.select("doc_id", "pre", ((F.col("keyed") > 0) & (F.col("name") == "_")).alias("own_named"))
+    members = members.join(own_named, ["doc_id", "pre"], "left")
+    attribute = F.concat(_json_string(F.concat(F.lit("_"), F.when(kind == "namespace", F.concat(F.lit("xmlns"), F.when(F.col("name") != "", F.concat(F.lit(":"), "name")).otherwise(""))).otherwise(F.col("qname")))), F.lit(":"), F.when((kind == "attribute") & F.col("value").isNull(), "null").otherwise(_json_string(value)))
+    key = F.when(F.col("p_array"), "").otherwise(F.concat(_json_string(F.when(anonymous, "").otherwise(F.concat("own_key", index))), F.lit(":")))
+    opening = F.when(F.col("leaf"), "").when(F.col("array") > 0, "[").otherwise(F.concat(F.lit("{"), F.when(F.col("titled"), F.concat(F.lit('"_":'), _json_string(F.col("qname")))).otherwise("")))
+    marked = lambda m, v: F.concat(F.lit(f'"{m}'), index, F.lit('":'), v)
+    piece = (
+        F.when(kind == "element", F.concat(key, opening)).when(head, attribute).when(text, marked("|", F.when(_scalar(value), value).otherwise(_json_string(value))))
+        .when(kind == "comment", marked("//", _json_string(value))).when(kind == "entity", marked("&", _json_string(F.concat(F.lit("&"), "name", F.lit(";")))))
+    )
+    out = members.select("doc_id", opens().alias("place"), F.concat(comma, piece).alias("piece"))
+    roots = shapes.filter("parent = -1").select("doc_id", opens().alias("place"), opening.alias("piece"))
+    ends = shapes.filter("not leaf").select("doc_id", closes().alias("place"), F.when(F.col("array") > 0, "]").otherwise("}").alias("piece"))
+    # the texts of a leaf are its scalar: written in one piece, where the first one stands
+    texts = named.filter(text).join(about.filter("p_leaf"), ["doc_id", "parent"]).groupBy("doc_id", "parent", "p_marked").agg(F.min(F.struct(opens().alias("place"))).alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", value.alias("v")))), lambda x: x["v"]), "").alias("all"))
+    scalars = texts.select("doc_id", F.col("at.place").alias("place"), F.when(_scalar(F.col("all")) & ~F.col("p_marked"), F.col("all")).otherwise(_json_string(F.col("all"))).alias("piece"))
+    return out.unionByName(roots).unionByName(ends).unionByName(scalars)
+
+
 def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     doc, start, held, length = None, 0, [], 0
 
@@ -105,3 +178,8 @@ def xml(nodes: DataFrame, declaration: bool = True, size: int = SIZE) -> DataFra
         heads = nodes.filter("pre = 0").select("doc_id", F.lit(-1).cast("long").alias("place"), F.lit(DECLARATION).alias("piece"))
         pieces = pieces.unionByName(heads)
     return parts(pieces, size)
+
+
+def json(nodes: DataFrame, size: int = SIZE) -> DataFrame:
+    """(doc_id, place, text): documents of one top element as parts of JSON; put together by place they are what ``writers.render`` gives."""
+    return parts(json_pieces(nodes), size)

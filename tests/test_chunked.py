@@ -81,6 +81,19 @@ def test_documents_are_written_in_parts(spark, tmp_path):
     assert max(len(x) for x in found.values()) > 50
 
 
+def test_documents_are_written_as_json_in_parts(spark, tmp_path):
+    r = random.Random(5)
+    data = [json.dumps(value(r, 5), ensure_ascii=False) for _ in range(25)]
+    data += ['{"_":"named","_id":"1","a":[1,2,{"b":"c"}],"":3}', "[]", "{}", '"5"', "5", '{"a":"1","a":2,"b":null,"c":"","d":"\\u0001\\n\\"\\\\"}', '[{"_":"x","y":1},[[]],{"_z":null}]']
+    markup = ["<a><!--x--><b/>t<!--y--><c/>u</a>", "<a k='1' xmlns='u' xmlns:p='v'><p:b>1</p:b><b S=''>1</b>&nbsp;tail&copy;</a>", "<_ A=''><x/>text<y>1</y></_>", "<a><![CDATA[1]]></a>", "<a>x&nbsp;</a>", "<a><b>1<!--c--></b><b>2</b></a>", "<a _='q'><_ _='1 2'>z</_><_ _='1 2'/></a>"]
+    tables = [readers.nodes(spark.createDataFrame(list(enumerate(x, start)), "doc_id long, t string"), "t", kind=k) for k, x, start in (("json", data, 0), ("xml", markup, 100))]
+    nodes = readers.stored(tables[0].unionByName(tables[1]), f"file://{tmp_path}/nodes")
+    found: dict[int, list] = {}
+    for x in streamed.json(nodes, size=9).collect():
+        found.setdefault(x.doc_id, []).append((x.place, x.text))
+    assert {i: "".join(t for _, t in sorted(x)) for i, x in found.items()} == {x.doc_id: x.text for x in writers.render(nodes, "json").collect()}
+
+
 @pytest.mark.parametrize("size", ["20b", "77b", "1g"])
 def test_line_numbers_do_not_depend_on_splits(spark, tmp_path, size):
     text = "".join(f"line {i} é\n" for i in range(60)) + "\r\n\nlast"
