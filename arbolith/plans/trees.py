@@ -8,6 +8,7 @@ what joins or groups nodes of many documents.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
@@ -26,6 +27,28 @@ from . import xpath_tree, xsd, xslt
 Change = Callable[[Node], Node | None]
 #: Texts that are trees at once, and rows of one batch that comes out.
 _ROWS, _BATCH = 256, 20_000
+#: Characters of a text, and rows of its result, up to which a worker remembers the result; results remembered, for each of so many queries.
+_SHORT, _FEW, _REMEMBERED, _QUERIES = 200, 8, 20_000, 4
+#: What a Python worker remembers, by query.
+_memory: dict[str, _Memory] = {}
+#: Tasks that rows with one text are dealt to.
+_SALT = 8
+
+
+class _Memory(dict):
+    """Results of short texts, as columns of texts repeat; the first ones are kept."""
+
+    @staticmethod
+    def of(query: str) -> _Memory:
+        if query not in _memory:
+            while len(_memory) >= _QUERIES:
+                del _memory[next(iter(_memory))]
+            _memory[query] = _Memory()
+        return _memory[query]
+
+    def keep(self, key: tuple, rows: list[tuple]) -> None:
+        if len(self) < _REMEMBERED and len(rows) <= _FEW and sum(len(v) for r in rows for v in r if isinstance(v, str)) <= 4 * _SHORT:
+            self[key] = rows
 
 
 # -- changes to one tree
@@ -191,7 +214,7 @@ def filled(n: Node, parts: list[tuple[str, object]]) -> str:
 
 @dataclass(frozen=True)
 class Trees:
-    """``texts``: (doc_id, raw, type, ...) and ``make``: the tree of a row. A text that has no tree, by a ValueError, is a document of one node of kind error.
+    """``texts``: (doc_id, raw, type, ...) and ``make``: the tree of a row, whatever its doc_id and ``kept``. A text that has no tree, by a ValueError, is a document of one node of kind error.
 
     Columns ``kept`` of ``texts`` go on to all results beside doc_id.
     """
@@ -291,18 +314,27 @@ class Trees:
         types = [*[to_arrow_type(self.texts.schema[c].dataType) for c in lead], *[{"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[k] for k in kinds]]
         schema = ", ".join([*[f"`{c}` {self.texts.schema[c].dataType.simpleString()}" for c in lead], fields])
         tree = self._maker()
+        others = [c for c in self.texts.columns if c not in lead and c != "raw"]  # what the tree depends on beside the text
+        query = uuid.uuid4().hex
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], [*lead, *names])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: list[tuple] = []
+            memory = _Memory.of(query)
             for b in batches:
                 for at in range(0, b.num_rows, _ROWS):
                     for row in b.slice(at, _ROWS).to_pylist():
-                        if (doc := tree(row)) is not None:
-                            own = tuple(row[c] for c in lead)
-                            out += [(*own, *r) for r in use(doc)]
+                        key = (row["raw"], *(row[c] for c in others)) if len(row["raw"]) <= _SHORT else None
+                        found = memory.get(key) if key else None
+                        if found is None:
+                            doc = tree(row)
+                            found = list(use(doc)) if doc is not None else []
+                            if key:
+                                memory.keep(key, found)
+                        own = tuple(row[c] for c in lead)
+                        out += [(*own, *r) for r in found]
                         if len(out) >= _BATCH:
                             yield batch(out)
                             out = []
@@ -397,4 +429,8 @@ def parsed(df: DataFrame, content: Column | str, grammar: str, doc_id: Column |
     content = F.col(content) if isinstance(content, str) else content
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     slim = df.select(doc_id.cast("long").alias("doc_id"), content.alias("raw")).filter("raw is not null")
+    # parsing costs more than moving a text: files of few bytes would be few tasks, and equal texts meet where they are remembered
+    session = df.sparkSession
+    many = max(int(session.conf.get("spark.sql.shuffle.partitions")), 2 * session.sparkContext.defaultParallelism)
+    slim = slim.repartition(many, "raw", F.when(F.length("raw") <= _SHORT, F.pmod("doc_id", F.lit(_SALT))).otherwise(F.col("doc_id")))
     return Trees(slim, lambda row: registry.parse_text(grammar, row["raw"], every, silent, recover))
