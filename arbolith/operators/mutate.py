@@ -1,7 +1,8 @@
 """Changes to documents, copy on write, over tables of nodes.
 
 Each takes and gives rows of NODES. doc_id is the key of every join and window, so a table that is partitioned by it isn't
-shuffled again.
+shuffled again. Joins of two sides that both grow with a table have the hint "merge": the sizes of its files, which pack numbers well, tell nothing
+of what a broadcast would send through the driver.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
             rows = rows.withColumn(c, F.lit(0))
     new = rows.withColumn("_pre", F.row_number().over(Window.partitionBy("doc_id").orderBy("_group", "pre", "_sub")) - 1).withColumn("_post", F.row_number().over(Window.partitionBy("doc_id").orderBy("_group", "post", "_end")) - 1)
     parents = new.select("doc_id", F.col("pre").alias("parent"), F.col("_sub").alias("_parent_sub"), F.col("_pre").alias("_parent"))
-    out = new.join(parents, ["doc_id", "parent", "_parent_sub"], "left").withColumn("parent", F.coalesce("_parent", F.lit(-1)))
+    out = new.join(parents.hint("merge"), ["doc_id", "parent", "_parent_sub"], "left").withColumn("parent", F.coalesce("_parent", F.lit(-1)))
     out = out.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy("_pre")) - 1).withColumns({"pre": F.col("_pre"), "post": F.col("_post")})
     return out.select(*[F.col(f).cast("int").alias(f) if f in ("pre", "post", "parent", "level", "ord") else F.col(f) for f in FIELDS])
 
@@ -37,7 +38,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
 def _without(nodes: DataFrame, tops: DataFrame, tops_too: bool = True) -> DataFrame:
     t = tops.select("doc_id", (F.col("pre") + (0 if tops_too else 1)).alias("t_first"), (F.col("pre") + xpath_frames.size()).alias("t_last"))
     inside = containment.pairs(nodes.select("doc_id", "pre"), F.col("pre"), t, F.col("t_first"), F.col("t_last"), ["doc_id"])
-    return nodes.join(inside, ["doc_id", "pre"], "left_anti")
+    return nodes.join(inside.hint("merge"), ["doc_id", "pre"], "left_anti")
 
 
 def _first(found: DataFrame) -> DataFrame:
@@ -93,7 +94,7 @@ def _entities(nodes: DataFrame, name: str | None, attributes: bool) -> DataFrame
     found = nodes.filter((F.col("kind") == "entity") & (F.col("name") == name if name else F.lit(True)))
     if attributes:
         return found
-    return found.join(nodes.filter("kind = 'attribute'").select("doc_id", F.col("pre").alias("parent")), ["doc_id", "parent"], "left_anti")
+    return found.join(nodes.filter("kind = 'attribute'").select("doc_id", F.col("pre").alias("parent")).hint("merge"), ["doc_id", "parent"], "left_anti")
 
 
 def delete_entity(nodes: DataFrame, name: str) -> DataFrame:
@@ -111,16 +112,16 @@ def merge_texts(nodes: DataFrame) -> DataFrame:
     joined = marked.withColumn("value", F.when(text, F.array_join(F.collect_list("value").over(run), "")).otherwise(F.col("value"))).filter("_start = 1").drop("_start", "_run")
     inside = Window.partitionBy("doc_id", "parent")
     owners = joined.filter("kind = 'attribute'").select("doc_id", F.col("pre").alias("parent"))
-    lone = joined.join(owners, ["doc_id", "parent"], "left_semi").withColumn("_n", F.count("*").over(inside)).filter("_n = 1 and kind = 'text'")
+    lone = joined.join(owners.hint("merge"), ["doc_id", "parent"], "left_semi").withColumn("_n", F.count("*").over(inside)).filter("_n = 1 and kind = 'text'")
     values = lone.select("doc_id", F.col("parent").alias("pre"), F.col("value").alias("_value"))
-    folded = joined.join(lone.select("doc_id", "pre"), ["doc_id", "pre"], "left_anti").join(values, ["doc_id", "pre"], "left").withColumn("value", F.coalesce("_value", "value"))
+    folded = joined.join(lone.select("doc_id", "pre").hint("merge"), ["doc_id", "pre"], "left_anti").join(values.hint("merge"), ["doc_id", "pre"], "left").withColumn("value", F.coalesce("_value", "value"))
     return _numbered(folded.select(*FIELDS))
 
 
 def replace(nodes: DataFrame, xpath: str, value: str) -> DataFrame:
     """With ``value`` as the content of the first node of each document that ``xpath`` gives; no match, no change."""
     first = _first(xpath_frames.select(nodes, xpath))
-    target = first.select("doc_id", "pre", F.lit(True).alias("_hit"))
+    target = first.select("doc_id", "pre", F.lit(True).alias("_hit")).hint("merge")
     emptied = _without(nodes, first, False).join(target, ["doc_id", "pre"], "left")
     holds = F.col("kind") == "element"
     plain = emptied.withColumn("value", F.when(F.col("_hit") & ~holds, value).otherwise(F.col("value"))).withColumns({"_sub": F.lit(0), "_end": F.lit(0)})
@@ -128,7 +129,7 @@ def replace(nodes: DataFrame, xpath: str, value: str) -> DataFrame:
     added = emptied.filter(F.col("_hit") & holds).withColumns({"_sub": F.lit(1), "_end": F.lit(-1), "kind": F.lit("text"), "level": F.col("level") + 1, "prefix": none, "name": none, "ns_uri": none, "value": F.lit(value), "parent": F.col("pre")})
     # attributes of the element are above its new content in document order
     attrs = nodes.filter("kind in ('attribute', 'namespace')").join(target.select("doc_id", F.col("pre").alias("parent")), ["doc_id", "parent"], "left_semi").withColumns({"_hit": F.lit(None).cast("boolean"), "_sub": F.lit(0), "_end": F.lit(0)})
-    last = attrs.groupBy("doc_id").agg(F.max("pre").alias("_last"))
+    last = attrs.groupBy("doc_id").agg(F.max("pre").alias("_last")).hint("merge")
     behind = added.join(last, "doc_id", "left").withColumn("pre", F.coalesce("_last", "pre")).drop("_last")
     return _numbered(plain.unionByName(attrs.select(*plain.columns)).unionByName(behind.select(*plain.columns)))
 
@@ -197,15 +198,15 @@ def add_root(nodes: DataFrame, name: str) -> DataFrame:
 def set_attribute(nodes: DataFrame, xpath: str, name: str, value: str) -> DataFrame:
     """With the attribute on all elements that ``xpath`` gives, in place of one of that name."""
     found = xpath_frames.select(nodes, xpath).filter("kind = 'element'")
-    keys = found.select("doc_id", F.col("pre").alias("parent"))
+    keys = found.select("doc_id", F.col("pre").alias("parent")).hint("merge")
     old = nodes.filter((F.col("kind") == "attribute") & (F.col("name") == name)).join(keys, ["doc_id", "parent"], "left_semi")
     rest = _without(nodes, old)
-    last = rest.filter("kind in ('attribute', 'namespace')").groupBy("doc_id", F.col("parent").alias("pre")).agg(F.max("pre").alias("_last"))
+    last = rest.filter("kind in ('attribute', 'namespace')").groupBy("doc_id", F.col("parent").alias("pre")).agg(F.max("pre").alias("_last")).hint("merge")
     new = found.join(last, ["doc_id", "pre"], "left").withColumns({
         "parent": F.col("pre"), "pre": F.coalesce("_last", "pre"), "_sub": F.lit(1), "_end": F.lit(-1), "level": F.col("level") + 1,
         "kind": F.lit("attribute"), "prefix": F.lit(None).cast("string"), "ns_uri": F.lit(None).cast("string"), "name": F.lit(name), "value": F.lit(value), "path": F.concat("path", F.lit(f"/@{name}")),
     })
-    ends = rest.filter("kind in ('attribute', 'namespace')").groupBy("doc_id", "parent").agg(F.max("post").alias("_after"))
+    ends = rest.filter("kind in ('attribute', 'namespace')").groupBy("doc_id", "parent").agg(F.max("post").alias("_after")).hint("merge")
     # it ends behind the attributes that are there, or else before the first node below
     start = F.col("parent") - (F.col("level") - 1)
     new = new.join(ends, ["doc_id", "parent"], "left").withColumn("_end", F.when(F.col("_after").isNotNull(), 1).otherwise(-1)).withColumn("post", F.coalesce("_after", start))

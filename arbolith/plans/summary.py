@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbering import gapless
 from ..model import FIELDS
+from ..sources.readers import unbroadcast
 from . import xpath as X
 from .xpath import Binary, Call, Filter, Negative, Path, Step
 from .xpath_frames import Frames, string_values
@@ -163,7 +164,7 @@ class Store:
     """A table that ``store`` wrote."""
 
     def __init__(self, spark: SparkSession, where: str):
-        self.nodes, self.paths, self.docs = (spark.read.parquet(f"{where}/{t}") for t in ("nodes", "paths", "docs"))
+        self.nodes, self.paths, self.docs = (unbroadcast(spark.read.parquet(f"{where}/{t}")) for t in ("nodes", "paths", "docs"))
 
     def matching(self, xpath: str, texts: bool = False) -> DataFrame:
         """The rows of the summary that an expression's nodes can have."""

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .markup import DECLARATION, HYPHEN_MARK
 
-#: Characters of a part, about.
-SIZE = 1 << 20
+#: Characters of a part, about, and parts of a batch that comes out at most.
+SIZE, ROWS = 1 << 20, 10_000
 
 
 def opens() -> Column:
@@ -40,12 +40,12 @@ def xml_pieces(nodes: DataFrame) -> DataFrame:
     value = F.coalesce("value", F.lit(""))
     size = F.col("post").cast("long") - F.col("pre") + F.col("level")
     attributes = nodes.filter("kind in ('attribute', 'namespace')")
-    heads = attributes.groupBy("doc_id", F.col("parent").alias("pre")).agg(F.count("*").alias("heads"), F.sum(size + 1).alias("in_heads"))
+    heads = attributes.groupBy("doc_id", F.col("parent").alias("pre")).agg(F.count("*").alias("heads"), F.sum(size + 1).alias("in_heads")).hint("merge")
     elements = nodes.filter("kind = 'element'").join(heads, ["doc_id", "pre"], "left").withColumn("filled", size > F.coalesce("in_heads", F.lit(0)))
     end = F.when(F.col("filled"), ">").otherwise("/>")
     first = elements.select("doc_id", opens().alias("place"), F.concat(F.lit("<"), name, F.when(F.col("heads").isNull(), end).otherwise("")).alias("piece"))
     last = elements.filter("filled").select("doc_id", closes().alias("place"), F.concat(F.lit("</"), name, F.lit(">")).alias("piece"))
-    owners = elements.filter("heads is not null").select("doc_id", F.col("pre").alias("parent"), "heads", "filled")
+    owners = elements.filter("heads is not null").select("doc_id", F.col("pre").alias("parent"), "heads", "filled").hint("merge")
     shown = F.when(F.col("kind") == "namespace", F.concat(F.lit("xmlns"), F.when(F.col("name") != "", F.concat(F.lit(":"), "name")).otherwise(""))).otherwise(name)
     owned = attributes.join(owners, ["doc_id", "parent"]).withColumns({"tail": F.when(F.col("ord") == F.col("heads") - 1, end).otherwise(""), "start": F.concat(F.lit(" "), shown, F.lit('="'))})
     whole = owned.filter(size == 0).select("doc_id", opens().alias("place"), F.concat("start", _escaped(value, True), F.lit('"'), "tail").alias("piece"))
@@ -102,30 +102,30 @@ def json_pieces(nodes: DataFrame) -> DataFrame:
         F.count_if(plain & (F.col("qname") == "A")).alias("array"), F.count_if(plain & (F.col("qname") == "S")).alias("marked"), F.max(F.when(plain & (F.col("qname") == "_"), value)).alias("own"),
         F.count_if(head & ~(plain & F.col("qname").isin("S", "_"))).alias("more"), F.count_if(text).alias("texts"), F.count_if(~head & ~text).alias("others"), F.count_if(plain & (F.col("qname") == "_")).alias("keyed"),
     )
-    tops = named.filter("parent = -1").groupBy("doc_id").agg(F.count("*").alias("tops"), F.count_if(kind == "element").alias("roots")).filter("tops = 1 and roots = 1").select("doc_id")
-    elements = named.filter(kind == "element").join(below, ["doc_id", "pre"], "left").join(tops, "doc_id", "left_semi")
+    tops = named.filter("parent = -1").groupBy("doc_id").agg(F.count("*").alias("tops"), F.count_if(kind == "element").alias("roots")).filter("tops = 1 and roots = 1").select("doc_id").hint("merge")
+    elements = named.filter(kind == "element").join(below.hint("merge"), ["doc_id", "pre"], "left").join(tops, "doc_id", "left_semi")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("array", "marked", "more", "texts", "others", "keyed")}
     known = elements.withColumns(zero).withColumn("own_key", F.when((F.col("name") == "_") & (F.col("keyed") > 0), F.coalesce("own", F.lit(""))).otherwise(F.col("qname")))
     owners = known.select("doc_id", F.col("pre").alias("parent"), F.col("array").alias("in_array"))
-    placed = known.join(owners, ["doc_id", "parent"], "left").withColumn("in_array", F.coalesce("in_array", F.lit(1)))
+    placed = known.join(owners.hint("merge"), ["doc_id", "parent"], "left").withColumn("in_array", F.coalesce("in_array", F.lit(1)))
     shapes = placed.withColumn("titled", (F.col("in_array") > 0) & (F.col("qname") != "_"))
     shapes = shapes.withColumn("leaf", ~F.col("titled") & (F.col("more") == 0) & (F.col("texts") > 0) & (F.col("others") == 0))
     about = shapes.select("doc_id", F.col("pre").alias("parent"), (F.col("array") > 0).alias("p_array"), F.col("titled").alias("p_titled"), F.col("leaf").alias("p_leaf"), F.col("name").alias("p_name"), (F.col("marked") > 0).alias("p_marked"))
     # what each parent prints: all but marks in an object, elements in an array
     facts = shapes.select("doc_id", "pre", "titled", "leaf", "array", "own_key")
-    inner = named.join(about, ["doc_id", "parent"]).join(facts, ["doc_id", "pre"], "left")
+    inner = named.join(about.hint("merge"), ["doc_id", "parent"]).join(facts.hint("merge"), ["doc_id", "pre"], "left")
     mark = F.when(kind == "element", F.concat(F.lit("e"), "own_key")).when(text, "|").when(kind == "comment", "//").when(kind == "entity", "&").when(head, F.concat(F.lit("a"), "kind", "qname"))
     shown = F.when(F.col("p_array"), kind == "element").otherwise((~plain | (F.col("qname") == "_") & (F.col("p_name") != "_")) & ~kind.isin("pi", "doctype"))
     printed = inner.withColumn("mark", mark).filter("not p_leaf").filter(shown)
     same = Window.partitionBy("doc_id", "parent", "mark")
     counted = printed.withColumns({"alike": F.count("*").over(same), "number": F.row_number().over(same.orderBy("ord")) - 1})
     firsts = printed.groupBy("doc_id", "parent").agg(F.min("ord").alias("first"))
-    members = counted.join(firsts, ["doc_id", "parent"])
+    members = counted.join(firsts.hint("merge"), ["doc_id", "parent"])
     comma = F.when(F.col("p_titled") & ~F.col("p_array") | (F.col("ord") > F.col("first")), ",").otherwise("")
     index = F.when(F.col("alike") > 1, F.concat(F.lit("["), F.col("number").cast("string"), F.lit("]"))).otherwise("")
     anonymous = (F.col("qname") == "_") & (F.col("own_key") == "_") & (F.col("alike") == 1) & ~F.coalesce(F.col("own_named"), F.lit(False))
     own_named = shapes.select("doc_id", "pre", ((F.col("keyed") > 0) & (F.col("name") == "_")).alias("own_named"))
-    members = members.join(own_named, ["doc_id", "pre"], "left")
+    members = members.join(own_named.hint("merge"), ["doc_id", "pre"], "left")
     attribute = F.concat(_json_string(F.concat(F.lit("_"), F.when(kind == "namespace", F.concat(F.lit("xmlns"), F.when(F.col("name") != "", F.concat(F.lit(":"), "name")).otherwise(""))).otherwise(F.col("qname")))), F.lit(":"), F.when((kind == "attribute") & F.col("value").isNull(), "null").otherwise(_json_string(value)))
     key = F.when(F.col("p_array"), "").otherwise(F.concat(_json_string(F.when(anonymous, "").otherwise(F.concat("own_key", index))), F.lit(":")))
     opening = F.when(F.col("leaf"), "").when(F.col("array") > 0, "[").otherwise(F.concat(F.lit("{"), F.when(F.col("titled"), F.concat(F.lit('"_":'), _json_string(F.col("qname")))).otherwise("")))
@@ -138,28 +138,36 @@ def json_pieces(nodes: DataFrame) -> DataFrame:
     roots = shapes.filter("parent = -1").select("doc_id", opens().alias("place"), opening.alias("piece"))
     ends = shapes.filter("not leaf").select("doc_id", closes().alias("place"), F.when(F.col("array") > 0, "]").otherwise("}").alias("piece"))
     # the texts of a leaf are its scalar: written in one piece, where the first one stands
-    texts = named.filter(text).join(about.filter("p_leaf"), ["doc_id", "parent"]).groupBy("doc_id", "parent", "p_marked").agg(F.min(F.struct(opens().alias("place"))).alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", value.alias("v")))), lambda x: x["v"]), "").alias("all"))
+    texts = named.filter(text).join(about.filter("p_leaf").hint("merge"), ["doc_id", "parent"]).groupBy("doc_id", "parent", "p_marked").agg(F.min(F.struct(opens().alias("place"))).alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", value.alias("v")))), lambda x: x["v"]), "").alias("all"))
     scalars = texts.select("doc_id", F.col("at.place").alias("place"), F.when(_scalar(F.col("all")) & ~F.col("p_marked"), F.col("all")).otherwise(_json_string(F.col("all"))).alias("piece"))
     return out.unionByName(roots).unionByName(ends).unionByName(scalars)
 
 
 def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     doc, start, held, length = None, 0, [], 0
+    made: list[tuple] = []  # parts of one batch, of about SIZE characters in all
+    waiting = 0
 
-    def part() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([start], pa.int64()), pa.array(["".join(held)], pa.string())], ["doc_id", "place", "text"])
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "place", "text"])
 
     for batch in batches:
         for d, p, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held and (d != doc or length >= size):
-                yield part()
+                made.append((doc, start, "".join(held)))
+                waiting += length
                 held, length = [], 0
+                if waiting >= SIZE or len(made) >= ROWS:
+                    yield out()
+                    made, waiting = [], 0
             if not held:
                 doc, start = d, p
             held.append(t)
             length += len(t)
     if held:
-        yield part()
+        made.append((doc, start, "".join(held)))
+    if made:
+        yield out()
 
 
 def parts(pieces: DataFrame, size: int = SIZE) -> DataFrame:

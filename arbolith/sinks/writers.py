@@ -56,7 +56,7 @@ def quote_c(text: Column) -> Column:
 
 def clines(nodes: DataFrame) -> DataFrame:
     """(doc_id, pre, line): a path line for each leaf, without Python; in the order of pre they are the document's lines."""
-    has_parts = nodes.filter("parent >= 0").select("doc_id", F.col("parent").alias("pre")).distinct().withColumn("_parts", F.lit(True))
+    has_parts = nodes.filter("parent >= 0").select("doc_id", F.col("parent").alias("pre")).distinct().withColumn("_parts", F.lit(True)).hint("merge")
     rows = nodes.join(has_parts, ["doc_id", "pre"], "left")
     kind = F.col("kind")
     quoted = F.concat(F.lit('"'), quote_c(F.coalesce("value", F.lit(""))), F.lit('"'))
@@ -74,8 +74,8 @@ def clines(nodes: DataFrame) -> DataFrame:
 
 def to_text(nodes: DataFrame) -> DataFrame:
     """(doc_id, text): all text in document order, without Python; an entity prints as <ENTITY> and its name."""
-    inside = nodes.filter("kind = 'attribute'").select("doc_id", F.col("pre").alias("parent"))
+    inside = nodes.filter("kind = 'attribute'").select("doc_id", F.col("pre").alias("parent")).hint("merge")
     shown = nodes.filter("kind in ('text', 'cdata', 'entity')").join(inside, ["doc_id", "parent"], "left_anti")
     piece = F.when(F.col("kind") == "entity", F.concat(F.lit("<ENTITY>"), "name")).otherwise(F.col("value")).alias("v")
     texts = shown.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pre", piece))).alias("p")).select("doc_id", F.array_join(F.transform("p", lambda x: x["v"]), "").alias("text"))
-    return nodes.select("doc_id").distinct().join(texts, "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return nodes.select("doc_id").distinct().join(texts.hint("merge"), "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))

@@ -15,6 +15,8 @@ from .detect import content_type, unfit, without_bom
 _ARROW = pa.schema([(f, pa.int64() if f == "doc_id" else pa.int32() if f in ("pre", "post", "parent", "level", "ord") else pa.string()) for f in FIELDS])
 #: Nodes that one output batch holds.
 _BATCH = 50_000
+#: Rows of a stored table up to which Spark may broadcast what is taken from it.
+BROADCAST_ROWS = 200_000
 
 
 def parse_text(source: str, root: str | None = None) -> Node:
@@ -96,7 +98,12 @@ def nodes(df: DataFrame, content: Column | str, doc_id: Column | str = "doc_id",
 def stored(nodes: DataFrame, path: str) -> DataFrame:
     """A table of nodes written once: plans that use one many times don't parse its texts again each time. ``path``: a new folder that driver and executors share."""
     nodes.write.parquet(path)
-    return nodes.sparkSession.read.schema(nodes.schema).parquet(path)
+    return unbroadcast(nodes.sparkSession.read.schema(nodes.schema).parquet(path))
+
+
+def unbroadcast(table: DataFrame) -> DataFrame:
+    """A stored table whose joins are sorted and merged if it has many rows: its files pack numbers so well that by their size Spark would send millions of rows through the driver."""
+    return table.hint("merge") if table.count() > BROADCAST_ROWS else table
 
 
 def split_lines(df: DataFrame, content: Column | str, doc_id: Column | str = "doc_id") -> DataFrame:
