@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import tables
-from .functions.numbering import gapless
+from .functions.numbering import running
 from .grammar import regular
-from .model import FIELDS, NODES
+from .model import NODES
 from .operators import measure, mutate
 from .plans import lookup, schema_frames, summary, twig, xpath_frames, xsd
 from .queries import QUERIES, SQL, _nation_json, _scratch, _t, query
@@ -19,37 +19,35 @@ from .sources import brace, chunked, readers
 
 
 def _ledger(spark, sf_dir) -> DataFrame:
-    """One document: orders by key, elements named by their status, with an attribute id; in them their lines, named by their flag, with text key:line. Stored."""
+    """One document: orders by key, elements named by their status, with an attribute id; in them their lines, named by their flag, with text key:line. Stored.
+
+    Numbers follow from the sizes of orders: those before an order are summed up over the orders alone, and what stands in an order is counted from its own number. So lines are
+    shuffled once, by their order, and the nodes aren't sorted.
+    """
     where = _scratch(spark)
-    o = gapless(_t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "ord", f"{where}/orders", F.asc("o_orderkey"))
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))  # line numbers may repeat
-    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), place.alias("line"), "l_returnflag", F.concat_ws(":", "l_orderkey", "l_linenumber").alias("text"))
-    lines = lines.join(o.select(F.col("o_orderkey").alias("k")), "k", "left_semi")
-    counts = lines.groupBy("k").agg(F.count("*").alias("n"))
-    held = o.select(F.col("o_orderkey").alias("k"), "o_orderstatus", "ord").join(counts, "k", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    row = "k, cast(line as long) line, sub, level, cast(ord as int) ord, kind, name, value, path, size"
-    parts = [
-        held.selectExpr("k", "-1L line", "0 sub", "1 level", "ord", "'element' kind", "o_orderstatus name", "string(null) value", "'/orders/' || o_orderstatus path", "1 + 2 * n size"),
-        held.selectExpr("k", "-1L line", "1 sub", "2 level", "0 ord", "'attribute' kind", "'id' name", "string(k) value", "'/orders/' || o_orderstatus || '/@id' path", "0L size"),
-        lines.join(held, "k").selectExpr("k", "line", "0 sub", "2 level", "0 ord", "'element' kind", "l_returnflag name", "text value", "'/orders/' || o_orderstatus || '/' || l_returnflag path", "1L size"),
-    ]
-    texts = parts[2].selectExpr("k", "line", "1 sub", "3 level", "0 ord", "'text' kind", "string(null) name", "value", "path", "0L size")
-    parts[2] = parts[2].withColumn("value", F.lit(None).cast("string"))
-    rows = [p.selectExpr(*row.split(", ")) for p in (*parts, texts)]
-    placed = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
-    numbered = gapless(placed, "pre", f"{where}/placed", F.asc("k"), F.asc("line"), F.asc("sub"), start=1)
-    # a line is the third node of its order or further on, two nodes a line
-    parent = F.expr("case when level = 1 then 0 when kind = 'element' then pre - 2 - 2 * (ord_in - 1) else pre - 1 end")
-    lines_of = numbered.withColumn("ord_in", F.row_number().over(Window.partitionBy("k", "kind", "level").orderBy("pre")))
-    none = F.lit(None).cast("string")
-    nodes = lines_of.select(
-        F.lit(0).cast("long").alias("doc_id"), "pre", (F.col("pre") + F.col("size") - F.col("level")).alias("post"), parent.alias("parent"), "level", F.when((F.col("level") == 2) & (F.col("kind") == "element"), F.col("ord_in")).otherwise(F.col("ord")).alias("ord"),
-        "kind", none.alias("prefix"), "name", none.alias("ns_uri"), "value", "path",
+    lines = _t(spark, sf_dir, "lineitem")
+    counts = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"))
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"))
+    sized = o.join(counts.hint("merge"), "k", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    sized.write.parquet(f"{where}/sized")
+    sized = spark.read.schema(sized.schema).parquet(f"{where}/sized")
+    sums = {"ord": F.lit(1).cast("long"), "above": 2 * F.col("n") + 2}
+    orders = running(sized, sums, f"{where}/orders", F.asc("k")).withColumn("at", F.col("above") + 1)
+    place = F.row_number().over(Window.partitionBy("k").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))  # line numbers may repeat
+    placed = lines.withColumnRenamed("l_orderkey", "k").filter("k is not null").select("k", place.alias("line"), "l_returnflag", F.concat_ws(":", "k", "l_linenumber").alias("text"))
+    # two nodes for each order and for each line: an element, and its attribute or text; a node's post is its number and its size less its level
+    held = orders.withColumns({"sub": F.explode(F.array(F.lit(0), F.lit(1)))}).selectExpr(
+        "at + sub pre", "if(sub = 0, at + 2 * n, at - 1) post", "if(sub = 0, 0, at) parent", "1 + sub level", "if(sub = 0, ord, 0) ord", "if(sub = 0, 'element', 'attribute') kind",
+        "if(sub = 0, status, 'id') name", "if(sub = 0, null, string(k)) value", "'/orders/' || status || if(sub = 0, '', '/@id') path",
+    )
+    inner = placed.join(orders.select("k", "status", "at").hint("merge"), "k").withColumn("first", F.col("at") + 2 * F.col("line")).withColumns({"sub": F.explode(F.array(F.lit(0), F.lit(1)))}).selectExpr(
+        "first + sub pre", "if(sub = 0, first - 1, first - 2) post", "if(sub = 0, at, first) parent", "2 + sub level", "if(sub = 0, line, 0) ord", "if(sub = 0, 'element', 'text') kind",
+        "if(sub = 0, l_returnflag, null) name", "if(sub = 0, null, text) value", "'/orders/' || status || '/' || l_returnflag path",
     )
-    size = placed.agg(F.count("*").alias("n"))
-    root = size.select(F.lit(0).cast("long"), F.lit(0), F.col("n"), F.lit(-1), F.lit(0), F.lit(0), F.lit("element"), none, F.lit("orders"), none, none, F.lit("/orders")).toDF(*FIELDS)
+    root = sized.agg(F.coalesce(F.sum(sums["above"]), F.lit(0)).alias("n")).selectExpr("0L pre", "n post", "-1L parent", "0 level", "0L ord", "'element' kind", "'orders' name", "string(null) value", "'/orders' path")
+    nodes = held.unionByName(inner).unionByName(root).withColumns({"doc_id": F.lit(0), "prefix": F.lit(None), "ns_uri": F.lit(None)})
     typed = [F.col(x.split()[0]).cast(x.split()[1]).alias(x.split()[0]) for x in NODES.split(", ")]
-    return readers.stored(nodes.select(*typed).unionByName(root.select(*typed)), f"{where}/nodes")
+    return readers.stored(nodes.select(*typed), f"{where}/nodes")
 
 
 _LINES = "SELECT l_orderkey || ':' || l_linenumber AS line FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE {}"

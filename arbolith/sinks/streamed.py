@@ -1,7 +1,8 @@
 """Documents of any size as XML or JSON, written from their nodes in order, without gathering a document.
 
 Each node gives a piece of text where it opens and one where it closes. Both places follow from its numbers alone: before a node opens, all nodes with lower numbers have opened and
-all of these but the ones around it have closed. So pieces are sorted by ranges of (document, place), and each task writes its range, in parts of bounded size.
+all of these but the ones around it have closed. So pieces are dealt by (document, PLACES places in a row) and sorted, and each task writes such runs, in parts of bounded size. As places are
+numbered, no sample has to say where ranges begin, for which the pieces would be made twice.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from .markup import DECLARATION, HYPHEN_MARK
 
 #: Characters of a part, about, and parts of a batch that comes out at most.
 SIZE, ROWS = 1 << 20, 10_000
+#: Places that one task writes in order; a part ends there.
+PLACES = 1 << 16
 
 
 def opens() -> Column:
@@ -35,26 +38,28 @@ def _escaped(value: Column, quote: bool) -> Column:
 
 
 def xml_pieces(nodes: DataFrame) -> DataFrame:
-    """(doc_id, place, piece): the text of each document as pieces, by expressions and two joins with what stands right below elements."""
+    """(doc_id, place, piece): the text of each document as pieces. What an element and its attributes need of each other they get from windows over the element's number: one shuffle of these, no join."""
     name = F.concat(F.coalesce(F.concat("prefix", F.lit(":")), F.lit("")), "name")
-    value = F.coalesce("value", F.lit(""))
+    kind, value = F.col("kind"), F.coalesce("value", F.lit(""))
     size = F.col("post").cast("long") - F.col("pre") + F.col("level")
-    attributes = nodes.filter("kind in ('attribute', 'namespace')")
-    heads = attributes.groupBy("doc_id", F.col("parent").alias("pre")).agg(F.count("*").alias("heads"), F.sum(size + 1).alias("in_heads")).hint("merge")
-    elements = nodes.filter("kind = 'element'").join(heads, ["doc_id", "pre"], "left").withColumn("filled", size > F.coalesce("in_heads", F.lit(0)))
+    head, element = kind.isin("attribute", "namespace"), kind == "element"
+    of = Window.partitionBy("doc_id", "of")
+    tags = nodes.filter(head | element).select("doc_id", "pre", "post", "level", "ord", "kind", "prefix", "name", "value", F.when(element, F.col("pre")).otherwise(F.col("parent")).alias("of"), size.alias("size"))
+    tags = tags.withColumns({"heads": F.count_if(head).over(of), "in_heads": F.coalesce(F.sum(F.when(head, F.col("size") + 1)).over(of), F.lit(0))})
+    tags = tags.withColumn("filled", F.max(F.when(element, F.col("size") > F.col("in_heads"))).over(of)).filter("filled is not null")  # none: no element has it
     end = F.when(F.col("filled"), ">").otherwise("/>")
-    first = elements.select("doc_id", opens().alias("place"), F.concat(F.lit("<"), name, F.when(F.col("heads").isNull(), end).otherwise("")).alias("piece"))
-    last = elements.filter("filled").select("doc_id", closes().alias("place"), F.concat(F.lit("</"), name, F.lit(">")).alias("piece"))
-    owners = elements.filter("heads is not null").select("doc_id", F.col("pre").alias("parent"), "heads", "filled").hint("merge")
-    shown = F.when(F.col("kind") == "namespace", F.concat(F.lit("xmlns"), F.when(F.col("name") != "", F.concat(F.lit(":"), "name")).otherwise(""))).otherwise(name)
-    owned = attributes.join(owners, ["doc_id", "parent"]).withColumns({"tail": F.when(F.col("ord") == F.col("heads") - 1, end).otherwise(""), "start": F.concat(F.lit(" "), shown, F.lit('="'))})
-    whole = owned.filter(size == 0).select("doc_id", opens().alias("place"), F.concat("start", _escaped(value, True), F.lit('"'), "tail").alias("piece"))
-    split = owned.filter(size > 0)  # values with entities in them
-    before = split.select("doc_id", opens().alias("place"), F.col("start").alias("piece"))
-    after = split.select("doc_id", closes().alias("place"), F.concat(F.lit('"'), "tail").alias("piece"))
+    shown = F.when(kind == "namespace", F.concat(F.lit("xmlns"), F.when(F.col("name") != "", F.concat(F.lit(":"), "name")).otherwise(""))).otherwise(name)
+    tail, start = F.when(F.col("ord") == F.col("heads") - 1, end).otherwise(""), F.concat(F.lit(" "), shown, F.lit('="'))
+    opening = (
+        F.when(element, F.concat(F.lit("<"), name, F.when(F.col("heads") == 0, end).otherwise("")))
+        .when(F.col("size") == 0, F.concat(start, _escaped(value, True), F.lit('"'), tail)).otherwise(start)
+    )
+    # an element that isn't empty, and an attribute whose value has entities in it, close behind what stands in them
+    closing = F.when(element & F.col("filled"), F.concat(F.lit("</"), name, F.lit(">"))).when(head & (F.col("size") > 0), F.concat(F.lit('"'), tail))
+    both = F.array(F.struct(opens().alias("place"), opening.alias("piece")), F.struct(closes().alias("place"), closing.alias("piece")))
+    ends = tags.select("doc_id", F.explode(both).alias("p")).select("doc_id", "p.place", "p.piece").filter("piece is not null")
     quoted = F.col("path").rlike("/@[^/]*$")
     comment = F.regexp_replace(value, "-(?=-)", f"-{HYPHEN_MARK}")
-    kind = F.col("kind")
     leaf = (
         F.when(kind == "text", F.when(quoted, _escaped(value, True)).otherwise(_escaped(value, False)))
         .when(kind == "cdata", F.concat(F.lit("<![CDATA["), value, F.lit("]]>")))
@@ -63,11 +68,7 @@ def xml_pieces(nodes: DataFrame) -> DataFrame:
         .when(kind == "pi", F.concat(F.lit("<?"), "name", F.lit(" "), value, F.lit("?>")))
         .when(kind == "doctype", F.concat(F.lit("<!DOCTYPE "), F.coalesce("value", F.lit("html")), F.lit(">\n")))
     )
-    leaves = nodes.select("doc_id", opens().alias("place"), leaf.alias("piece")).filter("piece is not null")
-    out = first
-    for more in (last, whole, before, after, leaves):
-        out = out.unionByName(more)
-    return out
+    return ends.unionByName(nodes.filter(~(head | element)).select("doc_id", opens().alias("place"), leaf.alias("piece")).filter("piece is not null"))
 
 
 #: Fixed values of JSON: short escapes.
@@ -143,8 +144,8 @@ def json_pieces(nodes: DataFrame) -> DataFrame:
     return out.unionByName(roots).unionByName(ends).unionByName(scalars)
 
 
-def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    doc, start, held, length = None, 0, [], 0
+def _parts(batches: Iterator[pa.RecordBatch], size: int, places: int = PLACES) -> Iterator[pa.RecordBatch]:
+    doc, start, until, held, length = None, 0, 0, [], 0
     made: list[tuple] = []  # parts of one batch, of about SIZE characters in all
     waiting = 0
 
@@ -153,7 +154,7 @@ def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
 
     for batch in batches:
         for d, p, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and (d != doc or length >= size):
+            if held and (d != doc or length >= size or p >= until):
                 made.append((doc, start, "".join(held)))
                 waiting += length
                 held, length = [], 0
@@ -161,7 +162,7 @@ def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
                     yield out()
                     made, waiting = [], 0
             if not held:
-                doc, start = d, p
+                doc, start, until = d, p, (max(p, 0) // places + 1) * places
             held.append(t)
             length += len(t)
     if held:
@@ -172,8 +173,9 @@ def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
 
 def parts(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc_id, place, text): the pieces of each document put together to parts of about ``size`` characters, in the order of ``place``."""
-    dealt = pieces.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place")
-    return dealt.select("doc_id", "place", "piece").mapInArrow(lambda b: _parts(b, size), "doc_id long, place long, text string")
+    places = PLACES
+    dealt = pieces.repartition("doc_id", F.expr(f"greatest(place, 0) div {places}")).sortWithinPartitions("doc_id", "place")
+    return dealt.select("doc_id", "place", "piece").mapInArrow(lambda b: _parts(b, size, places), "doc_id long, place long, text string")
 
 
 def xml(nodes: DataFrame, declaration: bool = True, size: int = SIZE) -> DataFrame:
