@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from arbolith import node_queries
+from arbolith.plans import containment
 from arbolith.sinks import streamed, writers
 from arbolith.sources import readers
 
@@ -43,3 +46,11 @@ def test_parts_of_xml_need_no_sample_and_no_join(spark, tmp_path, monkeypatch):
         found.setdefault(r.doc_id, []).append((r.place, r.text))
     assert {i: "".join(t for _, t in sorted(x)) for i, x in found.items()} == want
     assert all(len({max(p, 0) // 8 for p, _ in x}) == len(x) > 10 for x in found.values())
+
+
+def test_joins_by_ranges_shuffle_a_number_twice_at_most(spark):
+    assert containment.numbers(spark.range(100), F.col("id")).count() <= 200
+    # ranges on either side of where the scales part, and leaves: all pairs, once
+    spans = spark.createDataFrame([(a, a + n - 1) for a in (0, 15, 16, 2040) for n in (1, 127, 128, 129, 130, 2048, 5000)], "a long, b long")
+    found = containment.pairs(spark.range(8000).selectExpr("1L doc", "id"), F.col("id"), spans.withColumn("doc", F.lit(1).cast("long")), F.col("a"), F.col("b"), ["doc"])
+    assert found.count() == found.distinct().count() == 4 * (1 + 127 + 128 + 129 + 130 + 2048 + 5000)
