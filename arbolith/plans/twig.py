@@ -24,6 +24,8 @@ from .xpath import Binary, Call, Literal, Number, Path, Step, XPathError
 
 #: Numbers of a bucket.
 WIDTH = 1 << 16
+#: Names of nodes that a task remembers the parts for at once.
+NAMES = 10_000
 _FIELDS = ("doc_id", "pre", "post", "parent", "level", "kind", "prefix", "name", "value", "path")
 _OUT = "doc_id bigint, pre int, post int, parent int, level int, kind string, prefix string, name string, value string, path string"
 _COMPARE = {"=": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
@@ -136,8 +138,8 @@ class _Open:
     bits: int
     up: int = 0
     texts: list[str] = field(default_factory=list)
-    hangs: list[set] = field(default_factory=list)  # results below, by the step of the path that they still need in front of them
-    far: list[set] = field(default_factory=list)  # those that open nodes further up get as well
+    hangs: dict[int, set] = field(default_factory=dict)  # results below, by the step of the path that they still need in front of them
+    far: dict[int, set] = field(default_factory=dict)  # those that open nodes further up get as well
 
 
 class Machine:
@@ -149,6 +151,7 @@ class Machine:
         self.tests = [_fits(p.step) for p in pattern.parts]
         self.anchor = re.compile(f"{pattern.anchor}\\Z")
         self.valued = any(p.value is not None for p in pattern.parts)
+        self.known: dict[tuple, list[int]] = {}  # parts that nodes of a kind and name fit, of the last names met
         self.start(0, 1 << 62)
 
     def start(self, first: int, last: int) -> None:
@@ -183,10 +186,14 @@ class Machine:
         if self.valued and node["kind"] in ("text", "cdata") and node["pre"] >= self.first:
             for o in self.stack:
                 o.texts.append(node["value"] or "")
-        fits = [i for i, t in enumerate(self.tests) if t(node)]
-        steps = len(self.pattern.main)
+        named = node["kind"], node["prefix"], node["name"]
+        fits = self.known.get(named)
+        if fits is None:
+            if len(self.known) == NAMES:
+                self.known.clear()
+            fits = self.known[named] = [i for i, t in enumerate(self.tests) if t(node)]
         if fits:
-            self.stack.append(_Open(node, end, fits, bits, 0, texts or [], [set() for _ in range(steps)], [set() for _ in range(steps)]))
+            self.stack.append(_Open(node, end, fits, bits, 0, texts or []))
 
     def finish(self) -> None:
         while self.stack:
@@ -201,9 +208,9 @@ class Machine:
         if above is not None:
             above.up |= o.up
             above.bits |= o.up
-            for mine, theirs, far in zip(o.far, above.hangs, above.far, strict=True):
-                theirs |= mine
-                far |= mine
+            for step, mine in o.far.items():
+                above.hangs.setdefault(step, set()).update(mine)
+                above.far.setdefault(step, set()).update(mine)
 
     def _judge(self, o: _Open, above: _Open | None) -> None:
         parent = above if above is not None and above.node["pre"] == o.node["parent"] else None
@@ -218,17 +225,19 @@ class Machine:
                     parent.bits |= 1 << i
                 continue
             last = p.main == len(self.pattern.main) - 1
-            results = set(o.hangs[p.main + 1]) if not last else set()
+            results = set(o.hangs.get(p.main + 1, ())) if not last else set()
             if last or self.every:
                 results.add((o.node["pre"], p.main))
                 self.rows[o.node["pre"]] = o.node
+            if not results:
+                continue
             if p.main == 0:
                 if self.anchor.match(o.node["path"]):
                     self.good |= results
             elif p.deep:
-                o.far[p.main] |= results
+                o.far.setdefault(p.main, set()).update(results)
             elif parent is not None:
-                parent.hangs[p.main] |= results
+                parent.hangs.setdefault(p.main, set()).update(results)
 
 
 _TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), *[pa.string()] * 5]
@@ -268,7 +277,7 @@ def _scan(pattern: Pattern, width: int, batches: Iterator[pa.RecordBatch]) -> It
         for o in machine.spread:
             yield made(o.node, "open", bucket, str(o.bits), "".join(o.texts), None, None)
             for step in range(1, steps):
-                for pre, _ in o.hangs[step]:
+                for pre, _ in o.hangs.get(step, ()):
                     yield made(machine.rows[pre], "hanging", bucket, None, None, o.node["pre"], step - 1)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arbolith import node_queries
-from arbolith.plans import containment
+from arbolith.plans import containment, twig
 from arbolith.sinks import streamed, writers
 from arbolith.sources import readers
 
@@ -54,3 +54,15 @@ def test_joins_by_ranges_shuffle_a_number_twice_at_most(spark):
     spans = spark.createDataFrame([(a, a + n - 1) for a in (0, 15, 16, 2040) for n in (1, 127, 128, 129, 130, 2048, 5000)], "a long, b long")
     found = containment.pairs(spark.range(8000).selectExpr("1L doc", "id"), F.col("id"), spans.withColumn("doc", F.lit(1).cast("long")), F.col("a"), F.col("b"), ["doc"])
     assert found.count() == found.distinct().count() == 4 * (1 + 127 + 128 + 129 + 130 + 2048 + 5000)
+
+
+def test_patterns_test_a_name_once_and_hold_sets_only_for_results():
+    machine = twig.Machine(twig.compiled("/r[b]/a/@id"))
+    looked, tests = [], machine.tests
+    machine.tests = [lambda n, t=t: looked.append(1) or t(n) for t in tests]
+    held = []
+    for i in range(100):
+        node = {"doc_id": 0, "pre": i + 1, "post": i, "parent": 0, "level": 1, "kind": "element", "prefix": None, "name": "ab"[i % 2], "value": None, "path": "/r/x"}
+        machine.see(node, i + 1)
+        held += [*machine.stack[-1].hangs, *machine.stack[-1].far]
+    assert len(looked) == 2 * len(tests) and not held
