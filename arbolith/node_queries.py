@@ -198,30 +198,30 @@ def table_foreach(spark, sf_dir):
     return measure.foreach(nodes, "/_", "NAME=${s_name} NATION=${s_nationkey}").select("doc_id", "line")
 
 
-# -- one file that holds one document, parsed by many tasks
+# -- one document in the files of a folder, parsed by many tasks
 
 
-def _one_file(spark, rows: DataFrame, before: str, after: str) -> str:
-    """The path of a text file with a line before, a line a row and a line after."""
+def _one_document(spark, rows: DataFrame, before: str, after: str) -> str:
+    """The path of a folder of text files, in the order of their names a line before, a line a row and a line after. Tasks write their rows by themselves."""
     where = _scratch(spark)
-    line = lambda x: spark.range(1).select(F.lit(x).alias("value"))
-    line(before).unionByName(rows).unionByName(line(after)).coalesce(1).write.text(where)
+    line = lambda x: spark.range(0, 1, 1, 1).select(F.lit(x).alias("value"))
+    line(before).unionByName(rows).unionByName(line(after)).write.text(where)
     return where
 
 
 @query("SELECT path, CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) AS places FROM (SELECT '/_/_' AS path, 1 + count(*) AS n FROM orders UNION ALL SELECT unnest(['/_/_/k', '/_/_/c']), count(*) FROM orders)")
 def huge_json(spark, sf_dir):
-    """All orders as one JSON array in one file."""
-    o = _t(spark, sf_dir, "orders").select(F.concat(F.to_json(F.struct(F.col("o_orderkey").alias("k"), F.concat(F.lit("a, b: "), "o_custkey").alias("c"))), F.lit(",")).alias("value"))
-    nodes = chunked.read(spark, _one_file(spark, o, "[", "{}]"), "json", _scratch(spark), size=1 << 16)
+    """All orders as one JSON array over many files."""
+    o = _t(spark, sf_dir, "orders").select(F.concat(F.lit(","), F.to_json(F.struct(F.col("o_orderkey").alias("k"), F.concat(F.lit("a, b: "), "o_custkey").alias("c")))).alias("value"))
+    nodes = chunked.read(spark, _one_document(spark, o, "[{}", "]"), "json", _scratch(spark), size=1 << 16, parts=True)
     return nodes.filter("kind = 'element' and level > 0").groupBy("path").agg(F.count("*").alias("n"), F.countDistinct("pre").alias("places"))
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus || ' of ' || o_custkey AS note FROM orders")
 def huge_xml(spark, sf_dir):
-    """All orders as one XML document in one file: an attribute and a text of each, put together by their parent."""
+    """All orders as one XML document over many files: an attribute and a text of each, put together by their parent."""
     o = _t(spark, sf_dir, "orders").select(F.concat(F.lit('<order id="'), "o_orderkey", F.lit('"><!-- <x> --><note>'), "o_orderstatus", F.lit("<![CDATA[ of ]]>"), "o_custkey", F.lit("</note></order>")).alias("value"))
-    nodes = chunked.read(spark, _one_file(spark, o, "<orders>", "</orders>"), "xml", f"{_scratch(spark)}", size=1 << 16)
+    nodes = chunked.read(spark, _one_document(spark, o, "<orders>", "</orders>"), "xml", _scratch(spark), size=1 << 16, parts=True)
     kept = readers.stored(nodes, _scratch(spark))
     ids = kept.filter("path = '/orders/order/@id'").select("parent", F.col("value").alias("id"))
     notes = kept.filter("path = '/orders/order/note' and kind = 'element'").select("parent", "pre")

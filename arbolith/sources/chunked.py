@@ -13,6 +13,7 @@ import itertools
 import json
 import re
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -331,16 +332,33 @@ def _chained(found: Iterator[tuple]) -> Iterator[tuple]:
             yield held
 
 
-def read(spark: SparkSession, path: str, kind: str, where: str, size: int = SIZE, trim: bool = True) -> DataFrame:
+#: Bits of a place in one of several files of a document.
+_FILE_BITS = 40
+
+
+def _name(file: str) -> str:
+    return unquote(file.rsplit("/", 1)[-1])
+
+
+def read(spark: SparkSession, path: str, kind: str, where: str, size: int = SIZE, trim: bool = True, parts: bool = False) -> DataFrame:
     """Rows of NODES of the XML or JSON files of ``path``; ids are hashes of the files' paths, as in ``readers.files``.
 
     A file that can't be parsed gives a row of kind error for each chunk in which that shows. Chunks and what is found in them are written to ``where``, a new folder that driver
     and executors share. A value has to fit into memory, a document need not. Bounds: entities that a document type declares are known in its first chunk; a JSON
     container of several chunks has to have its attributes and name in the first, and the top is a container.
+
+    ``parts``: the files of the folder ``path`` are one document, in the order of their names, as many tasks wrote it; its id is the hash of ``path``. Each file but the first has to
+    begin with what separates chunks, a tag in XML and a comma in JSON.
     """
     effect, states = STATES[kind]
     raw = spark.read.option("lineSep", SEPARATORS[kind]).text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
-    raw.mapInArrow(lambda b: _batches(cut(_records(b), kind, size), _CHUNKS, 8), _CHUNKS).write.parquet(f"{where}/chunks")
+    places = {_name(f): i for i, f in enumerate(sorted(raw.inputFiles(), key=_name))} if parts else None
+
+    def chunked(records: Iterator[tuple]) -> Iterator[tuple]:
+        for file, block, n, text in cut(records, kind, size):
+            yield (path, (places[_name(file)] << _FILE_BITS) + block, n, text) if parts else (file, block, n, text)
+
+    raw.mapInArrow(lambda b: _batches(chunked(_records(b)), _CHUNKS, 8), _CHUNKS).write.parquet(f"{where}/chunks")
     chunks = spark.read.schema(_CHUNKS).parquet(f"{where}/chunks")
 
     def looked(file: str, block: int, n: int, text: str) -> tuple:
@@ -375,23 +393,34 @@ def read(spark: SparkSession, path: str, kind: str, where: str, size: int = SIZE
     # dealt anew, as a block may have many chunks
     joined = chunks.join(entries, ["file", "block", "n"]).select("file", "block", "n", "text", "entry").repartition("file", "block", "n")
     joined.mapInArrow(lambda b: _batches((p for r in _records(b) for p in parsed(*r)), _PARTS), _PARTS).write.parquet(f"{where}/parts")
-    return assembled(spark.read.schema(_PARTS).parquet(f"{where}/parts"))
+    made = spark.read.schema(_PARTS).parquet(f"{where}/parts")
+    made.filter("what not in ('node', 'error')").write.parquet(f"{where}/few")
+    return assembled(made, spark.read.schema(_PARTS).parquet(f"{where}/few"))
 
 
-def assembled(parts: DataFrame) -> DataFrame:
-    """Rows of NODES from what chunks give."""
+def assembled(parts: DataFrame, few: DataFrame | None = None) -> DataFrame:
+    """Rows of NODES from what chunks give. ``few``: the rows that aren't whole nodes, a few a chunk, if they are stored by themselves.
+
+    What nodes need of other chunks is put together to one row a chunk, so nodes are joined once, by their chunk. Most have no key, and all nodes right below the top have one: joins by keys
+    would bring them to one task.
+    """
     at = ["file", "block", "n"]
+    few = parts.filter("what not in ('node', 'error')") if few is None else few
     before = Window.partitionBy("file").orderBy("block", "n").rowsBetween(Window.unboundedPreceding, -1)
-    sums = parts.filter("what = 'sums'").select(*at, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("pre", "post")])
+    sums = few.filter("what = 'sums'").select(*at, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("pre", "post")])
     earlier = Window.partitionBy("file", "key").orderBy("block", "n").rowsBetween(Window.unboundedPreceding, -1)
-    kids = parts.filter("what = 'kids'").select(*at, F.col("key").alias("up"), F.coalesce(F.sum("ord").over(earlier), F.lit(0)).alias("ord0"))
-    moved = parts.filter("what in ('node', 'open')").join(sums, at).join(kids.withColumnRenamed("up", "k").withColumnRenamed("file", "f").withColumnRenamed("block", "b").withColumnRenamed("n", "m"), F.expr("file = f and block = b and n = m and up = k"), "left")
-    placed = moved.select("file", "what", "key", "up", (F.col("pre") + F.col("pre0")).alias("pre"), (F.col("post") + F.col("post0")).alias("post"), (F.col("parent") + F.col("pre0")).alias("parent"), "level", (F.col("ord") + F.coalesce("ord0", F.lit(0))).alias("ord"), "kind", "prefix", "name", "ns_uri", "value", "path")
-    ends = parts.filter("what = 'close'").join(sums, at).select("file", "key", (F.col("post") + F.col("post0")).alias("end"))
-    opens = parts.filter("what = 'open'").join(sums, at).select("file", F.col("key").alias("up"), (F.col("pre") + F.col("pre0")).alias("above"))
-    known = placed.join(ends, ["file", "key"], "left").join(opens, ["file", "up"], "left")
+    kids = few.filter("what = 'kids'").select(*at, "key", F.coalesce(F.sum("ord").over(earlier), F.lit(0)).alias("ord0"))
+    left = few.filter("what = 'open'")
+    opens = left.join(sums, at).select("file", "key", (F.col("pre") + F.col("pre0")).alias("above"))
+    ends = few.filter("what = 'close'").join(sums, at).select("file", "key", (F.col("post") + F.col("post0")).alias("end"))
+    by_key = lambda *values: F.map_from_entries(F.collect_list(F.struct("key", F.struct(*values))))
+    ups = kids.join(opens, ["file", "key"], "left").groupBy(*at).agg(by_key("ord0", "above").alias("ups"))
+    closed = left.select(*at, "key").join(ends, ["file", "key"]).groupBy(*at).agg(by_key("end").alias("ends"))
+    known = parts.filter("what in ('node', 'open')").join(sums.join(ups, at, "left").join(closed, at, "left"), at)
+    known = known.withColumns({"_up": F.try_element_at("ups", F.col("up")), "_end": F.try_element_at("ends", F.col("key"))})
     nodes = known.select(
-        F.xxhash64("file").alias("doc_id"), F.col("pre").cast("int").alias("pre"), F.coalesce("post", "end").cast("int").alias("post"), F.coalesce("parent", "above", F.lit(-1)).cast("int").alias("parent"), "level", F.col("ord").cast("int").alias("ord"),
+        F.xxhash64("file").alias("doc_id"), (F.col("pre") + F.col("pre0")).cast("int").alias("pre"), F.coalesce(F.col("post") + F.col("post0"), F.col("_end")["end"]).cast("int").alias("post"),
+        F.coalesce(F.col("parent") + F.col("pre0"), F.col("_up")["above"], F.lit(-1)).cast("int").alias("parent"), "level", (F.col("ord") + F.coalesce(F.col("_up")["ord0"], F.lit(0))).cast("int").alias("ord"),
         "kind", "prefix", "name", "ns_uri", "value", "path",
     )
     bad = parts.filter("what = 'error'").select(F.xxhash64("file").alias("doc_id"), *[F.expr(f"cast({v} as {t}) as {c}") for c, t, v in _ERROR])
