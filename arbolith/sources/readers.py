@@ -15,6 +15,8 @@ from .detect import content_type, unfit, without_bom
 _ARROW = pa.schema([(f, pa.int64() if f == "doc_id" else pa.int32() if f in ("pre", "post", "parent", "level", "ord") else pa.string()) for f in FIELDS])
 #: Nodes that one output batch holds.
 _BATCH = 50_000
+#: Characters of a text from which its rows are made without its tree, where its kind allows.
+_LARGE = 1 << 20
 #: Rows of a stored table up to which Spark may broadcast what is taken from it.
 BROADCAST_ROWS = 200_000
 
@@ -44,21 +46,29 @@ def parse(source: str, kind: str, trim: bool | None = None, merge: bool = True,
     return doc
 
 
-def tree_rows(df: DataFrame, make: Callable[[dict], Node], doc_id: str = "doc_id") -> DataFrame:
-    """Rows of NODES of the trees that ``make`` makes of rows; a row of which it makes none, by a ValueError, gets one of kind error."""
+def tree_rows(df: DataFrame, make: Callable[[dict], Node], doc_id: str = "doc_id", pieces: Callable[[dict], Iterator[list[tuple]] | None] = lambda row: None) -> DataFrame:
+    """Rows of NODES of the trees that ``make`` makes of rows; a row of which it makes none, by a ValueError, gets one of kind error.
+
+    ``pieces``: its rows without the tree, for a row of which that would be large, else None; an error has to come before the first piece.
+    """
+
+    def found(row: dict) -> Iterator[list[tuple]]:
+        try:
+            yield from pieces(row) or [shred(make(row), row[doc_id])]
+        except ValueError as e:
+            yield [(row[doc_id], 0, 0, -1, 0, 0, "error", None, None, None, str(e), "")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for row in batch.slice(at, 256).to_pylist():
-                    try:
-                        out += shred(make(row), row[doc_id])
-                    except ValueError as e:
-                        out.append((row[doc_id], 0, 0, -1, 0, 0, "error", None, None, None, str(e), ""))
-                    if len(out) >= _BATCH:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
-                        out = []
+            step = 256 if batch.nbytes < _LARGE else 1  # texts that are strings at once
+            for at in range(0, batch.num_rows, step):
+                for row in batch.slice(at, step).to_pylist():
+                    for rows in found(row):
+                        out += rows
+                        if len(out) >= _BATCH:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
+                            out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
 
@@ -91,8 +101,16 @@ def nodes(df: DataFrame, content: Column | str, doc_id: Column | str = "doc_id",
 
     ``kind``: one of detect.TYPES, or None to detect each text's; with ``forced`` a text that looks like another kind isn't
     parsed. A text that can't be parsed gives one row of kind error with the message; a null text gives no rows. Parsing needs no shuffle.
+    The rows of large XML are made while it is read, without its tree, and come in no order.
     """
-    return tree_rows(texts(df, content, doc_id, kind, forced), maker(trim, merge, root))
+    large = _LARGE
+
+    def pieces(row: dict) -> Iterator[list[tuple]] | None:
+        if row["type"] == "xml" and len(row["raw"]) >= large and root is None and not row.get("problem"):
+            return markup.xml_rows(row["raw"], row["doc_id"], trim is not False)
+        return None
+
+    return tree_rows(texts(df, content, doc_id, kind, forced), maker(trim, merge, root), pieces=pieces)
 
 
 def stored(nodes: DataFrame, path: str) -> DataFrame:

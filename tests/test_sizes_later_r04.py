@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import random
+import tracemalloc
+
 import pytest
 from pyspark.sql import functions as F
 
+from arbolith.model import shred
 from arbolith.session import ship
-from arbolith.sources import chunked, readers
+from arbolith.sources import chunked, markup, readers
+from arbolith.sources.brace import ParseError
 
 
 @pytest.fixture(autouse=True)
@@ -51,3 +56,38 @@ def test_nodes_of_a_document_of_many_chunks_do_not_meet_in_one_task(spark, tmp_p
         for k in held:
             spark.conf.unset(k)
     assert max(sizes) < sum(sizes) * 0.6
+
+
+def _random_xml(r: random.Random, depth: int) -> str:
+    name = r.choice(["a", "b", "x:c"])
+    head = "".join(f' {k}="{r.choice(["1", "&amp;", "x"])}"' for k in r.sample(["k", "x:l", "xmlns:x", "xmlns"], r.randrange(3)))
+    parts = ["", "text", " ", "\n  t\n  u\n", "&lt;", "&nbsp;", "<!-- c\n -->", "<![CDATA[<b>]]>", "<?p v?>"]
+    return f"<{name}{head}>{''.join(_random_xml(r, depth - 1) if depth and r.random() < 0.5 else r.choice(parts) for _ in range(r.randrange(6)))}</{name}>"
+
+
+@pytest.mark.parametrize("trimmed", [True, False])
+def test_rows_of_large_xml_without_its_tree_are_those_of_the_tree(trimmed):
+    for seed in range(400):
+        r = random.Random(seed)
+        text = f'\ufeff<!DOCTYPE r [<!ENTITY e "v">]><!-- x --><r xmlns:x="u">{"".join(_random_xml(r, 4) for _ in range(r.randrange(5)))}&e;</r>\n<!-- y -->'
+        want = shred(markup.parse_xml(text, trimmed), 7)
+        for ends in (1, 2, 5):
+            assert sorted(x for rows in markup.xml_rows(text, 7, trimmed, ends) for x in rows) == want
+
+
+def test_large_xml_takes_no_more_memory_than_its_text_and_errs_first(spark, monkeypatch):
+    rows = [f'<c id="{i}"><b>{i}</b></c>' for i in range(60_000)]
+    text = f"<n>{''.join(rows)}</n>"
+    tracemalloc.start()
+    n = sum(len(x) for x in markup.xml_rows(text, 1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1 + 4 * 60_000 and peak < 12 * len(text)
+    with pytest.raises(ParseError) as a:
+        next(markup.xml_rows(text + "<", 1))
+    with pytest.raises(ParseError) as b:
+        markup.parse_xml(text + "<")
+    assert str(a.value) == str(b.value)
+    monkeypatch.setattr(readers, "_LARGE", 10)
+    df = spark.createDataFrame([(1, "<n><c>x</c><c/></n>"), (2, "<n><c>y</c><c></n>"), (3, None)], "doc_id long, t string")
+    assert sorted((r.doc_id, r.pre, r.kind) for r in readers.nodes(df, "t", kind="xml").collect()) == [(1, 0, "element"), (1, 1, "element"), (1, 2, "text"), (1, 3, "element"), (2, 0, "error")]
