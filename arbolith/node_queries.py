@@ -178,7 +178,7 @@ for _name, _change, _sql in (
 def _letters(spark, sf_dir) -> DataFrame:
     """A letter to each customer with references to an entity of a name and to a character."""
     c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("p{'Dear '&name;', '&#65;'"), F.col("c_custkey"), F.lit("'}")).alias("t"))
-    return readers.stored(readers.nodes(c, "t", kind="brace", merge=False), _scratch(spark))
+    return readers.stored(readers.nodes(readers.dealt(c, "doc_id"), "t", kind="brace", merge=False), _scratch(spark))
 
 
 for _name, _change, _sql in (

@@ -429,8 +429,6 @@ def parsed(df: DataFrame, content: Column | str, grammar: str, doc_id: Column |
     content = F.col(content) if isinstance(content, str) else content
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     slim = df.select(doc_id.cast("long").alias("doc_id"), content.alias("raw")).filter("raw is not null")
-    # parsing costs more than moving a text: files of few bytes would be few tasks, and equal texts meet where they are remembered
-    session = df.sparkSession
-    many = max(int(session.conf.get("spark.sql.shuffle.partitions")), 2 * session.sparkContext.defaultParallelism)
-    slim = slim.repartition(many, "raw", F.when(F.length("raw") <= _SHORT, F.pmod("doc_id", F.lit(_SALT))).otherwise(F.col("doc_id")))
+    # equal texts meet where they are remembered
+    slim = readers.dealt(slim, "raw", F.when(F.length("raw") <= _SHORT, F.pmod("doc_id", F.lit(_SALT))).otherwise(F.col("doc_id")))
     return Trees(slim, lambda row: registry.parse_text(grammar, row["raw"], every, silent, recover))

@@ -113,6 +113,12 @@ def nodes(df: DataFrame, content: Column | str, doc_id: Column | str = "doc_id",
     return tree_rows(texts(df, content, doc_id, kind, forced), maker(trim, merge, root), pieces=pieces)
 
 
+def dealt(df: DataFrame, *by: Column | str) -> DataFrame:
+    """Texts dealt to tasks before they are parsed, which costs more than moving a text: files of few bytes would be few tasks, or one."""
+    session = df.sparkSession
+    return df.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), 2 * session.sparkContext.defaultParallelism), *by)
+
+
 def stored(nodes: DataFrame, path: str) -> DataFrame:
     """A table of nodes written once: plans that use one many times don't parse its texts again each time. ``path``: a new folder that driver and executors share."""
     nodes.write.parquet(path)

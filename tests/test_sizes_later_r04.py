@@ -8,6 +8,7 @@ import tracemalloc
 import pytest
 from pyspark.sql import functions as F
 
+from arbolith import node_queries
 from arbolith.model import shred
 from arbolith.session import ship
 from arbolith.sources import chunked, markup, readers
@@ -91,3 +92,10 @@ def test_large_xml_takes_no_more_memory_than_its_text_and_errs_first(spark, monk
     monkeypatch.setattr(readers, "_LARGE", 10)
     df = spark.createDataFrame([(1, "<n><c>x</c><c/></n>"), (2, "<n><c>y</c><c></n>"), (3, None)], "doc_id long, t string")
     assert sorted((r.doc_id, r.pre, r.kind) for r in readers.nodes(df, "t", kind="xml").collect()) == [(1, 0, "element"), (1, 1, "element"), (1, 2, "text"), (1, 3, "element"), (2, 0, "error")]
+
+
+def test_letters_of_one_small_file_are_parsed_by_many_tasks(spark, tmp_path, monkeypatch):
+    spark.range(200).selectExpr("id c_custkey").coalesce(1).write.parquet(f"file://{tmp_path}/customer.parquet")
+    parsed, stored = [], readers.stored
+    monkeypatch.setattr(readers, "stored", lambda nodes, path: parsed.append(nodes.groupBy(F.spark_partition_id()).count().count()) or stored(nodes, path))
+    assert node_queries._letters(spark, f"file://{tmp_path}").select("doc_id").distinct().count() == 200 and parsed[0] > 1
