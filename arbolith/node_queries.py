@@ -74,13 +74,16 @@ def huge_following(spark, sf_dir):
 
 
 def _account_xml(spark, sf_dir) -> DataFrame:
-    """A document for each customer with their balance in whole units and their orders by key."""
+    """A document for each customer with their balance in whole units and their orders by key.
+
+    Orders are dealt by their customer to many tasks, which parse what they put together: by the size of its files a table would be few tasks, or sent through the driver.
+    """
     c = _t(spark, sf_dir, "customer")
-    o = _t(spark, sf_dir, "orders")
+    o = readers.dealt(_t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority"), "o_custkey")
     one = F.concat(F.lit('<order id="'), "o_orderkey", F.lit('" st="'), "o_orderstatus", F.lit('"><prio>'), F.substring("o_orderpriority", 1, 1), F.lit("</prio></order>"))
     orders = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", one.alias("x")))), lambda x: x["x"]), "").alias("orders"))
     head = F.concat(F.lit('<customer id="'), "c_custkey", F.lit('" seg="'), "c_mktsegment", F.lit('"><bal>'), F.floor("c_acctbal"), F.lit("</bal>"))
-    return c.join(orders, c.c_custkey == orders.o_custkey, "left").select(F.col("c_custkey").alias("doc_id"), F.concat(head, F.coalesce("orders", F.lit("")), F.lit("</customer>")).alias("t"))
+    return c.join(orders.hint("merge"), c.c_custkey == orders.o_custkey, "left").select(F.col("c_custkey").alias("doc_id"), F.concat(head, F.coalesce("orders", F.lit("")), F.lit("</customer>")).alias("t"))
 
 
 def _accounts(spark, sf_dir) -> DataFrame:

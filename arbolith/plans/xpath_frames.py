@@ -275,8 +275,18 @@ class Frames:
     def _targets(self, e: object, rows: DataFrame) -> DataFrame:
         return self.nodeset(e, self._context(rows))
 
+    def _leaves(self, e: object) -> bool:
+        """Whether an expression gives only nodes that hold their string value themselves."""
+        if isinstance(e, Binary):
+            return e.op == "|" and self._leaves(e.left) and self._leaves(e.right)
+        if isinstance(e, Filter):
+            return self._leaves(e.expr)
+        last = e.steps[-1] if isinstance(e, Path) and e.steps else None
+        return last is not None and (last.axis in ("attribute", "namespace") or last.test in ("text()", "comment()") or last.test.startswith("processing-instruction("))
+
     def _texts(self, e: object, rows: DataFrame) -> DataFrame:
-        return string_values(self._targets(e, rows), self.nodes)
+        found = self._targets(e, rows)
+        return found.withColumn("text", F.coalesce("value", F.lit(""))) if self._leaves(e) else string_values(found, self.nodes)
 
     def value(self, e: object, rows: DataFrame) -> tuple[DataFrame, _Typed]:
         """Adds what an expression needs to the context rows, and says how to get its value."""

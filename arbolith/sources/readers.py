@@ -101,13 +101,16 @@ def nodes(df: DataFrame, content: Column | str, doc_id: Column | str = "doc_id",
 
     ``kind``: one of detect.TYPES, or None to detect each text's; with ``forced`` a text that looks like another kind isn't
     parsed. A text that can't be parsed gives one row of kind error with the message; a null text gives no rows. Parsing needs no shuffle.
-    The rows of large XML are made while it is read, without its tree, and come in no order.
+    The rows of large XML are made while it is read, without its tree, and come in no order; so are those of small XML that is plain, in order.
     """
     large = _LARGE
 
     def pieces(row: dict) -> Iterator[list[tuple]] | None:
-        if row["type"] == "xml" and len(row["raw"]) >= large and root is None and not row.get("problem"):
-            return markup.xml_rows(row["raw"], row["doc_id"], trim is not False)
+        if row["type"] == "xml" and root is None and not row.get("problem"):
+            if len(row["raw"]) >= large:
+                return markup.xml_rows(row["raw"], row["doc_id"], trim is not False)
+            if rows := markup.plain_rows(row["raw"], row["doc_id"], trim is not False):
+                return iter([rows])
         return None
 
     return tree_rows(texts(df, content, doc_id, kind, forced), maker(trim, merge, root), pieces=pieces)
