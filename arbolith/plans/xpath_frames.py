@@ -430,8 +430,11 @@ class Frames:
             return rows, _Typed(self._compared(some.as_("bool"), v.column, op), "bool")
         name = self._name()
         rows = rows.withColumn(name, v.column)
-        wanted = rows.select("doc_id", F.col("pre").alias("_o"), name).distinct()
-        found = self._texts(left, rows).join(wanted, ["doc_id", "_o"])
+        found = self._texts(left, rows)
+        if isinstance(right, (Literal, Number)):  # the same for all rows
+            found = found.withColumn(name, v.column)
+        else:
+            found = found.join(rows.select("doc_id", F.col("pre").alias("_o"), name).distinct(), ["doc_id", "_o"])
         text = F.col("text") if v.kind == "str" and op in ("=", "!=") else number(F.col("text"))
         other = F.col(name) if v.kind == "num" or op in ("=", "!=") else number(F.col(name))
         return self._exists(rows, found.filter(self._compared(text, other, op, not (v.kind == "str" and op in ("=", "!=")))))

@@ -51,3 +51,12 @@ def test_values_of_attributes_and_texts_need_no_join_with_texts(spark, monkeypat
     want = select("//o[. = 't']/@id")
     monkeypatch.setattr(xpath_frames, "string_values", None)
     assert select("//o[@st='P']/following-sibling::o[@st='F']/@id") == select("//o[text() = 't']/@id") == want == ["2"]
+
+
+def test_comparing_with_a_constant_needs_no_join_for_it(spark):
+    nodes = readers.nodes(spark.createDataFrame([(1, "<r><o st='P'>5</o><o st='F'>6</o></r>")], "doc_id long, t string"), "t", kind="xml").cache()
+    found = xpath_frames.select(nodes, "//o[@st='P']")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.pre for r in found.collect()] == [1]
+    assert sum("Join " in line for line in plan.splitlines()) == 4  # from documents, to attributes and back
+    assert [r.pre for r in xpath_frames.select(nodes, "//o[. > -5 and . < 6]").collect()] == [1]
